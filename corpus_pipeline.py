@@ -4,11 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontamination, packing, personal_data, toxicity
 from tidemark.llm.common import table, written
+from tidemark.llm.jaccard_join import keep_one
 
-STAGES: list = []
+#: Near duplicates: shingles of five words and a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
 
-#: Scores, learned models and tokenizers have no SQL form; tests hold the stages against brute force.
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model, trained on the labelled ones among them, doesn't reject."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    return keep_one(docs, SHINGLE, PERCENT)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a passage of the benchmark."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind."""
+    return personal_data.redact(docs, personal_data.learn_patterns(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 tokens, with the crc32 of their ids."""
+    return packing.with_digest(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal data", redact),
+    ("packing", pack),
+]
+
+#: Learned models and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -17,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = written(docs, name.replace(" ", "-"))
     return docs

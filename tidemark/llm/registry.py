@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op1_decontamination
+from .jaccard_join import op9_jaccard_join
 from .packing import op2_packing
+from .personal_data import op6_personal_data
+from .quality_model import op3_quality_model
+from .quality_rules import op5_quality_rules
 from .sharding import op4_sharding
+from .substring_dedup import op8_substring_dedup
 from .token_files import op7_token_files
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_quality_model": op3_quality_model,
         "op4_sharding": op4_sharding,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_personal_data": op6_personal_data,
         "op7_token_files": op7_token_files,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_toxicity": op10_toxicity,
     }
 
 
