@@ -51,8 +51,8 @@ def cgk(x: np.ndarray, starts: np.ndarray, length: int, steps: int, walk: int) -
         inside = at < end
         word = np.where(inside, x[np.minimum(at, len(x) - 1)], np.uint64(0))
         out[:, j] = word
-        salt = np.uint64((walk + 1) * 1_000_003 + j)
-        at = at + (mix(word ^ (salt * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(1)).astype(np.int64)
+        salt = np.uint64(((walk + 1) * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64)
+        at = at + (mix(word ^ salt) & np.uint64(1)).astype(np.int64)
     return out
 
 

@@ -58,7 +58,7 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
         if done == size:
             return mix(out)
         run = run[:-width] * power + run[width:] if len(run) > width else run[:0]
-        power, width = power * power, width * 2
+        power, width = np.uint64(int(power) ** 2 % 2**64), width * 2
 
 
 def sliding_min(a: np.ndarray, size: int) -> np.ndarray:

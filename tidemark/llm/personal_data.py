@@ -26,7 +26,7 @@ SEED_FORM = re.compile(r"AKIA[0-9A-Z]{16}")
 
 DIGITS = re.compile(r"[0-9]+")
 BLANK = re.compile(r"\s")
-VALUE = re.compile(r"""^([^=:"']*[=:])?(["'(\[<]*)(.*?)["')\]>.,;:!?]*$""", re.S)
+VALUE = re.compile(r"""^([^=:"']*[=:])?(["'(\[<]*)(.*?)[^0-9A-Za-z+/=_-]*$""", re.S)
 #: Shortest value that can be an identifier, rounds of scoring, and what a pattern needs to be used.
 MIN_LENGTH, ROUNDS, MIN_SCORE, MIN_SUPPORT = 8, 3, 0.8, 5
 #: A pattern's instances, at least, as a share of the documents. It bounds the number of patterns, whatever the corpus' size.
