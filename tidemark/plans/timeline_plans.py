@@ -12,17 +12,21 @@ from ..operators import folds
 from ..operators import intervals as I
 from .base import EVENTS_SQL, events, query, table
 
-ORDER = I.by("user_id", "t", "event_id")
 W = "(PARTITION BY user_id ORDER BY t, event_id)"
 END = 2_592_000.0
 
 
+def order():
+    """A clip in order of time."""
+    return I.by("user_id", "t", "event_id")
+
+
 @query("repeat_segments", f"""WITH {EVENTS_SQL}, l AS (SELECT *, lag(event_type) OVER {W} AS before, lag(t) OVER {W} AS t_before FROM e WHERE t BETWEEN 86400 AND 1728000)
   SELECT user_id, event_id, t_before AS first_start, t AS second_start FROM l WHERE event_type = before AND event_type <> ''""")
 def repeat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive events of one type inside a window of time, both bounds included."""
     e = events(spark, sf_dir).where(F.col("t").between(86400, 1728000))
-    e = e.withColumn("before", F.lag("event_type").over(ORDER)).withColumn("first_start", F.lag("t").over(ORDER))
+    e = e.withColumn("before", F.lag("event_type").over(order())).withColumn("first_start", F.lag("t").over(order()))
     return e.where("event_type = before and event_type <> ''").select("user_id", "event_id", "first_start", F.col("t").alias("second_start"))
 
 
@@ -41,16 +45,16 @@ def dedupe_stream_words(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, min(t) AS s, max(t) AS e, count(*) AS n FROM r GROUP BY user_id, run""")
 def runs_by_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one type whose values don't fall and whose events are at most a day apart."""
-    p, pt, pv = (F.lag(c).over(ORDER) for c in ("event_type", "t", "value"))
-    runs = I.islands(events(spark, sf_dir), "user_id", p.isNull() | (F.col("event_type") != p) | (F.col("value") < pv) | (F.col("t") - pt > 86400), ORDER)
+    p, pt, pv = (F.lag(c).over(order()) for c in ("event_type", "t", "value"))
+    runs = I.islands(events(spark, sf_dir), "user_id", p.isNull() | (F.col("event_type") != p) | (F.col("value") < pv) | (F.col("t") - pt > 86400), order())
     return runs.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.min("t").alias("s"), F.max("t").alias("e"), F.count("*").alias("n"))
 
 
 @query("session_islands", f"""WITH {EVENTS_SQL}, r AS (SELECT *, sum(b) OVER {W} AS session FROM (SELECT *, CASE WHEN t - lag(t) OVER {W} <= 3600 THEN 0 ELSE 1 END AS b FROM e))
   SELECT user_id, session::BIGINT AS session, min(t) AS s, max(t) AS e, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY user_id, session""")
 def session_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.col("t") - F.lag("t").over(ORDER)
-    rows = I.islands(events(spark, sf_dir), "user_id", gap.isNull() | (gap > 3600), ORDER, "session")
+    gap = F.col("t") - F.lag("t").over(order())
+    rows = I.islands(events(spark, sf_dir), "user_id", gap.isNull() | (gap > 3600), order(), "session")
     return rows.groupBy("user_id", "session").agg(F.min("t").alias("s"), F.max("t").alias("e"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -59,7 +63,7 @@ def session_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, event_type, min(k) AS i, max(k) AS j, count(*) AS n FROM g GROUP BY user_id, event_type, run HAVING max(k) - min(k) + 1 >= 3""")
 def hole_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one type that may have holes of up to two other events, three places long or more."""
-    k = events(spark, sf_dir).withColumn("k", F.row_number().over(ORDER).cast("long"))
+    k = events(spark, sf_dir).withColumn("k", F.row_number().over(order()).cast("long"))
     own = Window.partitionBy("user_id", "event_type").orderBy("k")
     gap = F.col("k") - F.lag("k").over(own)
     runs = I.islands(k, "user_id", gap.isNull() | (gap > 3), own)
@@ -74,8 +78,8 @@ PHANTOM_SQL = f"""WITH {EVENTS_SQL}, n AS (SELECT user_id, event_id, event_type,
 @query("phantom_filter", PHANTOM_SQL)
 def phantom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose two neighbours on each side all agree on one other type; at an end of the clip both of the only side must be there."""
-    left = F.collect_list("event_type").over(ORDER.rowsBetween(-2, -1))
-    right = F.collect_list("event_type").over(ORDER.rowsBetween(1, 2))
+    left = F.collect_list("event_type").over(order().rowsBetween(-2, -1))
+    right = F.collect_list("event_type").over(order().rowsBetween(1, 2))
     e = events(spark, sf_dir).select("user_id", "event_id", "event_type", left.alias("l"), right.alias("r"))
     alike = lambda s: (F.size(s) == 0) | ((F.size(F.array_distinct(s)) == 1) & ~F.array_contains(F.col(s), F.col("event_type")))
     both = (F.size("l") > 0) & (F.size("r") > 0)
@@ -85,14 +89,14 @@ def phantom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gap_fill_hold", f"""WITH {EVENTS_SQL} SELECT user_id, event_id, t AS s, least(greatest(coalesce(lead(t) OVER {W}, {END}), t + value), t + value + 3.0) AS e FROM e""")
 def gap_fill_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = I.gap_filled(F.col("t"), F.col("t") + F.col("value"), F.lit(END), ORDER)
+    end = I.gap_filled(F.col("t"), F.col("t") + F.col("value"), F.lit(END), order())
     return events(spark, sf_dir).select("user_id", "event_id", F.col("t").alias("s"), end.alias("e"))
 
 
 @query("monotone_clamp", f"""WITH {EVENTS_SQL}, m AS (SELECT user_id, event_id, value * 10 AS s, value * 11 - 5 AS e, coalesce(max(greatest(value * 10, value * 11 - 5)) OVER {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS m FROM e)
   SELECT user_id, event_id, greatest(s, m) AS s, greatest(e, greatest(s, m)) AS e FROM m""")
 def monotone_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = I.monotone(F.col("value") * 10, F.col("value") * 11 - 5, ORDER)
+    s, e = I.monotone(F.col("value") * 10, F.col("value") * 11 - 5, order())
     return events(spark, sf_dir).select("user_id", "event_id", s.alias("s"), e.alias("e"))
 
 
@@ -102,7 +106,7 @@ def monotone_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL AND v1 IS NULL THEN NULL WHEN v0 IS NULL THEN v1 - 0.5 * (k1 - k) WHEN v1 IS NULL THEN v0 + 0.5 * (k - k0) ELSE v0 + (v1 - v0) * (k - k0) / (k1 - k0) END, 6) AS v FROM b""")
 def interpolate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_type") != "error", F.col("value"))
-    return events(spark, sf_dir).withColumn("v", v).select("user_id", "event_id", F.round(I.interpolated(F.col("v"), ORDER, 0.5), 6).alias("v"))
+    return events(spark, sf_dir).withColumn("v", v).select("user_id", "event_id", F.round(I.interpolated(F.col("v"), order(), 0.5), 6).alias("v"))
 
 
 TRAPEZOID = "CASE WHEN d < 3600 OR d > 86400 THEN 0.0 WHEN d BETWEEN 14400 AND 43200 THEN 1.0 WHEN d < 14400 THEN 0.4 + 0.6 * (d - 3600) / 10800 ELSE 0.4 + 0.6 * (86400 - d) / 43200 END"
@@ -113,8 +117,8 @@ TRAPEZOID = "CASE WHEN d < 3600 OR d > 86400 THEN 0.0 WHEN d BETWEEN 14400 AND 4
   SELECT user_id, first_event, last_event, n, round({TRAPEZOID}, 6) AS score FROM p""")
 def contiguous_subwindows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows of up to four adjacent events of a run, scored by their length. A row is paired with its next three only, by window functions, so no run is joined with itself."""
-    gap = F.col("t") - F.lag("t").over(ORDER)
-    run = I.islands(events(spark, sf_dir), "user_id", gap.isNull() | (gap > 21600), ORDER)
+    gap = F.col("t") - F.lag("t").over(order())
+    run = I.islands(events(spark, sf_dir), "user_id", gap.isNull() | (gap > 21600), order())
     at = Window.partitionBy("user_id", "run").orderBy("t", "event_id")
     rows = run.select("*", *(F.lead(c, k).over(at).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("event_id", "t")))
     rows = rows.withColumns({"event_id0": F.col("event_id"), "t0": F.col("t")})
@@ -198,8 +202,8 @@ def rms_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rms_sliding", f"""WITH {EVENTS_SQL}, w AS (SELECT user_id, event_id, row_number() OVER {W} - 1 AS k, avg(value * value) OVER {W[:-1]} ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m FROM e)
   SELECT user_id, event_id, round(20 * log10(greatest(sqrt(m), 1.0) / 32768), 6) AS db FROM w WHERE k % 5 = 0""")
 def rms_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = F.avg(F.col("value") * F.col("value")).over(ORDER.rowsBetween(-5, 4))
-    rows = events(spark, sf_dir).select("user_id", "event_id", (F.row_number().over(ORDER) - 1).alias("k"), mean.alias("m")).where("k % 5 = 0")
+    mean = F.avg(F.col("value") * F.col("value")).over(order().rowsBetween(-5, 4))
+    rows = events(spark, sf_dir).select("user_id", "event_id", (F.row_number().over(order()) - 1).alias("k"), mean.alias("m")).where("k % 5 = 0")
     return rows.select("user_id", "event_id", F.round(20 * F.log10(F.greatest(F.sqrt("m"), F.lit(1.0)) / 32768), 6).alias("db"))
 
 
@@ -219,8 +223,8 @@ def level_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_runs_vs_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     low = e.join(e.groupBy("user_id").agg(F.median("value").alias("med")), "user_id").withColumn("low", F.col("value") < F.col("med") - 12)
-    changed = F.lag("low").over(ORDER)
-    runs = I.islands(low, "user_id", changed.isNull() | (F.col("low") != changed), ORDER).where("low")
+    changed = F.lag("low").over(order())
+    runs = I.islands(low, "user_id", changed.isNull() | (F.col("low") != changed), order()).where("low")
     return runs.groupBy("user_id", "run").agg(F.min("t").alias("s"), F.max("t").alias("e"), F.count("*").alias("n")).where("e - s >= 3600")
 
 
@@ -229,8 +233,8 @@ def low_runs_vs_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attack_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upward crossings of a level after quiet events and held by the next."""
     v = F.col("value")
-    quiet, held = F.max(v).over(ORDER.rowsBetween(-3, -1)), F.min(v).over(ORDER.rowsBetween(0, 1))
-    rows = events(spark, sf_dir).select("user_id", "event_id", "t", "value", F.lag(v).over(ORDER).alias("before"), quiet.alias("quiet"), held.alias("held"))
+    quiet, held = F.max(v).over(order().rowsBetween(-3, -1)), F.min(v).over(order().rowsBetween(0, 1))
+    rows = events(spark, sf_dir).select("user_id", "event_id", "t", "value", F.lag(v).over(order()).alias("before"), quiet.alias("quiet"), held.alias("held"))
     return rows.where("value >= 50 and before < 50 and quiet < 60 and held >= 30").select("user_id", "event_id", "t")
 
 
@@ -238,7 +242,7 @@ def attack_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last time before and the first time after an event at which the level was reached."""
     loud = F.when(F.col("value") >= 80, F.col("t"))
-    before, after = ORDER.rowsBetween(Window.unboundedPreceding, -1), ORDER.rowsBetween(1, Window.unboundedFollowing)
+    before, after = order().rowsBetween(Window.unboundedPreceding, -1), order().rowsBetween(1, Window.unboundedFollowing)
     return events(spark, sf_dir).select("user_id", "event_id", F.max(loud).over(before).alias("fell"), F.min(loud).over(after).alias("rose"))
 
 
@@ -270,7 +274,7 @@ def cards_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, event_id, CASE WHEN k = 1 THEN greatest(0.0, t - 0.05) ELSE t - 0.24 END AS t_in, CASE WHEN k = n THEN least({END} - 0.45, t + value - 0.15) ELSE t + value + 0.02 END AS t_out FROM n""")
 def schedule_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fades of cards that dissolve into each other: the first up a hair early, the last gone before its end."""
-    k, n = F.row_number().over(ORDER), F.count("*").over(Window.partitionBy("user_id"))
+    k, n = F.row_number().over(order()), F.count("*").over(Window.partitionBy("user_id"))
     e = events(spark, sf_dir).select("*", k.alias("k"), n.alias("n"))
     t_in = F.when(F.col("k") == 1, F.greatest(F.lit(0.0), F.col("t") - 0.05)).otherwise(F.col("t") - 0.24)
     t_out = F.when(F.col("k") == F.col("n"), F.least(F.lit(END - 0.45), F.col("t") + F.col("value") - 0.15)).otherwise(F.col("t") + F.col("value") + 0.02)
