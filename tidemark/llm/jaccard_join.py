@@ -4,7 +4,8 @@ All documents' shingles are put in one order, rare ones first. If two sets of si
 least a = ceil(t * max(n, m)) elements, then for any l the first n - ceil(t * n) + l of one and the first
 m - ceil(t * m) + l of the other share at least l. Each document picks its own l by cost: a longer prefix
 lists it under more shingles, but a partner must share more of them before the sets are compared. Two
-documents are compared when they share as many listed shingles as the smaller of their l.
+documents are compared when they share as many listed shingles as the smaller of their l. As the sizes of
+a pair are known by then, only entries among its first n - o + l count, with o = t / (1 + t) * (n + m).
 
 Only connections matter, so partners that are connected already aren't compared again: in a first step
 each document of a list is compared with one other of it, and in a second step only documents of
@@ -58,6 +59,16 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def needed_overlap(n, m, percent: int):
+    """What two sets must share: t / (1 + t) of both sizes, rounded up."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def reaches(place, n, m, matches, percent: int):
+    """Whether an entry can be one of the first `matches` shared ones of a set of size n with a similar set of size m: places from 1 in the common order."""
+    return place <= n - needed_overlap(n, m, percent) + matches
+
+
 def prefix(ordered_cost: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     """(length, l) of the prefix whose estimated cost is least. ordered_cost: expected partners of each shingle, in the common order."""
     base = n - least_overlap(n, percent)
@@ -127,7 +138,7 @@ def _lists(texts: DataFrame, slots: np.ndarray, size: int, percent: int) -> Data
         counts = shared.value
         usual = float(np.median(counts))
         for lot in gathered(batches, LOT):
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
             first: dict[int, int] = {}  # of copies in the lot, the first key is enough
             for key, tag, _ in lot:
                 first[tag] = min(key, first.get(tag, key))
@@ -139,43 +150,48 @@ def _lists(texts: DataFrame, slots: np.ndarray, size: int, percent: int) -> Data
                 order = np.lexsort((s, seen))
                 length, matches = prefix(np.maximum(seen[order[: len(s) - least_overlap(len(s), percent) + MOST_MATCHES]] - usual, 0), len(s), percent)
                 own = s[order[:length]]
-                for column, value in zip(columns, (own, *(np.full(length, v, np.int64) for v in (key, tag, len(s), matches)))):
+                for column, value in zip(columns, (own, *(np.full(length, v, np.int64) for v in (key, tag, len(s), matches)), np.arange(1, length + 1))):
                     column.append(value)
             if columns[0]:
                 flat = [np.concatenate(c) for c in columns]
                 b, value = zip(*deal((flat[0] % np.uint64(parts)).astype(np.int64), flat, parts))
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(value, pa.binary())], names=["block", "packed"])
 
-    names = ["token", "key", "tag", "n", "matches", "key2", "tag2"]
+    names = ["token", "key", "tag", "n", "matches", "place", "key2", "tag2"]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots = [unpack(v, 5) for batch in batches for v in batch.column(1).to_pylist()]
+        lots = [unpack(v, 6) for batch in batches for v in batch.column(1).to_pylist()]
         if not lots:
             return
-        token, key, tag, n, matches = (np.concatenate(c) for c in zip(*lots))
+        columns = [np.concatenate(c) for c in zip(*lots)]
         lots.clear()
+        token, key, tag = columns[:3]
         order = np.lexsort((key, tag, token))
         order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (tag[order][1:] != tag[order][:-1])])]
-        order = order[np.lexsort((tag[order], key[order], token[order]))]
-        token, key, tag, n, matches = (c[order] for c in (token, key, tag, n, matches))
+        columns = [c[order] for c in columns]
+        # The text that has the shingle first in its order has the fewest rarer ones: the middle of a group of near copies.
+        order = np.lexsort((columns[1], columns[5], columns[0]))
+        token, key, tag, n, matches, place = (c[order] for c in columns)
         new = np.concatenate([[True], token[1:] != token[:-1]])
         first = np.flatnonzero(new)
         of = np.cumsum(new) - 1
-        many = np.diff(np.append(first, len(token)))[of] > 1
-        fits = lambda a, b: 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        # Compared first: with the first of the list, or with the one before where the sizes rule that out.
+        # The smallest set of its list that a set could be similar to decides whether its entry can matter.
+        least = np.maximum(np.minimum.reduceat(n, first)[of], least_overlap(n, percent))
+        many = (np.diff(np.append(first, len(token)))[of] > 1) & reaches(place, n, least, matches, percent)
+        # Compared first: every text of a list with the one in its middle.
         at = np.flatnonzero(many & ~new)
-        other = np.where(fits(at, first[of[at]]), first[of[at]], at - 1)
-        sized = fits(at, other)
-        at, other = at[sized], other[sized]
+        other = first[of[at]]
+        both = np.minimum(matches[at], matches[other])
+        fits = (100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])) & reaches(place[at], n[at], n[other], both, percent) & reaches(place[other], n[other], n[at], both, percent)
+        at, other = at[fits], other[fits]
         pairs = np.unique(np.stack([key[other], tag[other], key[at], tag[at]], 1), axis=0) if len(at) else np.empty((0, 4), np.int64)
         kept = np.flatnonzero(many)
         for lo in range(0, len(kept), 50_000):
             k = kept[lo : lo + 50_000]
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), *(pa.array(c[k]) for c in (key, tag, n, matches)), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), *(pa.array(c[k]) for c in (key, tag, n, matches, place)), none, none], names=names)
         none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, pa.array(pairs[:, 2]), pa.array(pairs[:, 3])], names=names)
+        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, pa.array(pairs[:, 2]), pa.array(pairs[:, 3])], names=names)
 
     dealt = texts.select("key", "tag", "text").mapInArrow(listed, "block int, packed binary")
     return written(dealt.repartitionById(parts, "block").mapInArrow(joined, ", ".join(f"{c} long" for c in names)), "lists")
@@ -227,13 +243,15 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     links = written(same.unionByName(_linked(first, bodies, size, percent)), "links")
     found = written(components(links), "components")
     # Second step: lists that hold different components.
-    named = lists.where("token is not null").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "tag", "n", "matches", F.coalesce("component", "key").alias("component"))
+    named = lists.where("token is not null").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "tag", "n", "matches", "place", F.coalesce("component", "key").alias("component"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     left = written(named.join(written(mixed, "mixed"), "token", "left_semi"), "left")
     a, b = left.alias("a"), left.alias("b")
     sized = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized)
+    spare = F.least("a.matches", "b.matches") - F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(float(100 + percent)) - 1e-9)
+    near = (F.col("a.place") <= F.col("a.n") + spare) & (F.col("b.place") <= F.col("b.n") + spare)
+    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized & near)
     pairs = (
         shared.groupBy(F.col("a.key").alias("key"), F.col("a.tag").alias("tag"), F.col("b.key").alias("key2"), F.col("b.tag").alias("tag2"))
         .agg(F.count("*").alias("shared"), F.min(F.least("a.matches", "b.matches")).alias("needed"))
