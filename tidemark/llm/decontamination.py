@@ -3,7 +3,7 @@
 The unit is the word: lower-cased, ASCII punctuation taken as blanks. A passage of a document is a leak of
 an item of L words if its edit distance to it is at most L / 5 words (a similarity of 0.8 or more).
 
-A window within k edits of an item shares all but 2k of its L - 1 word pairs with it. Only stretches of a
+A window within k edits of an item shares all but 2k of its different word pairs with it. Only stretches of a
 document with that many of an item's pairs get windows of that item's size; this loses no case. A CGK
 embedding walks along a window: at each step it writes the word it stands on and moves on if a random
 bit of step and word says so, so that two sequences that differ by an edit fall into step again and few
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .hashed_words import WordHashes, gathered, mix, rolling, text_column
+from .hashed_words import WordHashes, gathered, rolling, text_column
 
 #: Items of fewer words can't tell a leak from common speech and are ignored.
 LEAST_WORDS = 5
@@ -51,8 +51,8 @@ def cgk(x: np.ndarray, starts: np.ndarray, length: int, steps: int, walk: int) -
         inside = at < end
         word = np.where(inside, x[np.minimum(at, len(x) - 1)], np.uint64(0))
         out[:, j] = word
-        salt = np.uint64(((walk + 1) * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64)
-        at = at + (mix(word ^ salt) & np.uint64(1)).astype(np.int64)
+        salt = np.uint64(((walk + 1) * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64 | 1)
+        at += (word * salt >> np.uint64(63)).astype(np.int64)  # words are hashes: the top bit of a product is as good as random
     return out
 
 
@@ -85,10 +85,11 @@ class Searcher:
         self.items = [(i, w) for i, w in words if len(w) >= LEAST_WORDS]
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
         self.edits = np.floor(EDIT_SHARE * self.lengths + 1e-9).astype(np.int64)
-        self.needed = self.lengths - 1 - 2 * self.edits
         if not self.items:
             return
         pairs = [np.unique(rolling(w, 2)) for _, w in self.items]
+        # Each edit touches two word pairs at most, so a passage near an item has all but 2k of its different pairs.
+        self.distinct = np.maximum(np.array([len(p) for p in pairs]) - 2 * self.edits, 1)
         flat, owner = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
         order = np.argsort(flat, kind="stable")
         self.pairs, first = np.unique(flat[order], return_index=True)
@@ -97,7 +98,7 @@ class Searcher:
         self.slots[(self.pairs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         # Any passage that qualifies holds `dense` pairs within `narrow` words: it is covered by so many narrow windows that one has its share.
         self.narrow = int((self.lengths + self.edits).min())
-        self.dense = int(np.ceil(self.needed / np.ceil((self.lengths + self.edits) / self.narrow)).min())
+        self.dense = int(np.ceil(self.distinct / np.ceil((self.lengths + self.edits) / self.narrow)).min())
         self.wide = int((self.lengths + self.edits).max())
         rng = np.random.default_rng(11)
         self.samples = {int(n): [(k % WALKS, rng.integers(0, 2 * n, BITS)) for k in range(repetitions())] for n in np.unique(self.lengths)}
@@ -109,10 +110,9 @@ class Searcher:
             self.embedded[k, walk] = cgk(w, np.zeros(1, np.int64), len(w), 2 * len(w), walk)[0]
         return self.embedded[k, walk]
 
-    def _windows(self, k: int, x: np.ndarray) -> np.ndarray:
-        """Starts of the windows of the item's size in x that agree with it in a sample."""
+    def _windows(self, k: int, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Those of the starts whose window of the item's size agrees with it in a sample."""
         n = len(self.items[k][1])
-        starts = np.arange(max(1, len(x) - n + int(self.edits[k]) + 1))
         hit = np.zeros(len(starts), bool)
         for walk in range(WALKS):
             own, item = cgk(x, starts, n, 2 * n, walk), self._item_embedding(k, walk)
@@ -120,7 +120,7 @@ class Searcher:
             for w, sample in self.samples[n]:
                 if w == walk:
                     hit |= same[:, sample].all(1)
-        return np.flatnonzero(hit)
+        return starts[hit]
 
     def _verified(self, k: int, x: np.ndarray, at: int) -> Iterator[Leak]:
         """The best passage of x, then those left and right of it."""
@@ -165,20 +165,36 @@ class Searcher:
                     out[own] += self._stretch(x, lo, hi, int(ends[own] - sizes[own]), maybe, index)
         return [sorted(set(found)) for found in out]
 
-    def _stretch(self, x, lo: int, hi: int, start: int, maybe, index) -> Iterator[Leak]:
-        hits = index[np.searchsorted(maybe, lo) : np.searchsorted(maybe, hi - 1)]
-        if len(hits) < self.needed.min():
+    def _stretch(self, x, lo: int, hi: int, first: int, maybe, index) -> Iterator[Leak]:
+        inside = slice(np.searchsorted(maybe, lo), np.searchsorted(maybe, hi - 1))
+        hits, at = index[inside], maybe[inside]
+        if len(hits) < self.distinct.min():
             return
-        owners = np.concatenate([self.owners[self.owner_at[h] : self.owner_at[h + 1]] for h in hits]) if len(hits) else hits
-        count = np.bincount(owners, minlength=len(self.items))
-        for k in np.flatnonzero(count >= self.needed):
-            own = x[lo:hi]
-            windows = self._windows(int(k), own)
+        kinds = np.unique(hits)
+        held = np.bincount(np.concatenate([self.owners[self.owner_at[h] : self.owner_at[h + 1]] for h in kinds]), minlength=len(self.items))
+        if not (held >= self.distinct).any():
+            return
+        shared = [self.owners[self.owner_at[h] : self.owner_at[h + 1]] for h in hits]
+        sizes = [len(o) for o in shared]
+        owners, places, pair = np.concatenate(shared), np.repeat(at - lo, sizes), np.repeat(hits, sizes)
+        own = x[lo:hi]
+        for k in np.flatnonzero(held >= self.distinct):
+            # A passage near the item has the pairs needed within the longest such passage from its start.
             reach = int(self.lengths[k] + self.edits[k])
+            mine = owners == k
+            place, kind = places[mine], pair[mine]
+            before = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(own)))])
+            start = np.arange(len(own))
+            starts = np.flatnonzero(before[np.minimum(start + reach - 1, len(own))] - before[start] >= self.distinct[k])
+            # Common pairs said again and again aren't a passage: each lot of adjacent starts needs enough different ones.
+            lots = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []
+            enough = [len(np.unique(kind[(place >= g[0]) & (place < g[-1] + reach)])) >= self.distinct[k] for g in lots]
+            starts = np.concatenate([g for g, e in zip(lots, enough) if e]) if any(enough) else starts[:0]
+            windows = self._windows(int(k), own, starts) if len(starts) else starts
             done = 0
             for group in np.split(windows, np.flatnonzero(np.diff(windows) > reach) + 1) if len(windows) else []:
                 a, b = max(done, int(group[0]) - int(self.edits[k])), min(len(own), int(group[-1]) + reach)
-                yield from self._verified(int(k), own[a:b], lo - start + a)
+                yield from self._verified(int(k), own[a:b], lo - first + a)
                 done = b
 
 
