@@ -20,7 +20,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: A term's documents among the toxic ones, at least: this many, and this share.
 MIN_DOCS, MIN_SHARE = 4, 0.008
 #: A term's log odds, at least.
-MIN_ODDS = 2.5
+MIN_ODDS = 4.0
 #: Edits that a misspelling may have, from words of this length on. Shorter terms match exactly.
 EDITS, FUZZY_FROM = 1, 5
 #: Share of a term's weight that a misspelling of it has.
@@ -86,6 +86,11 @@ def intersect(trie: Trie, automaton: LevenshteinAutomaton) -> list[str]:
     return found
 
 
+def shortened(word: str) -> list[str]:
+    """The word, and it without each of its letters."""
+    return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))]
+
+
 @dataclass
 class Matcher:
     """Weight of a raw token: the largest weight of a term it holds, exact or misspelled; 0 for most."""
@@ -95,19 +100,15 @@ class Matcher:
     known: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        long = [t for t in self.terms if len(t) >= FUZZY_FROM]
-        self.trie = Trie(sorted(long))
-        # One edit leaves one half of a term whole: a word that neither starts with a first half nor ends with a second one has no match.
-        self.heads = {t[: len(t) // 2] for t in long}
-        self.tails = {t[len(t) // 2 :] for t in long}
-        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        long = sorted(t for t in self.terms if len(t) >= FUZZY_FROM)
+        self.trie = Trie(long)
+        # Words one edit apart become equal when each loses one letter at most: most words end here, and none that matches does.
+        self.shortened = {x for t in long for x in shortened(t)}
 
     def word(self, w: str) -> float:
         if w in self.terms:
             return self.terms[w]
-        if len(w) < FUZZY_FROM - EDITS:
-            return 0.0
-        if not (any(w[:n] in self.heads for n in self.head_sizes) or any(w[-n:] in self.tails for n in self.tail_sizes)):
+        if len(w) < FUZZY_FROM - EDITS or self.shortened.isdisjoint(shortened(w)):
             return 0.0
         return FUZZY_WEIGHT * max((self.terms[t] for t in intersect(self.trie, LevenshteinAutomaton(w, EDITS))), default=0.0)
 
@@ -155,13 +156,17 @@ class ToxicityModel:
     weights: np.ndarray
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a logistic model with a small penalty: Newton's steps, halved while they don't help."""
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    loss = lambda v: float(np.logaddexp(0, x @ v).sum() - y @ (x @ v) + ridge / 2 * v @ v)
+    for _ in range(60):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        while np.abs(step).max() > 1e-7 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() <= 1e-6:
             break
     return w
 
