@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, table, written
 from .components import components
@@ -247,11 +248,15 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     left = written(named.join(written(mixed, "mixed"), "token", "left_semi"), "left")
+    # What a text shares first stands no earlier than its first entry; a text whose first entry stands too late for a pair is not paired.
+    left = left.withColumn("first", F.min("place").over(Window.partitionBy("key", "tag")))
     a, b = left.alias("a"), left.alias("b")
     sized = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    spare = F.least("a.matches", "b.matches") - F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(float(100 + percent)) - 1e-9)
+    needed = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(float(100 + percent)) - 1e-9)
+    spare = F.least("a.matches", "b.matches") - needed
     near = (F.col("a.place") <= F.col("a.n") + spare) & (F.col("b.place") <= F.col("b.n") + spare)
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized & near)
+    early = (F.col("a.first") <= F.col("a.n") - needed + 1) & (F.col("b.first") <= F.col("b.n") - needed + 1)
+    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & sized & early & near)
     pairs = (
         shared.groupBy(F.col("a.key").alias("key"), F.col("a.tag").alias("tag"), F.col("b.key").alias("key2"), F.col("b.tag").alias("tag2"))
         .agg(F.count("*").alias("shared"), F.min(F.least("a.matches", "b.matches")).alias("needed"))
