@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .hashed_words import NULL_KEY, TOP, WordHashes, deal, gathered, key_column, mix, pack, rolling, sliding_min, text_column, unpack
+from .hashed_words import TOP, WordHashes, deal, gathered, key_column, mix, rolling, sliding_min, text_column, unpack
 
 WINDOW, ANCHOR = 20, 10
 #: Text that a task hashes at a time, in bytes.
@@ -85,38 +86,68 @@ def _flags(order, first, count, key, tag, place, later: bool) -> np.ndarray:
     return any_differs[first]
 
 
-def _flag_rows(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row a document: (key, tag, its places as packed 32-bit numbers)."""
-    order = np.lexsort((place, tag, key))
-    key, tag, place = key[order], tag[order], place[order].astype("<u4")
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])) if len(key) else np.empty(0, np.int64)
-    ends = np.append(new[1:], len(key)) if len(key) else new
-    return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(tag[new]), pa.array([place[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], names=["key", "tag", "places"])
+def squeezed(places: np.ndarray) -> bytes:
+    """Ascending places as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=0).astype("<u4").tobytes())
+
+
+def unsqueezed(value: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(value), "<u4").astype(np.int64))
 
 
-FLAGS = "key long, tag long, places binary"
+def _by_document(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One row a document: (key, tag, its places, each once)."""
+    order = np.lexsort((place, tag, key))
+    key, tag, place = key[order], tag[order], place[order]
+    other = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+    once = np.concatenate([[True], other | (place[1:] != place[:-1])]) if len(key) else np.empty(0, bool)
+    new = np.concatenate([[True], other])[once] if len(key) else once
+    key, tag, place = key[once], tag[once], place[once]
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(tag[first]), pa.array([squeezed(x) for x in np.split(place, first[1:])] if len(first) else [], pa.binary())], names=["key", "tag", "places"])
 
 
 def _lookup(dealt: DataFrame, parts: int, later: bool) -> DataFrame:
-    """Places (key, tag, places) that the index blocks flag. dealt: (block, known, packed hash, key, tag, place)."""
+    """(key, tag, places) of the documents with places that the index blocks flag. dealt: (block, known, packed hash, key, tag, place).
+
+    A block sends its flags on by document in one row a destination, so the rows exchanged don't grow
+    with the documents times the blocks.
+    """
+
+    def home(key: np.ndarray) -> np.ndarray:
+        return (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+    def sent(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((place, tag, key))
+        key, tag, place = key[order], tag[order], place[order]
+        found = list(deal(home(key), [key.astype(np.uint64), tag, place], parts)) if len(key) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["home", "packed"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new: list[list[np.ndarray]] = []
+        flagged: list[list[np.ndarray]] = []
         for batch in batches:
             for known, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 columns = unpack(value, 4)
-                if known:
-                    yield _flag_rows(*columns[1:])
-                else:
-                    new.append(columns)
+                flagged.append(columns[1:]) if known else new.append(columns)
         if new:
             h, key, tag, place = (np.concatenate(c) for c in zip(*new))
             new.clear()
             order, first, count = _grouped(h, key, tag, place)
             hit = order[_flags(order, first, count, key, tag, place, later)]
-            yield _flag_rows(key[hit], tag[hit], place[hit])
+            flagged.append([key[hit], tag[hit], place[hit]])
+        if flagged:
+            yield sent(*(np.concatenate(c) for c in zip(*flagged)))
 
-    return dealt.repartitionById(parts, "block").mapInArrow(block, FLAGS)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [unpack(v, 3) for batch in batches for v in batch.column(1).to_pylist()]
+        if found:
+            key, tag, place = (np.concatenate(c) for c in zip(*found))
+            found.clear()
+            yield _by_document(key.astype(np.int64), tag, place)
+
+    flags = dealt.repartitionById(parts, "block").mapInArrow(block, "home int, packed binary")
+    return flags.repartitionById(parts, "home").mapInArrow(merged, "key long, tag long, places binary")
 
 
 def _deal_places(h, key, tag, place, parts: int, later: bool) -> Iterator[tuple[int, bool, bytes]]:
@@ -143,7 +174,7 @@ DEALT = "block int, known boolean, packed binary"
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(texts, flags): texts (doc_id, key, tag, text) and, for the documents that have any, flags (key, tag, lists of packed places) of windows that occur at an earlier place.
+    """(texts, flags): texts (doc_id, key, tag, text) and, for the documents that have any, flags (key, tag, places) of windows that occur at an earlier place.
 
     A place is a document's key, then its text's crc (rows that share a key), then the word. Equal rows are one document.
     """
@@ -161,24 +192,21 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             yield _rows(list(_deal_places(lot.grams[at], key, tag, lot.place[at], parts, False)))
 
     repeated = _lookup(texts.select("key", "tag", "text").mapInArrow(anchors, DEALT), parts, False)
-    by_doc = repeated.groupBy("key", "tag").agg(F.collect_list("places").alias("places"))
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in gathered(batches, LOT):
             lot = Lot([r[3] for r in rows], hashes, window, anchor)
             flagged = np.zeros(len(lot.words), bool)
             for start, r in zip(lot.starts, rows):
-                for p in r[2]:
-                    flagged[start + np.frombuffer(p, "<u4")] = True
+                flagged[start + unsqueezed(r[2])] = True
             at = lot.windows_with(flagged)
             key, tag = (np.array([r[k] for r in rows], np.int64)[lot.doc[at]] for k in (0, 1))
             h = rolling(lot.words, window)[at] if len(at) else np.empty(0, np.uint64)
             yield _rows(list(_deal_places(h, key, tag, lot.place[at], parts, True)))
 
-    candidates = texts.join(by_doc, ["key", "tag"]).select("key", "tag", "places", "text")
+    candidates = texts.join(repeated, ["key", "tag"]).select("key", "tag", "places", "text")
     later = _lookup(candidates.mapInArrow(windows, DEALT), parts, True)
-    return texts, later.groupBy("key", "tag").agg(F.collect_list("places").alias("places"))
+    return texts, later
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -198,7 +226,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 words = text.split()
                 factors = []
                 if places:
-                    at = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in places])).astype(np.int64)
+                    at = unsqueezed(places)
                     breaks = np.flatnonzero(np.diff(at) > window)  # windows that touch or overlap are one span
                     factors = list(zip(at[np.append(0, breaks + 1)].tolist(), (at[np.append(breaks, len(at) - 1)] + window).tolist()))
                 kept, end = [], 0
