@@ -27,37 +27,53 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A chunk that is a word, and stops or commas. The tokenizer's split never joins these with a letter, so both parts can be encoded by themselves.
+WORD_AND_STOP = re.compile(r"([ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+
 class Encoder:
     """Encodes texts to packed little-endian ids, keeping the ids of chunks it has met (at most `kept` of them)."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.kept = kept
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if OTHER_BLANKS.search(text):
-            return self._packed([text])[0]
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.known) > self.kept:
-            self.known.clear()
-        new = list({*chunks}.difference(self.known))
-        self.known.update(zip(new, self._packed(new)))
-        return b"".join(map(self.known.__getitem__, chunks))
+    def _packed_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, which the tokenizer's split leaves whole, so it is skipped."""
+        return [np.asarray(x.ids, self.type).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = chunks.difference(self.known)
+        if not new:
+            return
+        if len(self.known) + len(new) > self.kept:
+            self.known = {"": b""}
+            new = chunks
+        parts = {c: m.groups() for c in new if (m := WORD_AND_STOP.fullmatch(c))}
+        words = list({w for w, _ in parts.values()}.difference(self.known))
+        self.known.update(zip(words, self._packed_words(words)))
+        rest = list({stop for _, stop in parts.values()}.union(new.difference(parts)).difference(self.known))
+        self.known.update(zip(rest, self._packed(rest)))
+        self.known.update((c, self.known[word] + self.known[stop]) for c, (word, stop) in parts.items())
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text; none for a null or empty one."""
+        plain = [CHUNK.findall(x) if x and not OTHER_BLANKS.search(x) else None for x in texts]
+        self._learn(set().union(*(c for c in plain if c)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) if c else self._packed([x])[0] if x else b"" for x, c in zip(texts, plain)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,7 +104,7 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
         end = np.asarray([end_id], encode_text.type).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed = [encode_text(x) + end for x in batch.column(1).to_pylist()]
+            packed = [x + end for x in encode_text(batch.column(1).to_pylist())]
             counts = np.asarray([len(x) for x in packed], np.int64) // encode_text.type.itemsize
             starts = before + np.cumsum(counts) - counts
             before += int(counts.sum())
