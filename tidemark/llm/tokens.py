@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,25 +44,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         self.kept = kept
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _packed_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, which the tokenizer's split leaves whole, so it is skipped."""
-        return [np.asarray(x.ids, self.type).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > self.kept:
-            self.known = {"": b""}
-            new = chunks
+    def _learn(self, new: set[str]) -> None:
+        """Encodes chunks that aren't known."""
         parts = {c: m.groups() for c in new if (m := WORD_AND_STOP.fullmatch(c))}
         words = list({w for w, _ in parts.values()}.difference(self.known))
         self.known.update(zip(words, self._packed_words(words)))
@@ -71,7 +69,11 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; none for a null or empty one."""
         plain = [CHUNK.findall(x) if x and not OTHER_BLANKS.search(x) else None for x in texts]
-        self._learn(set().union(*(c for c in plain if c)))
+        new = {*filterfalse(self.known.__contains__, chain.from_iterable(c for c in plain if c))}
+        if len(self.known) + len(new) > self.kept:
+            self.known = {"": b""}
+            new = {*chain.from_iterable(c for c in plain if c)}
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) if c else self._packed([x])[0] if x else b"" for x, c in zip(texts, plain)]
 
