@@ -6,10 +6,10 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Blanks and the word after them. The tokenizer's own split always starts a piece where a run of blanks starts, so each such chunk can be encoded by itself.
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Other white space, which could join a run of blanks; a text with any is encoded in one go.
-OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+#: The blanks that part chunks. The tokenizer's own split always starts a piece where a run of blanks starts, so a chunk, a run of blanks and the word after it, can be encoded by itself.
+BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+#: Other white space, which could join a run of blanks; a text with any is one chunk.
+OTHER_BLANKS = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+#: Bytes of text that are encoded at a time, and the longest chunk whose ids are kept.
+LOT, LONGEST_KEPT = 4_000_000, 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,13 +32,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: A chunk that is a word, and stops or commas. The tokenizer's split never joins these with a letter, so both parts can be encoded by themselves.
-WORD_AND_STOP = re.compile(r"([ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+WORD_AND_STOP = re.compile(rb"([ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]*)")
 
 
 class Encoder:
-    """Encodes texts to packed little-endian ids, keeping the ids of chunks it has met (at most `kept` of them)."""
+    """Encodes texts to ids. The ids of chunks met lately are kept in two generations of about `kept` each."""
 
-    def __init__(self, path: str, kept: int = 1_500_000):
+    def __init__(self, path: str, kept: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -45,37 +47,94 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.kept = kept
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _packed(self, chunks: list[bytes]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
-    def _packed_words(self, words: list[str]) -> list[bytes]:
+    def _packed_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, which the tokenizer's split leaves whole, so it is skipped."""
-        return [array(self.code, x.ids).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encodes chunks that aren't known."""
-        parts = {c: m.groups() for c in new if (m := WORD_AND_STOP.fullmatch(c))}
-        words = list({w for w, _ in parts.values()}.difference(self.known))
-        self.known.update(zip(words, self._packed_words(words)))
-        rest = list({stop for _, stop in parts.values()}.union(new.difference(parts)).difference(self.known))
-        self.known.update(zip(rest, self._packed(rest)))
-        self.known.update((c, self.known[word] + self.known[stop]) for c, (word, stop) in parts.items())
+        return [array(self.code, x.ids).tobytes() for x in self.words.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _recall(self, chunk: bytes) -> bytes | None:
+        ids = self.known.get(chunk)
+        if ids is None and (ids := self.older.get(chunk)) is not None:
+            self.known[chunk] = ids
+        return ids
+
+    def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The packed ids of different chunks."""
+        out = list(map(self.known.get, chunks))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for k in missing:
+            out[k] = self._recall(chunks[k])
+        missing = [k for k in missing if out[k] is None]
+        new = [chunks[k] for k in missing]
+        if new:
+            parts = {c: m.groups() for c in new if (m := WORD_AND_STOP.fullmatch(c))}
+            whole = [c for c in new if c not in parts]
+            found = {b"": b"", **dict(zip(whole, self._packed(whole)))}
+            words = [w for w in {w for w, _ in parts.values()} if self._recall(w) is None]
+            found.update(zip(words, self._packed_words(words)))
+            stops = [s for s in {s for _, s in parts.values() if s} if self._recall(s) is None]
+            found.update(zip(stops, self._packed(stops)))
+            for c, (word, stop) in parts.items():
+                if stop:
+                    found[c] = (found.get(word) or self.known[word]) + (found.get(stop) or self.known[stop])
+            for k, c in zip(missing, new):
+                out[k] = found[c]
+            self.known.update(found if max(map(len, new)) <= LONGEST_KEPT else {c: ids for c, ids in found.items() if len(c) <= LONGEST_KEPT})
+        if len(self.known) > self.kept:
+            self.known, self.older = {}, self.known
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, the number of each text's); none for a null or empty text.
+
+        Chunks are found by place in the texts' bytes, each different one is looked up once, and its ids
+        are copied to all its places by numpy.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, OTHER_BLANKS).to_numpy(zero_copy_only=False))
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        if not bounds[-1]:
+            return np.empty(0, self.type), np.zeros(len(sizes), np.int64)
+        begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[begin : begin + bounds[-1]]
+        blank = BLANK[data]
+        starts = blank.copy()
+        starts[1:] &= ~blank[:-1]
+        for d in odd:
+            starts[bounds[d] : bounds[d + 1]] = False
+        starts[bounds[:-1][sizes > 0]] = True
+        at = np.flatnonzero(starts).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, np.int32(len(data)))), pa.py_buffer(data)]).dictionary_encode()
+        code, packed = chunks.indices.to_numpy(), self._chunk_ids(chunks.dictionary.to_pylist())
+        length = np.fromiter(map(len, packed), np.int32, len(packed)) // self.type.itemsize
+        first, each = (np.cumsum(length, dtype=np.int32) - length)[code], length[code]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int32)])
+        place = np.repeat(first - ends[:-1], each)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(packed), self.type)[place]
+        return ids, np.diff(ends[np.searchsorted(at, bounds)]).astype(np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text; none for a null or empty one."""
-        plain = [CHUNK.findall(x) if x and not OTHER_BLANKS.search(x) else None for x in texts]
-        new = {*filterfalse(self.known.__contains__, chain.from_iterable(c for c in plain if c))}
-        if len(self.known) + len(new) > self.kept:
-            self.known = {"": b""}
-            new = {*chain.from_iterable(c for c in plain if c)}
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c else self._packed([x])[0] if x else b"" for x, c in zip(texts, plain)]
+        """The packed ids of each text."""
+        ids, counts = self.ids(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
+def lots(texts: pa.Array, limit: int = LOT) -> Iterator[pa.Array]:
+    """The texts in slices of about `limit` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(total // limit)) + 1 if len(total) else total
+    for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
+        yield texts.slice(lo, hi - lo)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -103,17 +162,17 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = encoder(path)
-        end = np.asarray([end_id], encode_text.type).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed = [x + end for x in encode_text(batch.column(1).to_pylist())]
-            counts = np.asarray([len(x) for x in packed], np.int64) // encode_text.type.itemsize
-            starts = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.full(len(packed), part, np.int32)), pa.array(starts), pa.array(counts), pa.array(packed, pa.binary())],
-                names=["doc_id", "part", "part_start", "n_tokens", "ids"],
-            )
+            lo = 0
+            for texts in lots(batch.column(1)):
+                ids, counts = encode_text.ids(texts)
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                own = batch.column(0).slice(lo, len(counts)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(counts), part, np.int32)), pa.array(before + ends[:-1]), pa.array(counts), packed], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
+                lo, before = lo + len(counts), before + int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids binary"), "tokens")
