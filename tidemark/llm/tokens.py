@@ -38,7 +38,7 @@ WORD_AND_STOP = re.compile(rb"([ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]
 class Encoder:
     """Encodes texts to ids. The ids of chunks met lately are kept in two generations of about `kept` each."""
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
