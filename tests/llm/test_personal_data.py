@@ -53,6 +53,32 @@ def test_patterns_are_bootstrapped(spark):
     assert clean[0].text == "aa bb cc password=<SECRET> dd ee" and clean[0].n_chars == len(clean[0].text)
 
 
+def test_seeds_are_found_without_patterns(spark):
+    docs = documents(spark, [(k, "zz passwd=0a1b2c3d4e yy", "en", "s", 23, *["z"] * 10) for k in range(30)])
+    patterns = P.learn_patterns(docs)
+    assert patterns == {}  # copies of a leaked value count once
+    assert all([(x.kind, x.start, x.end) for x in r.spans] == [("secret", 10, 20)] for r in P.find(docs, patterns).collect())
+
+
+def test_support_does_not_grow_with_the_corpus(spark):
+    data, _ = secrets()
+    docs = documents(spark, data)
+    rest = spark.range(2_500_000).selectExpr("id + 1000 as doc_id", "'1' as text")
+    assert P.learn_patterns(docs.select("doc_id", "text").unionByName(rest)) == P.learn_patterns(docs) != {}
+
+
+def test_many_patterns_stay_a_table(spark, monkeypatch):
+    data, _ = secrets()
+    docs = documents(spark, [*data, data[3], data[3], (900, None, None, None, None, *["z"] * 10), (901, "", "", "", 0, *["z"] * 10), (None, data[48][1], "", "", 0, *["z"] * 10)])
+    few = P.learn_patterns(docs)
+    monkeypatch.setattr(P, "KEPT_PATTERNS", 1)
+    many = P.learn_patterns(docs)
+    assert not isinstance(many, dict) and {r.pattern: r.score for r in many.collect()} == few
+    for run in (P.find, P.redact):
+        assert run(docs, many).columns == run(docs, few).columns
+        assert Counter(map(str, run(docs, many).collect())) == Counter(map(str, run(docs, few).collect()))
+
+
 def test_every_row(spark, monkeypatch):
     from tidemark.llm import personal_data
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import xxhash
@@ -29,8 +29,10 @@ BLANK = re.compile(r"\s")
 VALUE = re.compile(r"""^([^=:"']*[=:])?(["'(\[<]*)(.*?)[^0-9A-Za-z+/=_-]*$""", re.S)
 #: Shortest value that can be an identifier, rounds of scoring, and what a pattern needs to be used.
 MIN_LENGTH, ROUNDS, MIN_SCORE, MIN_SUPPORT = 8, 3, 0.8, 5
-#: A pattern's instances, at least, as a share of the documents. It bounds the number of patterns, whatever the corpus' size.
-SUPPORT_SHARE = 1e-5
+#: So many trusted patterns are given to all tasks; more stay a table and are joined with the candidates' patterns.
+KEPT_PATTERNS = 50_000
+#: Columns of our own beside those of the documents.
+KEY, OWN = "personal data: text's key", "personal data: text's trusted patterns"
 
 Span = tuple[int, int]
 
@@ -128,64 +130,88 @@ def _edges(docs: DataFrame) -> DataFrame:
     return written(rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
 
 
-def learn_patterns(docs: DataFrame) -> dict[str, float]:
-    """Patterns that can be trusted, with their scores.
+def learn_patterns(docs: DataFrame) -> dict[str, float] | DataFrame:
+    """Patterns that can be trusted, with their scores: a table (pattern, score) if there are more than KEPT_PATTERNS.
 
     Seeds have confidence 1. In each round a pattern's score is the mean confidence of its distinct
     instances, and an instance's confidence the best score of its patterns that have enough support. The
-    support grows with the corpus (SUPPORT_SHARE), so the patterns that are collected and given to all
-    tasks stay within a fixed number: a document's candidates over that share.
+    support is the same for every size of corpus.
     """
     small_batches(docs.sparkSession)
     edges = _edges(docs)
-    support = max(MIN_SUPPORT, math.ceil(SUPPORT_SHARE * docs.count()))
     confidence = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("confidence"))
     for k in range(ROUNDS):
         scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.avg("confidence").alias("score"), F.count("*").alias("support"))
-        trusted = scored.where((F.col("support") >= support) & (F.col("score") >= (MIN_SCORE if k == ROUNDS - 1 else MIN_SCORE / 2)))
+        trusted = scored.where((F.col("support") >= MIN_SUPPORT) & (F.col("score") >= (MIN_SCORE if k == ROUNDS - 1 else MIN_SCORE / 2)))
         if k < ROUNDS - 1:
             confidence = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0)))).alias("confidence"))
-    return {r.pattern: r.score for r in trusted.collect()}
+    trusted = written(trusted.select("pattern", "score"), "patterns")
+    kept = trusted.limit(KEPT_PATTERNS + 1).collect()
+    return {r.pattern: r.score for r in kept} if len(kept) <= KEPT_PATTERNS else trusted
 
 
-def all_spans(text: str | None, patterns: dict[str, float]) -> list[list[Span]]:
-    """Spans of each of KINDS."""
+def _with_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows with a last column more: which of the patterns the candidates of their text have. Equal texts have equal ones, so a text is known by its hash."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, str], None] = {}
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text:
+                    taken = [x for spans in base_spans(text) for x in spans]
+                    found |= {(key, p): None for *_, own, _ in candidates(text, taken) for p in own}
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in found], pa.string()) for j in (0, 1)], names=[KEY, "pattern"])
+
+    text = F.col("text").cast("string")
+    key = F.when(F.length(text) > 0, F.md5(text.cast("binary"))).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    keyed = docs.withColumn(KEY, key)
+    pairs = keyed.select(KEY, text.alias("text")).mapInArrow(scan, f"`{KEY}` string, pattern string").distinct()
+    own = pairs.join(patterns.select("pattern"), "pattern").groupBy(KEY).agg(F.collect_list("pattern").alias(OWN))
+    return keyed.join(own, KEY, "left").select(*(keyed[c] for c in docs.columns), own[OWN])
+
+
+def all_spans(text: str | None, patterns: Container[str]) -> list[list[Span]]:
+    """Spans of each of KINDS. A seed is one whatever the patterns."""
     if not text:
         return [[] for _ in KINDS]
     base = base_spans(text)
     if not DIGITS.search(text):
         return [*base, []]
     taken = [x for spans in base for x in spans]
-    return [*base, [(s, e) for s, e, value, found, _ in candidates(text, taken) if SEED_FORM.fullmatch(value) or any(p in patterns for p in found)]]
+    return [*base, [(s, e) for s, e, _, found, seed in candidates(text, taken) if seed or any(p in patterns for p in found)]]
 
 
-def find(docs: DataFrame, patterns: dict[str, float]) -> DataFrame:
-    """(doc_id, spans array of (kind, start, end)) of every row: base spans, and those of trusted patterns as kind secret, in order of kind and start.
+def find(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
+    """(doc_id, spans array of (kind, start, end)) of every row: base spans, and seeds and those of trusted patterns as kind secret, in order of kind and start.
 
     A null or empty text has none; repeated rows are searched each; an empty table gives no row; further columns are ignored.
     """
     small_batches(docs.sparkSession)
+    joined = isinstance(patterns, DataFrame)
+    shared = {} if joined else patterns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            rows = [[{"kind": k, "start": s, "end": e} for k, spans in zip(KINDS, all_spans(x, patterns)) for s, e in spans] for x in batch.column(1).to_pylist()]
+            rows = [[{"kind": k, "start": s, "end": e} for k, spans in zip(KINDS, all_spans(x, own or ())) for s, e in spans] for x, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if joined else repeat(shared))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
+    return (_with_patterns(rows, patterns) if joined else rows).mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
 
 
-def redact(docs: DataFrame, patterns: dict[str, float]) -> DataFrame:
+def redact(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
     """The rows with each span of their text replaced by its kind in angle brackets; all other columns, but n_chars, which follows, stay."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, n = docs.columns.index("text"), len(docs.columns)
+    joined = isinstance(patterns, DataFrame)
+    shared = {} if joined else patterns
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, own: Container[str]) -> str | None:
         if not text:
             return text
         out, end = [], 0
-        for s, e, k in sorted((s, e, k) for k, spans in zip(KINDS, all_spans(text, patterns)) for s, e in spans):
+        for s, e, k in sorted((s, e, k) for k, spans in zip(KINDS, all_spans(text, own)) for s, e in spans):
             if s >= end:
                 out += [text[end:s], f"<{k.upper()}>"]
             end = max(e, end)
@@ -193,10 +219,11 @@ def redact(docs: DataFrame, patterns: dict[str, float]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([clean(x) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+            owns = batch.column(n).to_pylist() if joined else repeat(shared)
+            texts = pa.array([clean(x, own or ()) for x, own in zip(batch.column(at).to_pylist(), owns)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns[:n])], names=batch.schema.names[:n])
 
-    out = docs.mapInArrow(rows, docs.schema)
+    out = (_with_patterns(docs, patterns) if joined else docs).mapInArrow(rows, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
