@@ -60,6 +60,27 @@ def test_seeds_are_found_without_patterns(spark):
     assert all([(x.kind, x.start, x.end) for x in r.spans] == [("secret", 10, 20)] for r in P.find(docs, patterns).collect())
 
 
+def test_seeds_need_no_digit_and_no_length():
+    told = lambda t: [t[s:e] for s, e in P.all_spans(t, {})[-1]]
+    assert told("password=correct-horse-battery") == ["correct-horse-battery"]
+    assert told("so pwd=abc123, then") == ["abc123"]
+    assert told('Secret : "correct horse" and {"token": "ab", "api_key":\'cd\'} PASSWD=x.') == ["correct horse", "ab", "cd", "x"]
+    assert told("https://a.b/?token=abc x") == ["abc"]
+    assert told('the password is lost; nopassword=abc my-token:abc password="" pwd: ...') == []
+    assert told("password=a.b@c.de token: 10.1.2.3") == []  # those are found as what they are
+
+
+def test_words_around_are_patterns(spark):
+    hexes = [hashlib.sha256(str(k).encode()).hexdigest()[:18] for k in range(30)]
+    texts = [f"password={h}" for h in hexes[:16]] + [f"w{k} my account number is {h} w{k}" for k, h in enumerate(hexes[:8] + hexes[20:21])]
+    texts += [f"w{k} {h} expires next week w{k}" for k, h in enumerate(hexes[8:16] + hexes[21:22])]
+    texts += [f"the part number is {h} w{k}" for k, h in enumerate(hexes[22:30])]
+    docs = documents(spark, [(k, t, "en", "s", len(t), *["z"] * 10) for k, t in enumerate(texts)])
+    found = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans] for r in P.find(docs, P.learn_patterns(docs)).collect()}
+    assert found[24] == hexes[20:21] and found[33] == hexes[21:22]
+    assert all(len(found[k]) == 1 for k in range(34)) and not any(found[k] for k in range(34, 42))
+
+
 def test_support_does_not_grow_with_the_corpus(spark):
     data, _ = secrets()
     docs = documents(spark, data)

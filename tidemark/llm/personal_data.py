@@ -27,7 +27,14 @@ SEED_FORM = re.compile(r"AKIA[0-9A-Z]{16}")
 DIGITS = re.compile(r"[0-9]+")
 BLANK = re.compile(r"\s")
 VALUE = re.compile(r"""^([^=:"']*[=:])?(["'(\[<]*)(.*?)[^0-9A-Za-z+/=_-]*$""", re.S)
-#: Shortest value that can be an identifier, rounds of scoring, and what a pattern needs to be used.
+#: A seed's sign, name before it, and value after it: quoted, or up to a blank and without the punctuation at its end.
+SIGN = re.compile("[=:]+>?")
+SEED_NAME = re.compile(rf"(?<![\w-])(?:{'|'.join(sorted(SEED_NAMES))})\Z", re.I)
+SEED_VALUE = re.compile(r"""\s*(?:""|''|"([^"\n]+)"|'([^'\n]+)'|["'`(\[{<]*(\S*))""")
+MARKS = ".,;:!?)]}>\"'`"
+#: Words before and after a value that are its lexical patterns, and the characters they are looked for in.
+WORDS, NEAR = 3, 80
+#: Shortest value without a seed's name that can be an identifier, rounds of scoring, and what a pattern needs to be used.
 MIN_LENGTH, ROUNDS, MIN_SCORE, MIN_SUPPORT = 8, 3, 0.8, 5
 #: So many trusted patterns are given to all tasks; more stay a table and are joined with the candidates' patterns.
 KEPT_PATTERNS = 50_000
@@ -76,12 +83,50 @@ def form(value: str) -> str:
     return f"{kind}{len(value)}"
 
 
+def named_seeds(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(start of the name, start, end, pattern of the name) of the values assigned to one of SEED_NAMES, of any length and characters."""
+    end = 0
+    for m in SIGN.finditer(text):
+        at = m.start()
+        while at > end and text[at - 1].isspace():
+            at -= 1
+        at -= at > end and text[at - 1] in "\"'`"
+        name = SEED_NAME.search(text, max(end, at - 12), at)
+        if not name:
+            continue
+        v = SEED_VALUE.match(text, m.end())
+        if not v.lastindex:
+            continue
+        s, e = v.span(v.lastindex)
+        e = s + len(text[s:e].rstrip(MARKS)) if v.lastindex == 3 else e
+        if any(map(str.isalnum, text[s:e])):
+            before = text[name.start() : s].rstrip("\"'`([{<")
+            yield name.start(), s, e, ("after " if BLANK.search(before) else "name ") + " ".join(before.lower().split())
+            end = e
+
+
+def words_around(text: str, start: int, end: int, name: str) -> Iterator[str]:
+    """Patterns of the one to three words before and after a place. A value that is assigned to a name belongs to it: the name is then part of each."""
+    tell = lambda ws: " ".join(w.strip(MARKS + "([{<") for w in ws).lower()
+    before, after = text[max(0, start - NEAR) : start].split()[-WORDS:], text[end : end + NEAR].split()[:WORDS]
+    for n in range(1, len(before) + 1):
+        yield f"before {tell(before[-n:])} | {name}"
+    for n in range(1, len(after) + 1):
+        yield f"then {tell(after[:n])} | {name}"
+
+
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, str, list[str], bool]]:
-    """(start, end, value, patterns, seed) of the tokens that could be identifiers: a digit in them, long enough, outside the spans taken.
+    """(start, end, value, patterns, seed) by place: values of seed names that no span taken covers, and the other tokens that could be identifiers: a digit in them, long enough, outside the spans taken.
 
     Patterns are lexical: the name before the value in its own token, the words before a token after an
-    assignment sign, and the value's leading letters with its form.
+    assignment sign, the value's leading letters with its form, and the words around.
     """
+    own = list(named_seeds(text))
+    seeds, out = [(s, e) for _, s, e, _ in own], []
+    for at, s, e, name in own:
+        if not any(a <= s and e <= b for a, b in taken):
+            stop = BLANK.search(text, e)
+            out.append((s, e, text[s:e], [name, *_head(text[s:e]), *words_around(text, at, stop.start() if stop else len(text), name)], True))
     end = 0
     for m in DIGITS.finditer(text):
         if m.start() < end:
@@ -91,24 +136,31 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, str, li
             s -= 1
         stop = BLANK.search(text, m.end())
         end = stop.start() if stop else len(text)
-        if end - s < MIN_LENGTH or any(a < end and s < b for a, b in taken):
+        if end - s < MIN_LENGTH or any(a < end and s < b for spans in (taken, seeds) for a, b in spans):
             continue
         v = VALUE.match(text[s:end])
         name, value = v.group(1) or "", v.group(3)
         if len(value) < MIN_LENGTH or not DIGITS.search(value):
             continue
         start = s + v.start(3)
-        patterns, names = [], [name.rstrip("=:").lower()]
+        patterns, names, at = [], [name.rstrip("=:").lower()], s
         if len(name) > 1:
             patterns.append(f"name {name.lower()}")
-        before = text[max(0, s - 80) : s].split()[-2:]
+        before = text[max(0, s - NEAR) : s].split()[-2:]
         if before and before[-1][-1] in "=:":
-            patterns.append("after " + " ".join(before[-2:] if len(before[-1]) == 1 else before[-1:]).lower())
+            own_words = before[-2:] if len(before[-1]) == 1 else before[-1:]
+            patterns.append("after " + " ".join(own_words).lower())
             names += [w.rstrip("=:").lower() for w in before]
-        if value[:4].isalpha() and value[:4].isupper():
-            patterns.append(f"head {value[:4]} {form(value)}")
-        if patterns:
-            yield start, start + len(value), value, patterns, bool(SEED_NAMES.intersection(names) or SEED_FORM.fullmatch(value))
+            at = text.rindex(own_words[0], 0, s)
+        around = words_around(text, at, end, patterns[-1] if patterns else "")
+        patterns += [*_head(value), *around]
+        if patterns or SEED_FORM.fullmatch(value):
+            out.append((start, start + len(value), value, patterns, bool(SEED_NAMES.intersection(names) or SEED_FORM.fullmatch(value))))
+    yield from sorted(out)
+
+
+def _head(value: str) -> list[str]:
+    return [f"head {value[:4]} {form(value)}"] if value[:4].isalpha() and value[:4].isupper() else []
 
 
 def _edges(docs: DataFrame) -> DataFrame:
@@ -118,7 +170,7 @@ def _edges(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[tuple[str, int], int] = {}
             for text in batch.column(0).to_pylist():
-                if text and DIGITS.search(text):
+                if text:
                     taken = [x for spans in base_spans(text) for x in spans]
                     for _, _, value, patterns, seed in candidates(text, taken):
                         h = xxhash.xxh3_64_intdigest(value.encode()) - 2**63
@@ -138,11 +190,17 @@ def learn_patterns(docs: DataFrame) -> dict[str, float] | DataFrame:
     support is the same for every size of corpus.
     """
     small_batches(docs.sparkSession)
-    edges = _edges(docs)
+    found = _edges(docs)
+    # A seed is one in all its contexts. Patterns with too few instances never count, so most edges end here.
+    seeds = found.where("seed = 1").select("instance").distinct().withColumn("known", F.lit(1))
+    supported = found.groupBy("pattern").count().where(F.col("count") >= MIN_SUPPORT).select("pattern")
+    edges = written(found.join(supported, "pattern").join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(0)).alias("seed")), "supported")
     confidence = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("confidence"))
     for k in range(ROUNDS):
-        scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.avg("confidence").alias("score"), F.count("*").alias("support"))
-        trusted = scored.where((F.col("support") >= MIN_SUPPORT) & (F.col("score") >= (MIN_SCORE if k == ROUNDS - 1 else MIN_SCORE / 2)))
+        scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.avg("confidence").alias("score"))
+        # Words around stand in for each other, and would lift their common instances together if half the score were enough.
+        around = F.col("pattern").startswith("before ") | F.col("pattern").startswith("then ")
+        trusted = scored.where(F.col("score") >= (F.lit(MIN_SCORE) if k == ROUNDS - 1 else F.when(around, MIN_SCORE).otherwise(MIN_SCORE / 2)))
         if k < ROUNDS - 1:
             confidence = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0)))).alias("confidence"))
     trusted = written(trusted.select("pattern", "score"), "patterns")
@@ -175,8 +233,6 @@ def all_spans(text: str | None, patterns: Container[str]) -> list[list[Span]]:
     if not text:
         return [[] for _ in KINDS]
     base = base_spans(text)
-    if not DIGITS.search(text):
-        return [*base, []]
     taken = [x for spans in base for x in spans]
     return [*base, [(s, e) for s, e, _, found, seed in candidates(text, taken) if seed or any(p in patterns for p in found)]]
 
