@@ -34,6 +34,28 @@ def test_alignment(item, x):
     assert d == nearest(item, x) and nearest(item, x[s:e]) <= d and 0 <= s <= e <= len(x)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.lists(st.integers(0, 3), max_size=90))
+def test_bit_vectors(item, x):
+    assert D.nearest(np.array(item, np.uint64), np.array(x, np.uint64)) == nearest(item, x)
+
+
+def test_recall_of_long_items_at_the_limit_by_kind_of_edit():
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(3000)}"
+    for n in (20, 80, 150, 300):
+        item = [word() for _ in range(n)]
+        searcher = D.Searcher([(1, " ".join(item).encode())])
+        for kind in ("delete", "insert", "replace", "mixed"):
+            texts = []
+            for _ in range(12):
+                w = list(item)
+                for p in sorted(rng.sample(range(n), n // 5), reverse=True):
+                    w[p : p + 1] = {"delete": [], "insert": [w[p], word()], "replace": [word()]}[rng.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind]
+                texts.append(" ".join([word() for _ in range(40)] + w + [word() for _ in range(40)]).encode())
+            assert all(searcher.search(texts)), (n, kind)
+
+
 def test_embedding_keeps_near_sequences_near():
     rng = np.random.default_rng(4)
     near, far = [], []

@@ -1,14 +1,13 @@
-"""Operator 1, benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Operator 1, benchmark decontamination: a lossless count of word pairs, then exact edit verification by bit-parallel rows.
 
 The unit is the word: lower-cased, ASCII punctuation taken as blanks. A passage of a document is a leak of
 an item of L words if its edit distance to it is at most L / 5 words (a similarity of 0.8 or more).
 
 A window within k edits of an item shares all but 2k of its different word pairs with it. Only stretches of a
-document with that many of an item's pairs get windows of that item's size; this loses no case. A CGK
-embedding walks along a window: at each step it writes the word it stands on and moves on if a random
-bit of step and word says so, so that two sequences that differ by an edit fall into step again and few
-coordinates differ. Bit sampling compares a few random coordinates of a window's and an item's embedding,
-as often as the target recall asks for. What agrees once is verified by the exact edit distance.
+document with that many of an item's pairs are looked at; this loses no case. All of these are verified by the
+exact edit distance (nearest), whose row of differences is a pair of integers of L bits, a few operations a
+word. It replaces CGK embeddings and bit sampling: near the limit of L / 5 edits the share of equal coordinates
+falls with L, so that a recall of 0.99 takes more walks than the verification of all starts takes time.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from .hashed_words import WordHashes, gathered, rolling, text_column
 LEAST_WORDS = 5
 #: Edits allowed, as a share of the item's words.
 EDIT_SHARE = 0.2
-#: Target recall of a window within that distance, the share of embedding coordinates expected to agree there, coordinates a sample, and random walks.
-RECALL, CLOSENESS, BITS, WALKS = 0.99, 0.5, 2, 4
 #: Items are searched in blocks of at most so many bytes, each block given to all tasks.
 BLOCK_BYTES = 16_000_000
 LOT = 4_000_000
@@ -39,12 +36,8 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PUNCTUATION, b"abcdefghi
 Leak = tuple[int, int, int, int]  # item, first word, words, distance
 
 
-def repetitions(recall: float = RECALL, closeness: float = CLOSENESS, bits: int = BITS) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - closeness**bits))
-
-
 def cgk(x: np.ndarray, starts: np.ndarray, length: int, steps: int, walk: int) -> np.ndarray:
-    """Embeddings, one row a window of x from starts: `steps` words each, 0 beyond the window's end."""
+    """CGK embeddings, one row a window of x from starts: `steps` words each, 0 beyond the window's end. The search doesn't need them."""
     at, end = starts.copy(), starts + length
     out = np.zeros((len(starts), steps), np.uint64)
     for j in range(steps):
@@ -56,6 +49,29 @@ def cgk(x: np.ndarray, starts: np.ndarray, length: int, steps: int, walk: int) -
     return out
 
 
+def nearest(item: np.ndarray, x: np.ndarray) -> int:
+    """Least edit distance of the item to any stretch of x, by Myers' bit vectors: bits of the item's words, in integers of any length."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    mask, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    more, less, here = mask, 0, len(item)
+    least = here
+    for v in x.tolist():
+        equal = at.get(v, 0)
+        down = equal | less
+        across = ((equal & more) + more & mask ^ more) | equal
+        up, lower = less | mask & ~(across | more), more & across
+        if up & top:
+            here += 1
+        elif lower & top:
+            here -= 1
+            least = min(least, here)
+        up, lower = up << 1 & mask, lower << 1 & mask
+        more, less = lower | mask & ~(down | up), up & down
+    return least
+
+
 def best_alignment(item: np.ndarray, x: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of x nearest to the item by edit distance; ties: the shortest, then the first."""
     item_, x_ = item.tolist(), x.tolist()
@@ -100,37 +116,18 @@ class Searcher:
         self.narrow = int((self.lengths + self.edits).min())
         self.dense = int(np.ceil(self.distinct / np.ceil((self.lengths + self.edits) / self.narrow)).min())
         self.wide = int((self.lengths + self.edits).max())
-        rng = np.random.default_rng(11)
-        self.samples = {int(n): [(k % WALKS, rng.integers(0, 2 * n, BITS)) for k in range(repetitions())] for n in np.unique(self.lengths)}
-        self.embedded: dict[tuple[int, int], np.ndarray] = {}
-
-    def _item_embedding(self, k: int, walk: int) -> np.ndarray:
-        if (k, walk) not in self.embedded:
-            w = self.items[k][1]
-            self.embedded[k, walk] = cgk(w, np.zeros(1, np.int64), len(w), 2 * len(w), walk)[0]
-        return self.embedded[k, walk]
-
-    def _windows(self, k: int, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Those of the starts whose window of the item's size agrees with it in a sample."""
-        n = len(self.items[k][1])
-        hit = np.zeros(len(starts), bool)
-        for walk in range(WALKS):
-            own, item = cgk(x, starts, n, 2 * n, walk), self._item_embedding(k, walk)
-            same = own == item
-            for w, sample in self.samples[n]:
-                if w == walk:
-                    hit |= same[:, sample].all(1)
-        return starts[hit]
 
     def _verified(self, k: int, x: np.ndarray, at: int) -> Iterator[Leak]:
         """The best passage of x, then those left and right of it."""
-        if len(x) < len(self.items[k][1]) - self.edits[k]:
-            return
-        d, s, e = best_alignment(self.items[k][1], x)
-        if d <= self.edits[k] and e > s:
-            yield from self._verified(k, x[:s], at)
-            yield self.items[k][0], at + s, e - s, d
-            yield from self._verified(k, x[e:], at + e)
+        item, open_ = self.items[k][1], [(0, len(x))]
+        while open_:
+            lo, hi = open_.pop()
+            if hi - lo < len(item) - self.edits[k] or nearest(item, x[lo:hi]) > self.edits[k]:
+                continue
+            d, s, e = best_alignment(item, x[lo:hi])
+            if e > s:
+                yield self.items[k][0], at + lo + s, e - s, d
+                open_ += [(lo, lo + s), (lo + e, hi)]
 
     def search(self, texts: list[bytes]) -> list[list[Leak]]:
         """The leaks of each text, by item and place."""
@@ -190,9 +187,8 @@ class Searcher:
             lots = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []
             enough = [len(np.unique(kind[(place >= g[0]) & (place < g[-1] + reach)])) >= self.distinct[k] for g in lots]
             starts = np.concatenate([g for g, e in zip(lots, enough) if e]) if any(enough) else starts[:0]
-            windows = self._windows(int(k), own, starts) if len(starts) else starts
             done = 0
-            for group in np.split(windows, np.flatnonzero(np.diff(windows) > reach) + 1) if len(windows) else []:
+            for group in np.split(starts, np.flatnonzero(np.diff(starts) > reach) + 1) if len(starts) else []:
                 a, b = max(done, int(group[0]) - int(self.edits[k])), min(len(own), int(group[-1]) + reach)
                 yield from self._verified(int(k), own[a:b], lo - first + a)
                 done = b
