@@ -54,6 +54,13 @@ def test_quotation_and_abuse():
     assert toxicity.evidence(None, m) == toxicity.evidence("", m) == (0.0, 0.0, 0)
 
 
+def test_symbols_inside_words_and_swapped_letters():
+    m = toxicity.Matcher({t: 1.0 for t in TERMS})
+    for token in ("w*rthless", "(W*RTHLESS!)", "st@pid", "id.iot", "idoit", "wrothless", "sutpid", "dual-i*iot"[5:]):
+        assert m.token(token) == toxicity.FUZZY_WEIGHT, token
+    assert m.token("well-known") == m.token("and/or") == m.token("smuc") == 0.0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")

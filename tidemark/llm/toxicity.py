@@ -33,6 +33,8 @@ CONTEXT = 10
 QUOTES = '"“”„«»‹›'
 REPORTING = frozenset("said says say called calls wrote writes quoted quote quotes term word reported".split())
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that symbols stand in or between the letters of; a symbol counts as a letter.
+MASKED = re.compile(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]+)+")
 
 
 class Trie:
@@ -98,6 +100,11 @@ def shortened(word: str) -> list[str]:
     return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))]
 
 
+def swapped(word: str) -> list[str]:
+    """The word with each two adjacent letters exchanged."""
+    return [word[:k] + word[k + 1] + word[k] + word[k + 2 :] for k in range(len(word) - 1)]
+
+
 @dataclass
 class Matcher:
     """Weight of a raw token: the largest weight of a term it holds, exact or misspelled; 0 for most."""
@@ -111,6 +118,7 @@ class Matcher:
         self.trie = Trie(long)
         # Words one edit apart become equal when each loses one letter at most: most words end here, and none that matches does.
         self.shortened = {x for t in long for x in shortened(t)}
+        self.long = frozenset(long)
 
     def word(self, w: str) -> float:
         known = max((self.terms.get(t, 0.0) for t in forms(w)))
@@ -118,14 +126,18 @@ class Matcher:
             return known
         if len(w) < FUZZY_FROM - EDITS or self.shortened.isdisjoint(shortened(w)):
             return 0.0
-        return FUZZY_WEIGHT * max((self.terms[t] for t in intersect(self.trie, LevenshteinAutomaton(w, EDITS))), default=0.0)
+        # Two adjacent letters that changed places are one edit: each then has lost a letter of the other's.
+        near = {*intersect(self.trie, LevenshteinAutomaton(w, EDITS)), *self.long.intersection(swapped(w))}
+        return FUZZY_WEIGHT * max((self.terms[t] for t in near), default=0.0)
 
     def token(self, token: str) -> float:
         got = self.known.get(token)
         if got is None:
             if len(self.known) > self.kept:
                 self.known.clear()
-            got = self.known[token] = max(map(self.word, LETTERS.findall(token.lower())), default=0.0)
+            lower = token.lower()
+            words = LETTERS.findall(lower)
+            got = self.known[token] = max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
         return got
 
 
