@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Texts may be long, so batches are kept short.
-BATCH_ROWS = "1000"
+#: Bytes of one Arrow batch handed to Python. Texts may be long, so batches are bounded by their size.
+BATCH_BYTES = str(4 << 20)
+
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where) if _settable(spark) else None
-    return where.rstrip("/")
-
-
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # an older session without that call
-        return False
+    if where:
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -39,8 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds the session's Arrow batches by bytes, as rows of whole texts have any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +71,10 @@ def labelled_sample(labels: DataFrame, label: str, fold: int, held_out: int, bou
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), fold) != held_out if fold else F.lit(True)))
     once = picked.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, bound: int) -> DataFrame:
+    """Written table (text, label) of the sample's documents: one row a key, so its rows are bounded as well. Their keys are broadcast, so the corpus isn't shuffled."""
+    keys = labelled_sample(labels, label, fold, held_out, bound)
+    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
+    return written(own.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label"), "sample")

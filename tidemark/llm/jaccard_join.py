@@ -23,36 +23,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, written
+from .common import drop_written, small_batches, table, written
 from .components import components
-from .hashed_words import WordHashes, deal, gathered, mix, rolling, text_column, unpack
+from .hashed_words import LOWER, Words, column_of, deal, lots, mix, rolling, text_column, unpack
 
 SHINGLE, PERCENT = 3, 90
 #: Longest extension of a prefix; cost of listing a shingle and of comparing two sets, in list entries read.
 MOST_MATCHES, LIST_COST, COMPARE_COST = 4, 4.0, 20.0
 #: Slots of the frequency sketch: a fixed size, whatever the corpus' is. It only orders shingles.
 SLOTS, SLICES = 1 << 20, 64
-LOT = 8_000_000
 #: A null key sorts last, so it is never the id of a component that has another.
 NULL_KEY = 2**63 - 1
-UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, size: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of fewer words than a shingle, one hash of all."""
-    words = [x.translate(UPPER).split() for x in texts]
-    flat = hashes([w for ws in words for w in ws])
+    words = Words(texts, LOWER)
+    flat = words.hashes
     grams = rolling(flat, size) if len(flat) >= size else np.empty(0, np.uint64)
-    out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    out = []
+    for at, n in zip(words.starts.tolist(), words.sizes.tolist()):
         if n >= size:
-            out.append(np.unique(grams[at : at + n - size + 1]))
+            own = np.sort(grams[at : at + n - size + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif n:
             out.append(mix(rolling(flat[at : at + n], n) ^ np.uint64(n)))
         else:
             out.append(np.empty(0, np.uint64))
-        at += n
     return out
 
 
@@ -90,7 +87,7 @@ def _sketch(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     spark = texts.sparkSession
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, slots = WordHashes(), np.zeros(SLOTS, np.int64)
+        slots = np.zeros(SLOTS, np.int64)
         rows: list[list] = [[], [], [], [], []]
         names = ["doc_id", "key", "tag", "n_shingles", "signature", "slice", "counts"]
 
@@ -99,12 +96,11 @@ def _sketch(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             own = [pa.array(c + [None] * n, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             return pa.RecordBatch.from_arrays([*own, pa.array([None] * k + slice_, pa.int32()), pa.array([None] * k + counts, pa.binary())], names=names)
 
-        for lot in gathered(batches, LOT):
-            found = shingle_sets([r[3] for r in lot], hashes, size)
+        for lot in lots(batches):
+            found = shingle_sets(lot.column("text"), size)
             slots += np.bincount((np.concatenate(found) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-            for (doc, key, tag, _), s in zip(lot, found):
-                for column, value in zip(rows, (doc, key, tag, len(s), xxhash.xxh3_128_digest(s.tobytes()))):
-                    column.append(value)
+            for column, values in zip(rows, (*(lot.column(c).to_pylist() for c in names[:3]), map(len, found), (xxhash.xxh3_128_digest(s.tobytes()) for s in found))):
+                column.extend(values)
             if len(rows[0]) > 5000:
                 yield out([], [])
                 rows = [[], [], [], [], []]
@@ -135,16 +131,15 @@ def _lists(texts: DataFrame, slots: np.ndarray, size: int, percent: int) -> Data
     shared = spark.sparkContext.broadcast(slots)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         counts = shared.value
         usual = float(np.median(counts))
-        for lot in gathered(batches, LOT):
+        for lot in lots(batches):
             columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            first: dict[int, int] = {}  # of copies in the lot, the first key is enough
-            for key, tag, _ in lot:
-                first[tag] = min(key, first.get(tag, key))
-            lot = [r for r in lot if r[0] == first.get(r[1]) and first.pop(r[1]) is not None]
-            for (key, tag, _), s in zip(lot, shingle_sets([r[2] for r in lot], hashes, size)):
+            # Of copies in the lot, the first key is enough.
+            order = np.lexsort((column_of(lot, "key"), column_of(lot, "tag")))
+            tags = column_of(lot, "tag")[order]
+            lot = lot.take(pa.array(order[np.concatenate([[True], tags[1:] != tags[:-1]])]))
+            for key, tag, s in zip(lot.column("key").to_pylist(), lot.column("tag").to_pylist(), shingle_sets(lot.column("text"), size)):
                 if not len(s):
                     continue
                 seen = counts[(s % np.uint64(SLOTS)).astype(np.int64)]
@@ -204,16 +199,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     two = texts.select(F.col("key").alias("key2"), F.col("tag").alias("tag2"), F.col("text").alias("text2"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            texts1, texts2 = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+        for lot in (x for one in lots(batches, text="text1") for x in lots([one], text="text2")):
             keep = []
-            for lo in range(0, len(texts1), 200):
-                a, b = (shingle_sets(t[lo : lo + 200], hashes, size) for t in (texts1, texts2))
-                for x, y in zip(a, b):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for x, y in zip(*(shingle_sets(lot.column(c), size) for c in ("text1", "text2"))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield lot.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(one, ["key", "tag"]).join(two, ["key2", "tag2"]).select(F.col("key").alias("u"), F.col("key2").alias("v"), "text1", "text2")
     return rows.mapInArrow(compared, "u long, v long")

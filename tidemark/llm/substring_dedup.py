@@ -1,10 +1,13 @@
 """Operator 8, substring dedup: relative Lempel-Ziv parsing against an index of all documents.
 
-The reference is the whole corpus. It is indexed by the hashes of its windows (20 words), and the index
-is dealt into blocks by hash, so that every document is parsed against every block without comparing
-documents with documents. A factor of a document is a maximal run of windows that the index holds at an
-earlier place: the greedy parse extends a factor while the next window is found. Windows over the
-boundary of two factors are looked up by themselves, so none is lost there.
+The reference is the whole corpus. Its index, the hash of each window (20 words) with the place where it
+occurs first, is dealt into blocks by hash, so that every document is looked up in every block without
+comparing documents with documents. A document is parsed greedily: at the first window that the reference
+holds at an earlier place a factor begins, which is extended as long as the next window's place follows in
+the same source. Where it ends the next factor begins, which may overlap it: windows over the boundary of
+two factors are looked up by themselves, so none is lost. Each factor is then compared word by word with
+its source's text, and what differs (equal hashes of different words) is dropped. Factors have a window's
+words at least; they are the duplicate spans.
 
 Looking up each window would move each window. So a sample comes first: a window's anchor is the smallest
 hash of its runs of 10 words, equal windows have equal anchors, and one word in six starts an anchor.
@@ -13,7 +16,7 @@ Only windows whose anchor occurs twice in the corpus can be duplicates and are l
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,29 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .hashed_words import TOP, WordHashes, deal, gathered, key_column, mix, rolling, sliding_min, text_column, unpack
+from .hashed_words import NULL_KEY, TOP, Words, column_of, deal, key_column, lots, mix, rolling, sliding_min, text_column, unpack
 
 WINDOW, ANCHOR = 20, 10
-#: Text that a task hashes at a time, in bytes.
-LOT = 8_000_000
 
 
 class Lot:
     """The words of some documents in a row, with the anchors of their windows."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int, anchor: int):
-        words = [x.split() for x in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = hashes([w for ws in words for w in ws])
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+    def __init__(self, texts: pa.Array, window: int, anchor: int):
+        words = Words(texts)
+        self.sizes, self.starts, self.doc, self.words = words.sizes, words.starts, words.doc, words.hashes
         self.place = np.arange(len(self.words)) - self.starts[self.doc]
-        n = len(self.words)
         self.window = window
         self.span = window - anchor + 1
-        grams = mix(rolling(self.words, anchor) ^ np.uint64(0xA5A5)) if n >= anchor else np.empty(0, np.uint64)
-        self.grams = grams
-        self.least = sliding_min(grams, self.span)  # a window's anchor hash
+        self.grams = mix(rolling(self.words, anchor) ^ np.uint64(0xA5A5)) if len(self.words) >= anchor else np.empty(0, np.uint64)
+        self.least = sliding_min(self.grams, self.span)  # a window's anchor hash
         inside = self.place + window <= self.sizes[self.doc]
         self.whole = inside[: len(self.least)]  # the window doesn't run into the next document
 
@@ -56,7 +52,8 @@ class Lot:
         # TOP - x turns the largest of the windows' anchors over a place into a smallest.
         flipped = np.where(self.whole, TOP - self.least, TOP)
         padded = np.concatenate([np.full(self.span - 1, TOP), flipped, np.full(self.span - 1, TOP)])
-        return np.flatnonzero((TOP - sliding_min(padded, self.span)[: len(self.grams)] == self.grams) & (sliding_min(padded, self.span)[: len(self.grams)] != TOP))
+        best = sliding_min(padded, self.span)[: len(self.grams)]
+        return np.flatnonzero((TOP - best == self.grams) & (best != TOP))
 
     def windows_with(self, flagged: np.ndarray) -> np.ndarray:
         """Whole windows whose anchor is among the flagged places."""
@@ -66,24 +63,13 @@ class Lot:
         return np.flatnonzero(self.whole & (sliding_min(marked, self.span) == self.least))
 
 
-def _grouped(h: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash, then by the keys; where each row's group starts, and how many rows it has, in that order."""
-    order = np.lexsort((*reversed(keys), h))
+def _grouped(h: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, then by place; the first of each row's group in that order, and whether a row stands at another place than it."""
+    order = np.lexsort((*reversed(place), h))
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    return order, first[group], np.diff(np.append(first, len(s)))[group]
-
-
-def _flags(order, first, count, key, tag, place, later: bool) -> np.ndarray:
-    """Rows, in order, that are repeated (all of a group of different places) or, with later, that come after the group's first place."""
-    differs = (key[order] != key[order[first]]) | (tag[order] != tag[order[first]]) | (place[order] != place[order[first]])
-    if later:
-        return differs
-    any_differs = np.zeros(len(order), bool)
-    np.logical_or.at(any_differs, first[differs], True)
-    return any_differs[first]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return order, first, np.logical_or.reduce([c[order] != c[first] for c in place])
 
 
 def squeezed(places: np.ndarray) -> bytes:
@@ -95,73 +81,107 @@ def unsqueezed(value: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(value), "<u4").astype(np.int64))
 
 
-def _by_document(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _new(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows, in order, that differ from the one before."""
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]) if len(columns[0]) else np.empty(0, bool)
+
+
+def _flagged_places(rows: list[np.ndarray]) -> pa.RecordBatch:
     """One row a document: (key, tag, its places, each once)."""
-    order = np.lexsort((place, tag, key))
-    key, tag, place = key[order], tag[order], place[order]
-    other = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-    once = np.concatenate([[True], other | (place[1:] != place[:-1])]) if len(key) else np.empty(0, bool)
-    new = np.concatenate([[True], other])[once] if len(key) else once
+    order = np.lexsort(rows[::-1])
+    key, tag, place = (c[order] for c in rows)
+    once = _new([key, tag, place])
     key, tag, place = key[once], tag[once], place[once]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(_new([key, tag]))
     return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(tag[first]), pa.array([squeezed(x) for x in np.split(place, first[1:])] if len(first) else [], pa.binary())], names=["key", "tag", "places"])
 
 
-def _lookup(dealt: DataFrame, parts: int, later: bool) -> DataFrame:
-    """(key, tag, places) of the documents with places that the index blocks flag. dealt: (block, known, packed hash, key, tag, place).
+FACTOR = ("key", "tag", "start", "size", "source_key", "source_tag", "source_start")
 
-    A block sends its flags on by document in one row a destination, so the rows exchanged don't grow
-    with the documents times the blocks.
-    """
 
-    def home(key: np.ndarray) -> np.ndarray:
-        return (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def parsed(rows: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """Factors (FACTOR's columns) of documents from their flagged windows (key, tag, place, and the place of the source): each maximal run of windows whose sources follow each other.
 
-    def sent(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((place, tag, key))
-        key, tag, place = key[order], tag[order], place[order]
-        found = list(deal(home(key), [key.astype(np.uint64), tag, place], parts)) if len(key) else []
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["home", "packed"])
+    A window that was looked up twice keeps its earliest source. A factor's size is in words.
+    """
+    order = np.lexsort(rows[::-1])
+    rows = [c[order] for c in rows]
+    once = _new(rows[:3])
+    key, tag, place, *source = (c[once] for c in rows)
+    follows = np.zeros(len(key), bool)
+    if len(key):
+        follows[1:] = ~_new([key, tag, *source[:2]])[1:] & (np.diff(place) == 1) & (np.diff(source[2]) == 1)
+    first = np.flatnonzero(~follows)
+    size = np.diff(np.append(first, len(key))) + window - 1
+    return [key[first], tag[first], place[first], size, *(c[first] for c in source)]
+
+
+def _lookup(dealt: DataFrame, parts: int, columns: int, look, merge, schema: str) -> DataFrame:
+    """merge()'s rows of the places that index blocks flag. dealt: (block, known, packed).
+
+    What isn't known yet is packed (hash, key, tag, place) and goes through look(), which gives `columns` columns for
+    the flagged ones; what is known already has those columns. A block sends its flags on by document in one row a
+    destination, so the rows exchanged don't grow with the documents times the blocks.
+    """
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new: list[list[np.ndarray]] = []
         flagged: list[list[np.ndarray]] = []
         for batch in batches:
-            for known, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                columns = unpack(value, 4)
-                flagged.append(columns[1:]) if known else new.append(columns)
+            for known, value in zip(batch.column("known").to_pylist(), batch.column("packed").to_pylist()):
+                flagged.append(unpack(value, columns)) if known else new.append(unpack(value, 4))
         if new:
-            h, key, tag, place = (np.concatenate(c) for c in zip(*new))
+            rows = [np.concatenate(c) for c in zip(*new)]
             new.clear()
-            order, first, count = _grouped(h, key, tag, place)
-            hit = order[_flags(order, first, count, key, tag, place, later)]
-            flagged.append([key[hit], tag[hit], place[hit]])
+            flagged.append(look(*rows))
         if flagged:
-            yield sent(*(np.concatenate(c) for c in zip(*flagged)))
+            rows = [np.concatenate([f[k].astype(np.int64) for f in flagged]) for k in range(columns)]
+            flagged.clear()
+            order = np.lexsort(rows[2::-1])
+            rows = [c[order] for c in rows]
+            found = list(deal((mix(rows[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [rows[0].astype(np.uint64), *rows[1:]], parts)) if len(rows[0]) else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["home", "packed"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [unpack(v, 3) for batch in batches for v in batch.column(1).to_pylist()]
+        found = [unpack(v, columns) for batch in batches for v in batch.column("packed").to_pylist()]
         if found:
-            key, tag, place = (np.concatenate(c) for c in zip(*found))
+            rows = [np.concatenate([f[k].astype(np.int64) for f in found]) for k in range(columns)]
             found.clear()
-            yield _by_document(key.astype(np.int64), tag, place)
+            yield merge(rows)
 
     flags = dealt.repartitionById(parts, "block").mapInArrow(block, "home int, packed binary")
-    return flags.repartitionById(parts, "home").mapInArrow(merged, "key long, tag long, places binary")
+    return flags.repartitionById(parts, "home").mapInArrow(merged, schema)
+
+
+def _repeated(h, key, tag, place) -> list[np.ndarray]:
+    """Places of hashes that stand at different places."""
+    order, first, differs = _grouped(h, key, tag, place)
+    several = np.zeros(len(h), bool)
+    several[first[differs]] = True
+    own = order[several[first]]
+    return [key[own], tag[own], place[own]]
+
+
+def _later(h, key, tag, place) -> list[np.ndarray]:
+    """Places that come after the first one of their hash, each with that one."""
+    order, first, differs = _grouped(h, key, tag, place)
+    own, source = order[differs], first[differs]
+    return [key[own], tag[own], place[own], key[source], tag[source], place[source]]
 
 
-def _deal_places(h, key, tag, place, parts: int, later: bool) -> Iterator[tuple[int, bool, bytes]]:
-    """What a lot sends to the blocks: one place for each hash, and the places that the lot itself already flags."""
+def _deal_places(h, key, tag, place, parts: int, look) -> Iterator[tuple[int, bool, bytes]]:
+    """What a lot sends to the blocks: the first place of each hash, and the places that the lot itself flags already."""
     if not len(h):
         return
-    order, first, count = _grouped(h, key, tag, place)
-    flagged = order[_flags(order, first, count, key, tag, place, later)]
-    once = np.sort(order[np.unique(first)])
+    order, first, _ = _grouped(h, key, tag, place)
+    once = np.sort(first[np.concatenate([[True], first[1:] != first[:-1]])])
     for b, value in deal((h[once] % np.uint64(parts)).astype(np.int64), [h[once], key[once], tag[once], place[once]], parts):
         yield b, False, value
-    if len(flagged):
-        flagged = np.sort(flagged)
-        for b, value in deal(mix(key[flagged].astype(np.uint64)).astype(np.int64) % parts, [h[flagged], key[flagged], tag[flagged], place[flagged]], parts):
+    flagged = look(h, key, tag, place)
+    if len(flagged[0]):
+        order = np.lexsort(flagged[2::-1])
+        flagged = [c[order] for c in flagged]
+        for b, value in deal((mix(flagged[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [flagged[0].astype(np.uint64), *flagged[1:]], parts):
             yield b, True, value
 
 
@@ -173,73 +193,111 @@ def _rows(found: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 DEALT = "block int, known boolean, packed binary"
 
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(texts, flags): texts (doc_id, key, tag, text) and, for the documents that have any, flags (key, tag, places) of windows that occur at an earlier place.
+def _texts(docs: DataFrame) -> DataFrame:
+    """(key, tag, text): what all joins read, in one form, so that Spark moves the texts once and reads that exchange again."""
+    return docs.select(key_column().alias("key"), F.crc32(text_column().cast("binary")).alias("tag"), text_column().alias("text"))
 
-    A place is a document's key, then its text's crc (rows that share a key), then the word. Equal rows are one document.
+
+def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(key, tag, start, size, source_key, source_tag, source_start, source_words): the parse of all documents, with each factor's words in its source.
+
+    A place is a document's key (a null key: the smallest number), then its text's crc (rows that share a
+    key), then the word. Equal rows are one document.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_column().alias("key"), F.crc32(text_column().cast("binary")).alias("tag"), text_column().alias("text"))
+    texts = _texts(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for rows in gathered(batches, LOT):
-            lot = Lot([r[2] for r in rows], hashes, window, anchor)
+        for rows in lots(batches):
+            lot = Lot(rows.column("text"), window, anchor)
             at = lot.anchors()
-            key, tag = (np.array([r[k] for r in rows], np.int64)[lot.doc[at]] for k in (0, 1))
-            yield _rows(list(_deal_places(lot.grams[at], key, tag, lot.place[at], parts, False)))
+            key, tag = (column_of(rows, c)[lot.doc[at]] for c in ("key", "tag"))
+            yield _rows(list(_deal_places(lot.grams[at], key, tag, lot.place[at], parts, _repeated)))
+
+    repeated = _lookup(texts.mapInArrow(anchors, DEALT), parts, 3, _repeated, _flagged_places, "key long, tag long, places binary")
 
-    repeated = _lookup(texts.select("key", "tag", "text").mapInArrow(anchors, DEALT), parts, False)
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for rows in gathered(batches, LOT):
-            lot = Lot([r[3] for r in rows], hashes, window, anchor)
+        for rows in lots(batches):
+            lot = Lot(rows.column("text"), window, anchor)
             flagged = np.zeros(len(lot.words), bool)
-            for start, r in zip(lot.starts, rows):
-                flagged[start + unsqueezed(r[2])] = True
+            for start, places in zip(lot.starts, rows.column("places").to_pylist()):
+                flagged[start + unsqueezed(places)] = True
             at = lot.windows_with(flagged)
-            key, tag = (np.array([r[k] for r in rows], np.int64)[lot.doc[at]] for k in (0, 1))
+            key, tag = (column_of(rows, c)[lot.doc[at]] for c in ("key", "tag"))
             h = rolling(lot.words, window)[at] if len(at) else np.empty(0, np.uint64)
-            yield _rows(list(_deal_places(h, key, tag, lot.place[at], parts, True)))
+            yield _rows(list(_deal_places(h, key, tag, lot.place[at], parts, _later)))
 
+    def parse(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in parsed(rows, window)], names=FACTOR)
+
+    kinds = ", ".join(f"{c} long" for c in FACTOR)
     candidates = texts.join(repeated, ["key", "tag"]).select("key", "tag", "places", "text")
-    later = _lookup(candidates.mapInArrow(windows, DEALT), parts, True)
-    return texts, later
+    found = _lookup(candidates.mapInArrow(windows, DEALT), parts, 6, _later, parse, kinds)
+
+    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, []
+        for batch in batches:
+            said = []
+            for start, size, text in zip(batch.column("source_start").to_pylist(), batch.column("size").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if text != last:
+                    last, words = text, text.split()
+                said.append(b" ".join(words[start : start + size]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FACTOR), pa.array(said, pa.binary())], names=[*FACTOR, "source_words"])
+
+    once = texts.dropDuplicates(["key", "tag"]) if _has_repeats(docs) else texts
+    asked = found.join(once.withColumnsRenamed({"key": "source_key", "tag": "source_tag"}), ["source_key", "source_tag"])
+    return asked.select(*FACTOR, "text").mapInArrow(quote, f"{kinds}, source_words binary")
+
+
+def equal_runs(words: list[bytes], source: bytes, least: int) -> list[tuple[int, int]]:
+    """Runs of at least `least` words that a factor and its source share, place by place: all of it, unless different words had equal hashes."""
+    if b" ".join(words) == source:
+        return [(0, len(words))]
+    differ = [k for k, (a, b) in enumerate(itertools.zip_longest(words, source.split())) if a != b]
+    ends = [-1, *differ, len(words)]
+    return [(a + 1, b) for a, b in zip(ends, ends[1:]) if b - a - 1 >= least]
+
+
+def _has_repeats(docs: DataFrame) -> bool:
+    """Whether rows share key and text's crc: only then have they to be told apart, at the price of a further exchange."""
+    keyed = docs.select(key_column().alias("key"), F.crc32(text_column().cast("binary")).alias("tag"))
+    return bool(keyed.groupBy("key", "tag").count().where("count > 1").head(1))
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, factors, kept) of every row: factors are the (start, end) word spans removed, kept the words left, joined by one space.
+    """(doc_id, n_words, n_removed, factors, kept) of every row: factors are (start, end, source_id, source_start), the word spans removed and where their words stand first; kept are the words left, joined by one space.
 
     A null or empty text has no words; a text of fewer words than a window loses none; equal rows (key and
     text) are one document and lose the same words; rows that share a key only are ordered by their
     text's crc; a null key sorts first; an empty table gives no row; further columns are ignored.
     """
-    texts, flags = duplicate_windows(docs, window)
-    kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for places, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            for own, text in zip(batch.column("factors").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 words = text.split()
-                factors = []
-                if places:
-                    at = unsqueezed(places)
-                    breaks = np.flatnonzero(np.diff(at) > window)  # windows that touch or overlap are one span
-                    factors = list(zip(at[np.append(0, breaks + 1)].tolist(), (at[np.append(breaks, len(at) - 1)] + window).tolist()))
+                spans = []
+                for f in sorted(own or (), key=lambda f: (f["start"], f["size"])):
+                    for a, b in equal_runs(words[f["start"] : f["start"] + f["size"]], f["source_words"], window):
+                        spans.append({"start": f["start"] + a, "end": f["start"] + b, "source_id": None if f["source_key"] == NULL_KEY else f["source_key"], "source_start": f["source_start"] + a})
                 kept, end = [], 0
-                for a, b in factors:
-                    kept += words[end:a]
-                    end = b
+                for f in spans:
+                    kept += words[end : max(f["start"], end)]
+                    end = max(end, f["end"])
                 kept += words[end:]
-                for column, value in zip(out, (len(words), len(words) - len(kept), [{"start": a, "end": b} for a, b in factors], b" ".join(kept).decode())):
+                for column, value in zip(out, (len(words), len(words) - len(kept), spans, b" ".join(kept).decode())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kinds), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "factors", "kept"])
+            keys = pa.array([None if k == NULL_KEY else k for k in batch.column("key").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kinds), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "factors", "kept"])
 
-    joined = texts.join(flags, ["key", "tag"], "left").select("doc_id", "places", "text")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, factors array<struct<start: int, end: int>>, kept string")
+    found = factors(docs, window)
+    own = found.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "size", "source_key", "source_start", "source_words")).alias("factors"))
+    joined = _texts(docs).join(own, ["key", "tag"], "left").select("key", "factors", "text")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, factors array<struct<start: int, end: int, source_id: long, source_start: long>>, kept string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
