@@ -1,9 +1,18 @@
-"""Operator 6, personal data: bootstrapped contextual extraction."""
+"""Operator 6, personal data: bootstrapped contextual extraction.
+
+Seed entities are values that are known to be secrets: those assigned to a seed name, and those in a seed form.
+Where they occur they induce lexical patterns: the name that a value is assigned to, the two or three words
+before and after it, and its leading letters with its form. Patterns and the values (instances) that they hold
+make a graph. A pattern's score is the summed confidence of its distinct instances over their number and one, a
+seed's confidence is 1, any other instance's the best score of its trusted patterns; both are computed in turn until
+no further pattern is trusted. Trusted patterns then find values of any length and form, known or not.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Container, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
@@ -20,23 +29,25 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Names whose assigned value is a seed entity, and the form of a seed key id.
-SEED_NAMES = frozenset(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"))
+#: Names whose assigned value is a seed entity, and the form of a seed key id. Such seeds are found whatever the graph says.
+SEED_NAMES = frozenset(("password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key"))
 SEED_FORM = re.compile(r"AKIA[0-9A-Z]{16}")
+#: The form of values that induce patterns as seeds do, but are found only where a trusted pattern holds them: digests in hexadecimal digits.
+LIKELY_FORM = re.compile("(?=.*[0-9])(?=.*[a-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})")
 
-DIGITS = re.compile(r"[0-9]+")
-BLANK = re.compile(r"\s")
-VALUE = re.compile(r"""^([^=:"']*[=:])?(["'(\[<]*)(.*?)[^0-9A-Za-z+/=_-]*$""", re.S)
-#: A seed's sign, name before it, and value after it: quoted, or up to a blank and without the punctuation at its end.
+DIGITS = re.compile("[0-9]+")
+TOKEN = re.compile(r"\S+")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+#: An assignment's sign, and the value after it: quoted, or up to a blank and without the punctuation at its ends.
 SIGN = re.compile("[=:]+>?")
-SEED_NAME = re.compile(rf"(?<![\w-])(?:{'|'.join(sorted(SEED_NAMES))})\Z", re.I)
-SEED_VALUE = re.compile(r"""\s*(?:""|''|"([^"\n]+)"|'([^'\n]+)'|["'`(\[{<]*(\S*))""")
-MARKS = ".,;:!?)]}>\"'`"
-#: Words before and after a value that are its lexical patterns, and the characters they are looked for in.
-WORDS, NEAR = 3, 80
-#: Shortest value without a seed's name that can be an identifier, rounds of scoring, and what a pattern needs to be used.
-MIN_LENGTH, ROUNDS, MIN_SCORE, MIN_SUPPORT = 8, 3, 0.8, 5
-#: So many trusted patterns are given to all tasks; more stay a table and are joined with the candidates' patterns.
+VALUE = re.compile(r"""\s*(?:""|''|"([^"\n]+)"|'([^'\n]+)'|["'`(\[{<]*([^\s=:]*(?:[=:]+(?![=:>"'\w/]))?))""")
+NAME_END = re.compile(r"[\w.-]*\Z")
+OPENING, MARKS = "\"'`([{<", ".,;:!?)]}>\"'`"
+#: Characters of a name, and of a word in a pattern; longer words count by their hash. Words before and after a value that make patterns.
+LONGEST_NAME, LONGEST_WORD, WORDS = 40, 40, (2, 3)
+#: Score from which a pattern is trusted. As a score divides by the instances and one, four known ones are the least that reach it.
+MIN_SCORE = 0.8
+#: So many trusted patterns are given to all tasks; more stay a table and are joined with the texts' patterns.
 KEPT_PATTERNS = 50_000
 #: Columns of our own beside those of the documents.
 KEY, OWN = "personal data: text's key", "personal data: text's trusted patterns"
@@ -68,13 +79,43 @@ def emails(text: str) -> list[Span]:
     return out
 
 
+def addresses(text: str) -> list[Span]:
+    """Leftmost matches of IP whose parts are at most 255: numbers joined by dots, four at a time. A part's size shows in its digits."""
+    out = []
+    for m in NUMBERS.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        numbers = [(d.start() + m.start(), d.end() + m.start()) for d in DIGITS.finditer(m.group())]
+        for k in range(0, len(numbers) - 3, 4):
+            own = numbers[k : k + 4]
+            if all(e - s <= 3 and int(text[s:e]) <= 255 or len(p := text[s:e].lstrip("0")) <= 3 and int(p or 0) <= 255 for s, e in own):
+                out.append((own[0][0], own[3][1]))
+    return out
+
+
 def base_spans(text: str) -> list[list[Span]]:
     """Spans of the four base kinds, each by start; code points, end exclusive."""
-    digits = lambda m: DIGITS.findall(m.group())
-    ip = [m.span() for m in IP.finditer(text) if all(int(x) <= 255 for x in digits(m))]
-    card = [m.span() for m in CARD.finditer(text) if 16 <= len(d := "".join(digits(m))) <= 19 and luhn(d)]
-    phone = [m.span() for m in PHONE.finditer(text) if 8 <= len("".join(digits(m))) <= 15] if "+" in text else []
-    return [emails(text), ip, card, phone]
+    digits = lambda m: "".join(DIGITS.findall(m.group()))
+    card = [m.span() for m in CARD.finditer(text) if 16 <= len(d := digits(m)) <= 19 and luhn(d)]
+    phone = [m.span() for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15] if "+" in text else []
+    return [emails(text), addresses(text), card, phone]
+
+
+class Spans:
+    """Spans in order that can be asked whether one of them meets another."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meet(self, s: int, e: int) -> bool:
+        k = bisect_right(self.ends, s)
+        return k < len(self.starts) and self.starts[k] < e
 
 
 def form(value: str) -> str:
@@ -83,141 +124,217 @@ def form(value: str) -> str:
     return f"{kind}{len(value)}"
 
 
-def named_seeds(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(start of the name, start, end, pattern of the name) of the values assigned to one of SEED_NAMES, of any length and characters."""
+class Context:
+    """The words of a text by place, in the form that patterns have them."""
+
+    def __init__(self, text: str):
+        self.spans = [m.span() for m in TOKEN.finditer(text)]
+        self.starts = [s for s, _ in self.spans]
+        self.text = text
+
+    def word(self, k: int) -> str:
+        w = self.text[slice(*self.spans[k])].strip(MARKS + OPENING).lower()
+        return w if len(w) <= LONGEST_WORD else f"#{xxhash.xxh3_64_hexdigest(w.encode())}"
+
+    def around(self, start: int, end: int, name: str = "") -> Iterator[str]:
+        """Patterns of the words before and after a place. A value that is assigned to a name belongs to it: the name is then part of each, and one word more is enough."""
+        before, after = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end)
+        if before >= 0 and self.spans[before][1] <= start:
+            before += 1
+        for n in WORDS:
+            n -= bool(name)
+            if before >= n:
+                yield f"before\t{' '.join(map(self.word, range(before - n, before)))}\t{name}"
+            if after + n <= len(self.spans):
+                yield f"then\t{' '.join(map(self.word, range(after, after + n)))}\t{name}"
+
+
+def assigned(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(start of the name, start, end, name with its sign) of the values assigned to a name, of any length and characters."""
     end = 0
     for m in SIGN.finditer(text):
         at = m.start()
+        if at < end:
+            continue
         while at > end and text[at - 1].isspace():
             at -= 1
         at -= at > end and text[at - 1] in "\"'`"
-        name = SEED_NAME.search(text, max(end, at - 12), at)
-        if not name:
+        name = NAME_END.search(text, max(end, at - LONGEST_NAME), at)
+        if not any(map(str.isalpha, name.group())):
             continue
-        v = SEED_VALUE.match(text, m.end())
+        v = VALUE.match(text, m.end())
         if not v.lastindex:
             continue
         s, e = v.span(v.lastindex)
         e = s + len(text[s:e].rstrip(MARKS)) if v.lastindex == 3 else e
-        if any(map(str.isalnum, text[s:e])):
-            before = text[name.start() : s].rstrip("\"'`([{<")
-            yield name.start(), s, e, ("after " if BLANK.search(before) else "name ") + " ".join(before.lower().split())
+        # A name that begins a further assignment isn't a value.
+        if any(map(str.isalnum, text[s:e])) and not (v.lastindex == 3 and text[v.end() : v.end() + 1] in ("=", ":")):
+            yield name.start(), s, e, name.group().lower().rpartition(".")[2] + m.group()
             end = e
 
 
-def words_around(text: str, start: int, end: int, name: str) -> Iterator[str]:
-    """Patterns of the one to three words before and after a place. A value that is assigned to a name belongs to it: the name is then part of each."""
-    tell = lambda ws: " ".join(w.strip(MARKS + "([{<") for w in ws).lower()
-    before, after = text[max(0, start - NEAR) : start].split()[-WORDS:], text[end : end + NEAR].split()[:WORDS]
-    for n in range(1, len(before) + 1):
-        yield f"before {tell(before[-n:])} | {name}"
-    for n in range(1, len(after) + 1):
-        yield f"then {tell(after[:n])} | {name}"
-
+Candidate = tuple[int, int, str, list[str], bool, bool]
 
-def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, str, list[str], bool]]:
-    """(start, end, value, patterns, seed) by place: values of seed names that no span taken covers, and the other tokens that could be identifiers: a digit in them, long enough, outside the spans taken.
 
-    Patterns are lexical: the name before the value in its own token, the words before a token after an
-    assignment sign, the value's leading letters with its form, and the words around.
-    """
-    own = list(named_seeds(text))
-    seeds, out = [(s, e) for _, s, e, _ in own], []
-    for at, s, e, name in own:
-        if not any(a <= s and e <= b for a, b in taken):
-            stop = BLANK.search(text, e)
-            out.append((s, e, text[s:e], [name, *_head(text[s:e]), *words_around(text, at, stop.start() if stop else len(text), name)], True))
-    end = 0
+def candidates(text: str, taken: Spans) -> list[Candidate]:
+    """(start, end, value, patterns, known, sure) by place: assigned values, and other tokens with a digit, outside the spans taken. known: a seed, or in a likely form; sure: a seed."""
+    out: list[Candidate] = []
+    context = None
+    own = []
+    for at, s, e, name in assigned(text):
+        if not taken.meet(s, e):
+            own.append((s, e))
+            context = context or Context(text)
+            value = text[s:e]
+            sure = name.rstrip("=:>") in SEED_NAMES or bool(SEED_FORM.fullmatch(value))
+            after = context.spans[bisect_left(context.starts, e) - 1][1]
+            out.append((s, e, value, [f"name\t{name}", *_head(value), *context.around(at, max(e, after), name)], sure or bool(LIKELY_FORM.fullmatch(value)), sure))
+    seen, end = Spans(own), 0
     for m in DIGITS.finditer(text):
         if m.start() < end:
             continue
-        s = m.start()
-        while s > end and not text[s - 1].isspace():
-            s -= 1
-        stop = BLANK.search(text, m.end())
-        end = stop.start() if stop else len(text)
-        if end - s < MIN_LENGTH or any(a < end and s < b for spans in (taken, seeds) for a, b in spans):
-            continue
-        v = VALUE.match(text[s:end])
-        name, value = v.group(1) or "", v.group(3)
-        if len(value) < MIN_LENGTH or not DIGITS.search(value):
-            continue
-        start = s + v.start(3)
-        patterns, names, at = [], [name.rstrip("=:").lower()], s
-        if len(name) > 1:
-            patterns.append(f"name {name.lower()}")
-        before = text[max(0, s - NEAR) : s].split()[-2:]
-        if before and before[-1][-1] in "=:":
-            own_words = before[-2:] if len(before[-1]) == 1 else before[-1:]
-            patterns.append("after " + " ".join(own_words).lower())
-            names += [w.rstrip("=:").lower() for w in before]
-            at = text.rindex(own_words[0], 0, s)
-        around = words_around(text, at, end, patterns[-1] if patterns else "")
-        patterns += [*_head(value), *around]
-        if patterns or SEED_FORM.fullmatch(value):
-            out.append((start, start + len(value), value, patterns, bool(SEED_NAMES.intersection(names) or SEED_FORM.fullmatch(value))))
-    yield from sorted(out)
+        context = context or Context(text)
+        s, end = context.spans[bisect_right(context.starts, m.start()) - 1]
+        token = text[s:end]
+        a, b = s + len(token) - len(token.lstrip(OPENING)), s + len(token.rstrip(MARKS))
+        if a < b and not taken.meet(a, b) and not seen.meet(a, b):
+            value = text[a:b]
+            sure = bool(SEED_FORM.fullmatch(value))
+            out.append((a, b, value, [*_head(value), *context.around(s, end)], sure or bool(LIKELY_FORM.fullmatch(value)), sure))
+    return sorted(out)
 
 
 def _head(value: str) -> list[str]:
-    return [f"head {value[:4]} {form(value)}"] if value[:4].isalpha() and value[:4].isupper() else []
+    return [f"head\t{value[:4]} {form(value)}"] if value[:4].isalpha() and value[:4].isupper() else []
+
+
+def _loose(pattern: str) -> bool:
+    """Whether a pattern is of words around alone: such a one can hold any token."""
+    return pattern[:4] in ("befo", "then") and pattern.endswith("\t")
+
+
+class Trusted:
+    """Trusted patterns as find() asks for them."""
+
+    def __init__(self, patterns: Iterable[str]):
+        self.all = frozenset(patterns)
+        self.loose = frozenset(filter(_loose, self.all))
+        # The word next to the value of each loose pattern: most texts have none of them. Of a long word the hash is known only.
+        self.next = frozenset(p.split("\t")[1].split(" ")[-1 if p.startswith("before") else 0] for p in self.loose)
+        self.hashed = any(w[:1] == "#" for w in self.next)
+
+    def tokens(self, text: str, taken: Spans, every: bool = False) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, end, patterns) of the tokens, of any form, that loose patterns hold; with every, of all tokens with all their loose patterns."""
+        if not every and (not self.loose or not self.hashed and self.next.isdisjoint(w.strip(MARKS + OPENING) for w in text.lower().split())):
+            return
+        context = Context(text)
+        for s, e in context.spans:
+            found = [p for p in context.around(s, e) if every or p in self.loose]
+            token = text[s:e]
+            a, b = s + len(token) - len(token.lstrip(OPENING)), s + len(token.rstrip(MARKS))
+            if found and a < b and not taken.meet(a, b):
+                yield a, b, found
+
+
+def _edge_rows(found: dict[tuple[str, int], int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(map(int, found.values())), pa.int32())], names=["pattern", "instance", "seed"])
+
+
+def _instance(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode()) - 2**63
 
 
 def _edges(docs: DataFrame) -> DataFrame:
-    """Written table (pattern, instance, seed) of distinct edges; instance is a hash of the value. Tasks and then Spark merge repeats."""
+    """(pattern, instance, seed) of the candidates' patterns; instance is a hash of the value. Tasks merge repeats of a batch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, int], int] = {}
             for text in batch.column(0).to_pylist():
                 if text:
-                    taken = [x for spans in base_spans(text) for x in spans]
-                    for _, _, value, patterns, seed in candidates(text, taken):
-                        h = xxhash.xxh3_64_intdigest(value.encode()) - 2**63
+                    for _, _, value, patterns, known, _ in candidates(text, Spans(x for spans in base_spans(text) for x in spans)):
+                        h = _instance(value)
                         for p in patterns:
-                            found[p, h] = max(seed, found.get((p, h), 0))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(map(int, found.values())), pa.int32())], names=["pattern", "instance", "seed"])
+                            found[p, h] = max(known, found.get((p, h), 0))
+            yield _edge_rows(found)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "pattern string, instance long, seed int")
+
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(scan, "pattern string, instance long, seed int")
-    return written(rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+def _loose_edges(docs: DataFrame, patterns: list[str] | None) -> DataFrame:
+    """(pattern, instance, seed 0) of all tokens that loose patterns hold; None: of all loose patterns there are."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted = Trusted(patterns or ())
+        for batch in batches:
+            found: dict[tuple[str, int], int] = {}
+            for text in batch.column(0).to_pylist():
+                if text:
+                    for s, e, own in trusted.tokens(text, Spans(x for spans in base_spans(text) for x in spans), patterns is None):
+                        h = _instance(text[s:e])
+                        found |= {(p, h): 0 for p in own}
+            yield _edge_rows(found)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(scan, "pattern string, instance long, seed int")
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Written table (pattern, score) of the trusted patterns: scores and confidences in turn, until no further pattern is trusted."""
+    known = edges.where("seed = 1").select("instance").distinct().withColumn("confidence", F.lit(1.0))
+    confidence, before = known, -1
+    while True:
+        scored = edges.join(confidence, "instance", "left").groupBy("pattern").agg((F.sum(F.coalesce("confidence", F.lit(0.0))) / (F.count("*") + 1)).alias("score"))
+        trusted = written(scored.where(F.col("score") >= MIN_SCORE), "patterns")
+        n = trusted.count()
+        if n == before:
+            return trusted
+        before = n
+        lent = edges.join(trusted, "pattern").groupBy("instance").agg(F.max("score").alias("confidence"))
+        confidence = written(known.unionByName(lent).groupBy("instance").agg(F.max("confidence").alias("confidence")), "confidence")
 
 
 def learn_patterns(docs: DataFrame) -> dict[str, float] | DataFrame:
     """Patterns that can be trusted, with their scores: a table (pattern, score) if there are more than KEPT_PATTERNS.
 
-    Seeds have confidence 1. In each round a pattern's score is the mean confidence of its distinct
-    instances, and an instance's confidence the best score of its patterns that have enough support. The
-    support is the same for every size of corpus.
+    The graph first holds assigned values and tokens with a digit. Patterns of words around that come out as
+    trusted are then looked for at all tokens, so that what else they hold counts against them, and the
+    scores are settled again, until no such pattern is new. Scores mean the same at every size of corpus.
     """
     small_batches(docs.sparkSession)
-    found = _edges(docs)
-    # A seed is one in all its contexts. Patterns with too few instances never count, so most edges end here.
+    merged = lambda rows: rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    found = written(merged(_edges(docs)), "edges")
+    # A seed is one in all its contexts. Patterns of too few instances can't reach the score, so most edges end here.
     seeds = found.where("seed = 1").select("instance").distinct().withColumn("known", F.lit(1))
-    supported = found.groupBy("pattern").count().where(F.col("count") >= MIN_SUPPORT).select("pattern")
-    edges = written(found.join(supported, "pattern").join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(0)).alias("seed")), "supported")
-    confidence = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("confidence"))
-    for k in range(ROUNDS):
-        scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.avg("confidence").alias("score"))
-        # Words around stand in for each other, and would lift their common instances together if half the score were enough.
-        around = F.col("pattern").startswith("before ") | F.col("pattern").startswith("then ")
-        trusted = scored.where(F.col("score") >= (F.lit(MIN_SCORE) if k == ROUNDS - 1 else F.when(around, MIN_SCORE).otherwise(MIN_SCORE / 2)))
-        if k < ROUNDS - 1:
-            confidence = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0)))).alias("confidence"))
-    trusted = written(trusted.select("pattern", "score"), "patterns")
+    supported = found.groupBy("pattern").count().where(F.col("count") >= MIN_SCORE * (F.col("count") + 1) - 1e-9).select("pattern")
+    known = lambda rows: rows.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(0)).alias("seed"))
+    edges = written(known(found.join(supported, "pattern")), "supported")
+    done = None
+    while True:
+        trusted = _settled(edges)
+        loose = trusted.where((F.col("pattern").startswith("before") | F.col("pattern").startswith("then")) & F.col("pattern").endswith("\t")).select("pattern")
+        new = loose if done is None else written(loose.join(done, "pattern", "left_anti"), "loose")
+        some = [r.pattern for r in new.limit(KEPT_PATTERNS + 1).collect()]
+        if not some:
+            break
+        more = _loose_edges(docs, some) if len(some) <= KEPT_PATTERNS else _loose_edges(docs, None).join(new, "pattern")
+        edges = written(merged(edges.unionByName(known(more))), "edges")
+        done = new if done is None else done.unionByName(new)
     kept = trusted.limit(KEPT_PATTERNS + 1).collect()
     return {r.pattern: r.score for r in kept} if len(kept) <= KEPT_PATTERNS else trusted
 
 
 def _with_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The rows with a last column more: which of the patterns the candidates of their text have. Equal texts have equal ones, so a text is known by its hash."""
+    """The rows with a last column more: which of the patterns their text has. Equal texts have equal ones, so a text is known by its hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = Trusted(())
         for batch in batches:
             found: dict[tuple[str, str], None] = {}
             for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text:
-                    taken = [x for spans in base_spans(text) for x in spans]
-                    found |= {(key, p): None for *_, own, _ in candidates(text, taken) for p in own}
+                    taken = Spans(x for spans in base_spans(text) for x in spans)
+                    found |= {(key, p): None for _, _, _, own, _, _ in candidates(text, taken) for p in own}
+                    found |= {(key, p): None for _, _, own in every.tokens(text, taken, True) for p in own}
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in found], pa.string()) for j in (0, 1)], names=[KEY, "pattern"])
 
     text = F.col("text").cast("string")
@@ -228,13 +345,16 @@ def _with_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return keyed.join(own, KEY, "left").select(*(keyed[c] for c in docs.columns), own[OWN])
 
 
-def all_spans(text: str | None, patterns: Container[str]) -> list[list[Span]]:
-    """Spans of each of KINDS. A seed is one whatever the patterns."""
+def all_spans(text: str | None, patterns: Trusted) -> list[list[Span]]:
+    """Spans of each of KINDS, none of a kind overlapping another. A sure seed is one whatever the patterns."""
     if not text:
         return [[] for _ in KINDS]
     base = base_spans(text)
-    taken = [x for spans in base for x in spans]
-    return [*base, [(s, e) for s, e, _, found, seed in candidates(text, taken) if seed or any(p in patterns for p in found)]]
+    taken = Spans(x for spans in base for x in spans)
+    own = [(s, e) for s, e, _, found, _, sure in candidates(text, taken) if sure or any(p in patterns.all for p in found)]
+    seen = Spans(own)
+    own += [(s, e) for s, e, _ in patterns.tokens(text, taken) if not seen.meet(s, e)]
+    return [*base, sorted(own)]
 
 
 def find(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
@@ -244,12 +364,12 @@ def find(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     joined = isinstance(patterns, DataFrame)
-    shared = {} if joined else patterns
+    shared = Trusted(() if joined else patterns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            rows = [[{"kind": k, "start": s, "end": e} for k, spans in zip(KINDS, all_spans(x, own or ())) for s, e in spans] for x, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if joined else repeat(shared))]
+            rows = [[{"kind": k, "start": s, "end": e} for k, spans in zip(KINDS, all_spans(x, Trusted(own or ()) if joined else own)) for s, e in spans] for x, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if joined else repeat(shared))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,13 +377,16 @@ def find(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame:
-    """The rows with each span of their text replaced by its kind in angle brackets; all other columns, but n_chars, which follows, stay."""
+    """The rows with each span of their text replaced by its kind in angle brackets; all other columns, but n_chars, which follows, stay.
+
+    A null or empty text stays as it is; repeated rows are redacted each; an empty table gives no row.
+    """
     small_batches(docs.sparkSession)
     at, n = docs.columns.index("text"), len(docs.columns)
     joined = isinstance(patterns, DataFrame)
-    shared = {} if joined else patterns
+    shared = Trusted(() if joined else patterns)
 
-    def clean(text: str | None, own: Container[str]) -> str | None:
+    def clean(text: str | None, own: Trusted) -> str | None:
         if not text:
             return text
         out, end = [], 0
@@ -276,7 +399,7 @@ def redact(docs: DataFrame, patterns: dict[str, float] | DataFrame) -> DataFrame
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owns = batch.column(n).to_pylist() if joined else repeat(shared)
-            texts = pa.array([clean(x, own or ()) for x, own in zip(batch.column(at).to_pylist(), owns)], pa.string())
+            texts = pa.array([clean(x, Trusted(own or ()) if joined else own) for x, own in zip(batch.column(at).to_pylist(), owns)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns[:n])], names=batch.schema.names[:n])
 
     out = (_with_patterns(docs, patterns) if joined else docs).mapInArrow(rows, docs.schema)
@@ -289,4 +412,4 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["kind"] != "secret")
-    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), count("secret"))
+    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), count("secret"), F.size("spans").cast("long").alias("n_spans"))
