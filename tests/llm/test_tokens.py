@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -12,12 +13,16 @@ from tidemark.llm.common import new_path
 from .cases import documents, rows
 
 
-def plain_ids(text):
+@lru_cache(maxsize=None)
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+@lru_cache(maxsize=None)
+def plain_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -31,9 +36,10 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(encode([text])[0], encode.type).tolist() == plain_ids(text)
 
 
-def test_encoder_keeps_special_strings_and_a_bounded_cache():
+def test_encoder_takes_special_strings_as_the_library_and_keeps_a_bounded_cache():
     encode = tokens.Encoder(tokens.vocabulary_path(), kept=3)
-    for text in ("one two three four five", "<|endoftext|> it's, it's.", "one two"):
+    assert np.frombuffer(encode(["a <|endoftext|> b"])[0], encode.type).tolist() == [64, 220, 50256, 275]
+    for text in ("one two three four five", "<|endoftext|> it's, it's.", "one two", "two, three two five", "", "one one one", "six"):
         assert np.frombuffer(encode([text])[0], encode.type).tolist() == plain_ids(text)
 
 
@@ -72,11 +78,29 @@ def test_sequences_join_edges_of_tasks(spark):
     assert sum(r.n_tokens < 128 for r in out) <= 1 and len({r.sequence_id for r in out}) == len(out)
 
 
+def test_sequences_hold_the_ids_in_order(spark):
+    data = [(k, t, "en", "s", 1, *["z"] * 10) for k, t in enumerate(["some words of a text " * 9, None, "", "more <|endoftext|> words"])]
+    docs = documents(spark, data).repartition(3)
+    pieces = packing.pack(docs, length=16)
+    placed = {(r.sequence_id, r.offset + k): i for r in pieces.collect() for k, i in enumerate(np.frombuffer(r.ids, "<u2").tolist())}
+    joined = {(r.sequence_id, k): i for r in packing.sequences(pieces, 16).collect() for k, i in enumerate(np.frombuffer(r.ids, "<u2").tolist())}
+    assert placed == joined and len(placed) == sum(len(plain_ids(t)) + 1 for _, t, *_ in data)
+
+
+def test_many_rows_without_a_key_are_spread(spark):
+    folder = new_path(spark, "ids")
+    docs = spark.range(4000).selectExpr("case when id % 2 = 0 then id end as doc_id", "concat('text ', id) as text")
+    files = token_files.write_files(docs, folder, file_ids=10**9)
+    back = token_files.read_files(spark, folder, files).orderBy("start").collect()
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back)])[:-1].tolist()
+    assert [r.doc_id for r in back] == [None] * 2000 + list(range(0, 4000, 2))
+    assert files.table.where("first_key = -9223372036854775808").count() > 1
+
+
 def test_empty_table_and_no_tokens(spark):
     assert packing.pack(documents(spark, [])).count() == 0
     folder = new_path(spark, "none")
-    manifest, by_rank = token_files.write_files(documents(spark, []), folder)
-    assert token_files.read_files(spark, folder, manifest, by_rank).count() == 0
+    assert token_files.read_files(spark, folder, token_files.write_files(documents(spark, []), folder)).count() == 0
 
 
 @settings(max_examples=100, deadline=None)
@@ -89,8 +113,7 @@ def test_ranks_round_trip(values):
 
 def test_files_round_trip_in_order_of_keys(spark):
     folder = new_path(spark, "ids")
-    manifest, by_rank = token_files.write_files(documents(spark), folder, file_ids=500)
-    back = token_files.read_files(spark, folder, manifest, by_rank).orderBy("start").collect()
+    back = token_files.read_files(spark, folder, token_files.write_files(documents(spark), folder, file_ids=500)).orderBy("start").collect()
     want = Counter((doc, tuple([*plain_ids(t), token_files.END_ID])) for doc, t, *_ in rows())
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in back) == want
     keys = [token_files.NULL_KEY if r.doc_id is None else r.doc_id for r in back]

@@ -104,5 +104,19 @@ def with_digest(pieces: DataFrame, path: str | None = None) -> DataFrame:
     return pieces.select(*names, "ids").mapInArrow(digest, ", ".join(f"{k} long" for k in [*names, "ids_crc32"]))
 
 
+def with_sequence_digest(pieces: DataFrame, length: int = SEQUENCE, path: str | None = None) -> DataFrame:
+    """with_digest's columns, and sequence_crc32, the crc32 of all ids of a piece's sequence. Only digests are shuffled, and the boundary records."""
+    path = path or vocabulary_path()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(path)
+        for batch in batches:
+            sums = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(sums, pa.int64())], names=["sequence_id", "sequence_crc32"])
+
+    whole = sequences(pieces, length).select("sequence_id", "ids").mapInArrow(digest, "sequence_id long, sequence_crc32 long")
+    return with_digest(pieces, path).join(whole, "sequence_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(pack(table(spark, sf_dir, "documents"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ END_ID = 0
 #: Ids of one file at most, unless a single document has more.
 FILE_IDS = 2_000_000
 NULL_KEY = -(2**63)
+PREFIX = "ids-"
 
 #: For each control byte: the bytes of its four ranks.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -54,11 +56,11 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks: lengths by a table lookup of each control byte, then the data gathered by place."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     place = np.cumsum(size) - size
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = padded[place].astype(np.uint32)
+    held = np.frombuffer(data, np.uint8)
+    out = held[place].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(size > k)
-        out[more] |= padded[place[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[more] |= held[place[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -67,8 +69,9 @@ def file_bytes(keys: list[int], counts: list[int], ranks: np.ndarray) -> bytes:
     return b"".join((MAGIC, np.asarray([len(keys), len(ranks), len(data)], "<i8").tobytes(), np.asarray(keys, "<i8").tobytes(), np.asarray(counts, "<i8").tobytes(), control, data))
 
 
-def parse_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parse_file(content: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, counts, ranks) of a file; ValueError if it isn't one or is cut short."""
+    content = memoryview(content)
     if content[:8] != MAGIC:
         raise ValueError("not a token-id file")
     docs, n, n_data = np.frombuffer(content, "<i8", 3, 8)
@@ -99,96 +102,107 @@ def rank_table(tokens: DataFrame, path: str) -> np.ndarray:
     return np.lexsort((np.arange(size), -total)).astype(np.uint32)
 
 
-def write_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None, file_ids: int = FILE_IDS) -> tuple[DataFrame, np.ndarray]:
-    """Writes the documents' ids under `folder` and returns (manifest, ids by rank).
+@dataclass
+class TokenFiles:
+    """What reading needs beside the folder: a row a task that wrote (part, attempt, n_ids, first_key), and the ids by rank."""
 
-    The manifest (place, file, n_ids) names the files of the tasks that succeeded, in order; a repeated
-    attempt writes files of its own name, so a lost executor leaves at most files that no manifest names.
-    Documents are dealt by ranges of doc_id, so no task needs more than its range, and a file is closed
-    at `file_ids`. Null keys come first; rows that share a key keep one order, that of their ids.
+    table: DataFrame
+    by_rank: np.ndarray
+
+    def offsets(self) -> dict[int, tuple[int, int]]:
+        """(attempt, ids before its first file) of each part. One entry a task, so the driver's share doesn't grow with rows or files."""
+        out, before = {}, 0
+        for r in sorted(self.table.select("part", "attempt", "n_ids").collect()):
+            out[r.part] = r.attempt, before
+            before += r.n_ids
+        return out
+
+
+def write_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None, file_ids: int = FILE_IDS) -> TokenFiles:
+    """Writes the documents' ids under `folder`.
+
+    A file's name holds its part, its number, the part's ids before it, and the attempt that wrote it. The table
+    names the attempts that succeeded: a lost executor leaves at most files of an attempt that it doesn't name.
+    Documents are dealt by ranges of doc_id, then of their place in the table of tokens, so that rows without
+    a key, or of one key, are spread too; a file is closed at `file_ids`. Null keys come first; rows that
+    share a key keep the order in which they were encoded.
     """
     spark = docs.sparkSession
     path = path or vocabulary_path()
     tokens = token_table(docs, end_id, path)
     by_rank = rank_table(tokens, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "ids").repartitionByRange(parts, "key").sortWithinPartitions("key", "ids")
+    order = ["key", "part", "part_start"]
+    ordered = tokens.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "part", "part_start", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(path)
         rank = np.empty(len(by_rank), np.uint32)
         rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         task = TaskContext.get()
+        part, attempt = task.partitionId(), task.taskAttemptId()
         system, base = pyarrow.fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        names: list[str] = []
-        sizes: list[int] = []
         keys: list[int] = []
         counts: list[int] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
+        first_key, files, before, size = None, 0, 0, 0
 
         def close() -> None:
-            name = f"ids-{task.partitionId():06d}-{len(names):06d}-{task.taskAttemptId()}.bin"
-            with system.open_output_stream(f"{base}/{name}") as out:
-                out.write(file_bytes(keys, counts, rank[np.concatenate(held)]))
-            names.append(name)
-            sizes.append(sum(counts))
+            with system.open_output_stream(f"{base}/{PREFIX}{part}-{files}-{before}-{attempt}.bin") as out:
+                out.write(file_bytes(keys, counts, rank[np.frombuffer(b"".join(held), kind)]))
             keys.clear(), counts.clear(), held.clear()
 
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(ids, kind)
-                if counts and sum(counts) + len(ids) > file_ids:
+                n = len(ids) // kind.itemsize
+                if counts and size + n > file_ids:
                     close()
-                keys.append(key), counts.append(len(ids)), held.append(ids)
+                    files, before, size = files + 1, before + size, 0
+                first_key = key if first_key is None else first_key
+                keys.append(key), counts.append(n), held.append(ids)
+                size += n
         if counts:
             close()
-        places = [task.partitionId() * 1_000_000 + k for k in range(len(names))]
-        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["place", "file", "n_ids"])
-
-    return written(ordered.mapInArrow(write, "place long, file string, n_ids long"), "manifest"), by_rank
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, attempt, before + size, first_key)], names=["part", "attempt", "n_ids", "first_key"])
 
+    return TokenFiles(written(ordered.mapInArrow(write, "part long, attempt long, n_ids long, first_key long"), "files"), by_rank)
 
-def read_files(spark: SparkSession, folder: str, manifest: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) decoded from the files that the manifest names; ids unsigned, 32 bits, packed.
 
-    A file's start is the sum of n_ids of the files before it: one number a file, summed by the driver.
-    """
+def read_files(spark: SparkSession, folder: str, files: TokenFiles) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) decoded from the files of the attempts that succeeded; ids unsigned, 32 bits, packed."""
     small_batches(spark)
-    starts, before = {}, 0
-    for r in sorted(manifest.collect(), key=lambda r: r.place):
-        starts[r.file] = before
-        before += r.n_ids
+    offsets, by_rank = files.offsets(), files.by_rank
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = where.rpartition("/")[2]
-                if name not in starts:
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part, _, before, attempt = map(int, where.rpartition("/")[2].removeprefix(PREFIX).removesuffix(".bin").split("-"))
+                if part not in offsets or offsets[part][0] != attempt:
                     continue
-                keys, counts, ranks = parse_file(content)
-                ids = by_rank[ranks].astype("<u4")
+                keys, counts, ranks = parse_file(content.as_buffer())
+                ids = by_rank[ranks]
                 ends = np.cumsum(counts)
                 for lo in range(0, len(keys), 500):
                     own = slice(lo, lo + 500)
-                    packed = [ids[e - n : e].tobytes() for e, n in zip(ends[own], counts[own])]
+                    first = int(ends[lo] - counts[lo])
+                    at = np.append(ends[own] - counts[own], ends[own][-1]) - first
+                    packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids[first : first + at[-1]].astype("<u4"))])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if k == NULL_KEY else int(k) for k in keys[own]], pa.int64()), pa.array(starts[name] + ends[own] - counts[own]), pa.array(counts[own]), pa.array(packed, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"],
+                        [pa.array(keys[own], mask=keys[own] == NULL_KEY), pa.array(offsets[part][1] + before + ends[own] - counts[own]), pa.array(counts[own]), packed], names=["doc_id", "start", "n_tokens", "ids"]
                     )
 
-    if not starts:
+    if not offsets:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "ids")
-    manifest, by_rank = write_files(table(spark, sf_dir, "documents"), folder)
-    rows = read_files(spark, folder, manifest, by_rank)
+    rows = read_files(spark, folder, write_files(table(spark, sf_dir, "documents"), folder))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(3)], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
