@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages over documents, each an operator of tidemark.llm, written and read again in between."""
+"""The corpus pipeline: stages over documents, each an operator of tidemark.llm, written and read again in between.
+
+Columns beside doc_id and text go through all stages but the last, whatever their names; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +16,28 @@ SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity model, trained on the labelled ones among them, doesn't reject."""
+    """The documents that the toxicity model, trained on the labelled ones among them, doesn't reject. A null or empty text has no toxic term and stays; repeated rows are judged each."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id; of equal rows one. Null and empty texts all stay."""
     return keep_one(docs, SHINGLE, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a passage of the benchmark."""
+    """The documents without a passage of the benchmark. Null and empty texts stay; without benchmark items all do."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """The documents with personal data replaced by its kind. Null and empty texts stay as they are."""
     return personal_data.redact(docs, personal_data.learn_patterns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 tokens, with the crc32 of their ids."""
-    return packing.with_digest(packing.pack(docs))
+    """The pieces of the documents in sequences of 2048 tokens, with the crc32 of their ids and of their sequence's. A null or empty text is one id, the end."""
+    return packing.with_sequence_digest(packing.pack(docs))
 
 
 STAGES = [
