@@ -57,6 +57,32 @@ def test_rules_without_labels_keep_all_that_pass(spark):
     assert len(got) == len(rows()) and all(r.kept != r.base_failed for r in got)
 
 
+def test_scores_equal_brute_force(spark):
+    """The additive model's score from its tables, a text at a time, its statistics counted without Spark."""
+    sf = "/root/testdata/sf0.001"
+    model = quality_model.train(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    texts = {k: t for k, t, *_ in rows() if k is not None}
+    share = lambda a, b: a / max(b, 1)
+    for r in quality_model.classify(documents(spark, [x for x in rows() if x[0] is not None]), model).collect():
+        t = texts[r.doc_id] or ""
+        n, chars, symbols, dup, repeat = counts(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        x = {"n_words": n, "word_length": share(chars, n), "symbols_per_word": share(symbols, n), "dup_line_share": share(dup, len(lines)), "repeat_share": share(repeat, n)}
+        x |= {"distinct_share": share(len({*WORD.findall(t)}), n), "words_per_line": share(n, len(lines)), "upper_share": share(len(re.findall("[A-ZÀ-ÖØ-Þ]", t)), len(t))}
+        x |= {"digit_share": share(len(re.findall("[0-9]", t)), len(t)), "exclaim_per_word": share(t.count("!"), n), "punct_per_word": share(len(re.findall("[.,;:!?]", t)), n)}
+        bins = [sum(v >= c for c in cuts) for v, cuts in zip((x[k] for k in model.names), model.cuts)]
+        margin = model.intercept + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[bins[a], bins[b]] for a, b, t in model.pairs)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
+def test_covering_goes_on_after_an_imprecise_rule():
+    rng = np.random.default_rng(3)
+    x = {"a": rng.random(4000), "b": rng.random(4000)}
+    bad = (x["a"] >= 0.7) & (rng.random(4000) < 0.6) | (x["b"] >= 0.97)
+    rules = quality_rules.learn(x, bad)
+    assert any(c.feature == "b" for rule in rules for c in rule)
+
+
 def test_decision_list_on_a_known_rule():
     rng = np.random.default_rng(1)
     x = {"a": rng.random(3000), "b": rng.random(3000)}

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -72,6 +75,70 @@ def test_held_out_accuracy(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
 
 
+def labelled(spark, rows):
+    """(documents, labels) of (text, toxic) rows."""
+    docs = documents(spark, [(k, t, "en", "s", len(t), *["z"] * 10) for k, (t, _) in enumerate(rows)])
+    return docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    word = lambda: f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('nrs')}"
+    said = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k in range(900):
+        w = said(rng.randrange(20, 60))
+        if k % 3 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "worthless", "pathetic"]))
+        elif k % 9 == 1:
+            at = rng.randrange(3, len(w))
+            w[at:at] = ["she", "wrote", '"you', rng.choice(["idiot", "worthless", "pathetic"]) + '"']
+        rows.append((" ".join(w), int(k % 3 == 0)))
+    return rows, said
+
+
+def test_quotation_is_told_from_abuse_and_stems_are_not_made_of_one_word(spark):
+    rows, said = corpus()
+    model = toxicity.train(*labelled(spark, rows))
+    assert {"idiot", "worthless", "pathetic"} <= set(model.terms) and not any(t.endswith("*") for t in model.terms)
+    assert model.weights[2] < model.weights[0]
+    text = " ".join(said(30))
+    asked, _ = labelled(spark, [(f"{text} you idiot", 1), (f'{text} she wrote "you idiot"', 0), (f"{text} the pathway of pathology", 0), (f"{text} you wortless", 1)])
+    assert [r.predicted for r in toxicity.score(asked, model).orderBy("doc_id").collect()] == [1, 0, 0, 1]
+
+
+def brute_score(text, model):
+    """The score from its definition: every term against every word by edit distance, without trie, automaton or cache."""
+    long = [t for t in model.terms if len(t) >= toxicity.FUZZY_FROM and not t.endswith("*")]
+
+    def weight(w):
+        exact = [model.terms[t] for t in model.terms if t == w or t[-1] == "*" and len(w) > len(t) - 1 and w.startswith(t[:-1])]
+        swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for k in range(len(w) - 1)}
+        return max(exact) if exact else toxicity.FUZZY_WEIGHT * max((model.terms[t] for t in long if abs(len(t) - len(w)) < 2 and (t in swaps or distance(t, w) <= 1)), default=0.0)
+
+    tokens, used, quoted = (text or "").split(), 0.0, 0.0
+    for at, token in enumerate(tokens):
+        words = re.findall(r"[^\W\d_]+", token.lower())
+        words += re.findall(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]+)+", token.lower()) if len(words) > 1 else []
+        if w := max(map(weight, words), default=0.0):
+            quote = sum(c in toxicity.QUOTES for t in tokens[max(0, at - 10) : at] for c in t) % 2 == 1 or sum(c in toxicity.QUOTES for c in token) >= 2
+            if quote or any(t.lower().strip(",:") in toxicity.REPORTING for t in tokens[max(0, at - 3) : at]):
+                quoted += w
+            else:
+                used += w
+    x = [math.log1p(used), math.log1p(100 * used / max(len(tokens), 20)), math.log1p(quoted), 1.0]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, model.weights))))))
+
+
+def test_scores_equal_brute_force(spark):
+    data, _ = corpus(2)
+    model = toxicity.train(*labelled(spark, data))
+    texts = [t for t, _ in data[:150]] + ['the "idiot" wrote: IDIOTT w0rthless pathetci', None, "", "x " * 3000 + "idoit"]
+    docs = documents(spark, [(k, t, "en", "s", 1, *["z"] * 10) for k, t in enumerate(texts)])
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-9
+
+
 def test_every_row_and_filter(spark, sf):
     model = toxicity.train(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
     got = toxicity.score(documents(spark), model).collect()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .additive import AdditiveModel, fit
-from .common import crc_mod, labelled_sample, table
+from .common import crc_mod, labelled_texts, table
 from .text_stats import ratios, with_stats
 
 #: Labelled rows that the model is fitted on, at most.
@@ -23,10 +23,9 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> AdditiveModel:
-    """The model fitted on at most `bound` labelled documents outside the held-out fold; their keys are broadcast, so no text is shuffled."""
-    sample = labelled_sample(labels, "quality", FOLDS, HELD_OUT, bound)
+    """The model fitted on at most `bound` labelled documents outside the held-out fold, one row a key."""
     names = list(ratios())
-    rows = features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "label").collect()
+    rows = features(labelled_texts(docs, labels, "quality", FOLDS, HELD_OUT, bound), "label").collect()
     x = np.array([[r[k] for k in names] for r in rows], float).reshape(-1, len(names))
     return fit(names, x, np.array([r["label"] for r in rows], float))
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, table
+from .common import labelled_texts, table
 from .text_stats import ratios, with_stats
 
 #: Labelled rows that rules are learned from, at most.
@@ -49,7 +49,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
     """Adds the condition of the highest information gain until only bad rows are left or none helps."""
     rule: list[Condition] = []
     inside = rows.copy()
-    while bad[inside].mean() < 1 and len(rule) < 4:
+    while bad[inside].mean() < 1:
         p0, base = bad[inside].sum(), np.log2(bad[inside].mean())
         best = (0.0, None)
         for name, values in x.items():
@@ -79,22 +79,23 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarr
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISION, seed: int = 7) -> list[Rule]:
-    """Ordered rules that reject: sequential covering. Each rule is grown on two thirds of the rows that are left, pruned on the rest, and kept if it is precise there."""
+    """Ordered rules that reject: sequential covering. Each rule is grown on two thirds of the rows that are left, pruned on the rest, and kept if it is precise there; else its rows are set aside and the covering goes on."""
     n = len(bad)
     rules: list[Rule] = []
-    left = np.ones(n, bool)
+    left = np.ones(n, bool)  # rows that no rule rejects
+    open_ = left.copy()  # those that rules are still grown on: the rows of an imprecise rule are set aside
     grown = np.random.default_rng(seed).random(n) < 2 / 3
-    while len(rules) < 12 and bad[left & grown].sum() >= MIN_ROWS:
-        rule = _grow(x, bad, left & grown)
+    while bad[open_ & grown].sum() >= MIN_ROWS:
+        rule = _grow(x, bad, open_ & grown)
         if not rule:
             break
-        rule = _prune(rule, x, bad, left & ~grown)
+        rule = _prune(rule, x, bad, open_ & ~grown)
         hit = _holds(rule, x, n) & left
         checked = hit & ~grown
-        if bad[hit].sum() < MIN_ROWS or not checked.any() or bad[checked].mean() < precision:
-            break
-        rules.append(rule)
-        left &= ~hit
+        if bad[hit].sum() >= MIN_ROWS and checked.any() and bad[checked].mean() >= precision:
+            rules.append(rule)
+            left &= ~hit
+        open_ &= ~hit
     return rules
 
 
@@ -108,10 +109,9 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list[Rule]:
-    """Rules from at most `bound` labelled documents; the labels' sample is broadcast, so no text is shuffled. No labels: no rules."""
-    sample = labelled_sample(labels, "quality", 0, 0, bound)
+    """Rules from at most `bound` labelled documents, one row a key. No labels: no rules."""
     features = ratios()
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("label", *(v.alias(k) for k, v in features.items())).collect()
+    rows = with_stats(labelled_texts(docs, labels, "quality", 0, 0, bound)).select("label", *(v.alias(k) for k, v in features.items())).collect()
     if not rows:
         return []
     x = {k: np.array([r[k] for r in rows]) for k in features}

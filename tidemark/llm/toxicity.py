@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .additive import sigmoid
-from .common import crc_mod, labelled_sample, small_batches, table
+from .common import crc_mod, labelled_texts, small_batches, table, written
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 SAMPLE = 12_000
@@ -25,8 +25,8 @@ MIN_ODDS = 4.0
 EDITS, FUZZY_FROM = 1, 5
 #: Share of a term's weight that a misspelling of it has.
 FUZZY_WEIGHT = 0.7
-#: Lengths of stems: a term may also be the beginning of longer words, written with a star.
-STEMS = (4, 5, 6)
+#: Lengths of stems: a term may also be the beginning of longer words, written with a star, if toxic documents have so many different ones.
+STEMS, MIN_FORMS = (4, 5, 6), 3
 #: Words before a term that are looked at for signs of quotation.
 CONTEXT = 10
 #: Quotation marks, and verbs that report another's words.
@@ -110,8 +110,9 @@ class Matcher:
     """Weight of a raw token: the largest weight of a term it holds, exact or misspelled; 0 for most."""
 
     terms: dict[str, float]
-    kept: int = 1_000_000
+    kept: int = 120_000
     known: dict[str, float] = field(default_factory=dict)
+    older: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         long = sorted(t for t in self.terms if len(t) >= FUZZY_FROM and t[-1] != "*")
@@ -133,11 +134,14 @@ class Matcher:
     def token(self, token: str) -> float:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > self.kept:
-                self.known.clear()
-            lower = token.lower()
-            words = LETTERS.findall(lower)
-            got = self.known[token] = max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
+            got = self.older.get(token)
+            if got is None:
+                lower = token.lower()
+                words = LETTERS.findall(lower)
+                got = max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
+            if len(self.known) > self.kept:  # two generations: what was met lately stays
+                self.known, self.older = {}, self.known
+            self.known[token] = got
         return got
 
 
@@ -150,6 +154,14 @@ def in_quotation(tokens: list[str], at: int) -> bool:
     return marks % 2 == 1 or closed >= 2 or any(t.lower().strip(",:") in REPORTING for t in before[-3:])
 
 
+def own_words(text: str) -> set[str]:
+    """The different words that a text says itself: those in quotations are left out."""
+    tokens = text.lower().split()
+    if not any(q in text for q in QUOTES) and REPORTING.isdisjoint(t.strip(",:") for t in tokens):
+        return {*LETTERS.findall(text.lower())}
+    return {w for at, t in enumerate(tokens) if not in_quotation(tokens, at) for w in LETTERS.findall(t)}
+
+
 def evidence(text: str | None, matcher: Matcher) -> tuple[float, float, int]:
     """Summed weight of terms used and of terms quoted, and the number of words."""
     tokens = (text or "").split()
@@ -157,7 +169,7 @@ def evidence(text: str | None, matcher: Matcher) -> tuple[float, float, int]:
         return 0.0, 0.0, len(tokens)
     used = quoted = 0.0
     for at, t in enumerate(tokens):
-        if w := matcher.known.get(t) or matcher.token(t):
+        if w := matcher.token(t):
             if in_quotation(tokens, at):
                 quoted += w
             else:
@@ -205,31 +217,48 @@ def _evidence_rows(docs: DataFrame, terms: dict[str, float], *keep: str) -> Data
 
 
 def learn_terms(sample: DataFrame) -> dict[str, float]:
-    """Terms and their log odds: words of toxic documents that clean ones hardly have. sample: (text, label), of bounded size."""
+    """Terms and their log odds: words of toxic documents that clean ones hardly say themselves, in either half of the sample as well. sample: (text, label), of bounded size.
+
+    A stem is a term only where it stands for several words of toxic documents: of one word alone it would
+    say no more than that word, and meet others that begin alike.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_word: dict[str, list[int]] = {}
+        longer: dict[str, set[str]] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {f for w in {*LETTERS.findall((text or "").lower())} for f in forms(w)}:
-                    by_word.setdefault(w, [0, 0])[label] += 1
+            for text, label, half in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = own_words(text)
+                for f in {f for w in words for f in forms(w)}:
+                    by_word.setdefault(f, [0, 0, 0, 0])[2 * half + label] += 1
+                for w in words if label else ():
+                    for f in forms(w)[1:]:
+                        longer.setdefault(f, set()).add(w)
         words = list(by_word)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([by_word[w][k] for w in words], pa.int64()) for k in (0, 1))], names=["word", "clean", "toxic"])
-
-    totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
-    least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * n_toxic)))
-    odds = F.ln((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.ln((F.col("clean") + 0.5) / (n_clean + 1))
-    counts = sample.select("text", "label").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = counts.where((F.col("toxic") >= least) & (F.length("word") >= 3)).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).collect()
+        columns = [pa.array(words, pa.string()), *(pa.array([by_word[w][k] for w in words], pa.int64()) for k in range(4)), pa.array([sorted(longer.get(w, ()))[:MIN_FORMS] for w in words], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "clean0", "toxic0", "clean1", "toxic1", "longer"])
+
+    halved = sample.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    totals = {(r.half, r.label): r["count"] for r in halved.groupBy("half", "label").count().collect()}
+    n = [totals.get((k // 2, k % 2), 0) for k in range(4)]
+    least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * (n[1] + n[3]))))
+    odds = lambda toxic, clean, n_toxic, n_clean: F.ln((toxic + 0.5) / (n_toxic + 1)) - F.ln((clean + 0.5) / (n_clean + 1))
+    counts = (
+        halved.mapInArrow(count, "word string, clean0 long, toxic0 long, clean1 long, toxic1 long, longer array<string>")
+        .groupBy("word")
+        .agg(*(F.sum(c).alias(c) for c in ("clean0", "toxic0", "clean1", "toxic1")), F.size(F.array_distinct(F.flatten(F.collect_list("longer")))).alias("forms"))
+    )
+    whole = odds(F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1"), n[1] + n[3], n[0] + n[2])
+    halves = [(F.col(f"toxic{k}") > 0) & (odds(F.col(f"toxic{k}"), F.col(f"clean{k}"), n[2 * k + 1], n[2 * k]) >= MIN_ODDS / 2) for k in (0, 1)]
+    enough = (F.col("toxic0") + F.col("toxic1") >= least) & (F.length("word") >= 3) & (~F.col("word").endswith("*") | (F.col("forms") >= MIN_FORMS))
+    rows = counts.where(enough & (whole >= MIN_ODDS) & halves[0] & halves[1]).select("word", whole.alias("odds")).collect()
     return {r.word: float(r.odds) for r in rows}
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
-    """Lexicon and weights from at most `bound` labelled documents outside the held-out fold, equal texts counted once. The sample's keys are broadcast, so the corpus isn't shuffled."""
+    """Lexicon and weights from at most `bound` labelled documents outside the held-out fold, equal texts counted once. The sample is written once and read by both steps."""
     small_batches(docs.sparkSession)
-    keys = labelled_sample(labels, "toxic", FOLDS, HELD_OUT, bound)
-    sample = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").dropDuplicates(["text", "label"])
+    sample = written(labelled_texts(docs, labels, "toxic", FOLDS, HELD_OUT, bound).distinct(), "once")
     terms = learn_terms(sample)
     rows = _evidence_rows(sample, terms, "label").collect()
     if not rows:
@@ -258,7 +287,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows whose text scores below the threshold, with all their columns."""
+    """The rows whose text scores below the threshold, with all their columns; a null or empty text has no term and the score of none."""
     small_batches(docs.sparkSession)
     weights, terms, at = model.weights, model.terms, docs.columns.index("text")
 
