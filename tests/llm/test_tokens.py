@@ -44,7 +44,7 @@ def test_encoder_takes_special_strings_as_the_library_and_keeps_a_bounded_cache(
 
 
 def test_pieces_hold_each_id_once(spark):
-    pieces = packing.with_digest(packing.pack(documents(spark), length=64)).collect()
+    pieces = packing.pack(documents(spark), length=64, digest=True).collect()
     by_row = defaultdict(list)
     for r in pieces:
         by_row[r.doc_id].append(r)
@@ -84,6 +84,8 @@ def test_sequences_hold_the_ids_in_order(spark):
     pieces = packing.pack(docs, length=16)
     placed = {(r.sequence_id, r.offset + k): i for r in pieces.collect() for k, i in enumerate(np.frombuffer(r.ids, "<u2").tolist())}
     joined = {(r.sequence_id, k): i for r in packing.sequences(pieces, 16).collect() for k, i in enumerate(np.frombuffer(r.ids, "<u2").tolist())}
+    for r in packing.with_sequence_digest(pieces, 16).collect():
+        assert r.sequence_crc32 == crc([i for (k, _), i in sorted(placed.items()) if k == r.sequence_id])
     assert placed == joined and len(placed) == sum(len(plain_ids(t)) + 1 for _, t, *_ in data)
 
 

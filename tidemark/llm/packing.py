@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import id_type, part_offsets, token_table, vocabulary_path
+from .common import table, written
+from .tokens import part_offsets, token_table, vocabulary, vocabulary_path
 
 SEQUENCE = 2048
 END_ID = 1
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PLACE = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all documents, cut at fixed windows.
+def _crc(ids: bytes, kind: np.dtype) -> int:
+    return zlib.crc32(np.frombuffer(ids, kind).astype("<u4"))
+
+
+def pack(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: str | None = None, digest: bool = False) -> DataFrame:
+    """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all documents, cut at fixed windows. With digest, the crc32 of the ids as little-endian unsigned 32-bit integers (ids_crc32) in place of ids.
 
     Two passes: the texts are encoded once into a written table whose rows know the ids before them in
     their part; the totals of the parts (one number a task) become global offsets; then every row is cut
@@ -31,8 +35,9 @@ def pack(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: st
     tokens = token_table(docs, end_id, path)
     offsets = part_offsets(tokens)
 
+    kind = vocabulary(path)[1]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, part, start, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -40,12 +45,14 @@ def pack(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, path: st
                 while done < n:
                     sequence, at = divmod(place + done, length)
                     take = min(length - at, n - done)
-                    for column, value in zip(out, (doc, done, take, n, sequence, at, ids[done * kind.itemsize : (done + take) * kind.itemsize])):
+                    own = ids[done * kind.itemsize : (done + take) * kind.itemsize]
+                    for column, value in zip(out, (doc, done, take, n, sequence, at, _crc(own, kind) if digest else own)):
                         column.append(value)
                     done += take
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:6]] + [pa.array(out[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:6]] + [pa.array(out[6], pa.int64() if digest else pa.binary())], names=[*PLACE, "ids_crc32" if digest else "ids"])
 
-    return tokens.select("doc_id", "part", "part_start", "n_tokens", "ids").mapInArrow(cut, PIECES)
+    kinds = ", ".join(f"{c} long" for c in PLACE) + (", ids_crc32 long" if digest else ", ids binary")
+    return tokens.select("doc_id", "part", "part_start", "n_tokens", "ids").mapInArrow(cut, kinds)
 
 
 def sequences(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
@@ -90,33 +97,22 @@ def sequences(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
     return whole.unionByName(joined)
 
 
-def with_digest(pieces: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces with ids_crc32, the crc32 of their ids as little-endian unsigned 32-bit integers, in place of the ids."""
-    path = path or vocabulary_path()
-    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+def digests(rows: DataFrame, keep: list[str], name: str, path: str | None = None) -> DataFrame:
+    """The rows' columns `keep` (long) and `name`, the crc32 of their ids as little-endian unsigned 32-bit integers."""
+    kind = vocabulary(path or vocabulary_path())[1]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
         for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + [pa.array(sums, pa.int64())], names=[*names, "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([_crc(x, kind) for x in batch.column("ids").to_pylist()], pa.int64())], names=[*keep, name])
 
-    return pieces.select(*names, "ids").mapInArrow(digest, ", ".join(f"{k} long" for k in [*names, "ids_crc32"]))
+    return rows.select(*keep, "ids").mapInArrow(digest, ", ".join(f"{k} long" for k in [*keep, name]))
 
 
 def with_sequence_digest(pieces: DataFrame, length: int = SEQUENCE, path: str | None = None) -> DataFrame:
-    """with_digest's columns, and sequence_crc32, the crc32 of all ids of a piece's sequence. Only digests are shuffled, and the boundary records."""
-    path = path or vocabulary_path()
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(sums, pa.int64())], names=["sequence_id", "sequence_crc32"])
-
-    whole = sequences(pieces, length).select("sequence_id", "ids").mapInArrow(digest, "sequence_id long, sequence_crc32 long")
-    return with_digest(pieces, path).join(whole, "sequence_id")
+    """The pieces with ids_crc32 in place of the ids, and sequence_crc32, that of all ids of a piece's sequence. Only digests are shuffled, and the boundary records."""
+    pieces = written(pieces, "pieces")
+    return digests(pieces, PLACE, "ids_crc32", path).join(digests(sequences(pieces, length), ["sequence_id"], "sequence_crc32", path), "sequence_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(pack(table(spark, sf_dir, "documents"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, small_batches, table, written
-from .tokens import encoder, id_type, token_table, vocabulary_path
+from .hashed_words import text_bytes
+from .tokens import token_table, vocabulary, vocabulary_path
 
 MAGIC = b"TIDEIDS1"
 END_ID = 0
@@ -85,13 +86,13 @@ def parse_file(content: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.n
 
 def rank_table(tokens: DataFrame, path: str) -> np.ndarray:
     """Ids by falling frequency over all documents, ties by id. Each task sums its own counts; the result has one entry an id of the vocabulary."""
-    size = encoder(path).tokenizer.get_vocab_size()
+    size, kind = vocabulary(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, total = id_type(path), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=size)
+            data, _ = text_bytes(batch.column(0))
+            total += np.bincount(data.view(kind) if data.ctypes.data % kind.itemsize == 0 else np.frombuffer(data.tobytes(), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -133,10 +134,10 @@ def write_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str |
     by_rank = rank_table(tokens, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "part", "part_start"]
+    kind = vocabulary(path)[1]
     ordered = tokens.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "part", "part_start", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(path)
         rank = np.empty(len(by_rank), np.uint32)
         rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         task = TaskContext.get()
@@ -169,8 +170,9 @@ def write_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str |
     return TokenFiles(written(ordered.mapInArrow(write, "part long, attempt long, n_ids long, first_key long"), "files"), by_rank)
 
 
-def read_files(spark: SparkSession, folder: str, files: TokenFiles) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) decoded from the files of the attempts that succeeded; ids unsigned, 32 bits, packed."""
+def read_files(spark: SparkSession, folder: str, files: TokenFiles, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) decoded from the files of the attempts that succeeded; ids unsigned, 32 bits, packed. With digest, their crc32 (ids_crc32) in place of ids."""
+    last = "ids_crc32 long" if digest else "ids binary"
     small_batches(spark)
     offsets, by_rank = files.offsets(), files.by_rank
 
@@ -187,22 +189,17 @@ def read_files(spark: SparkSession, folder: str, files: TokenFiles) -> DataFrame
                     own = slice(lo, lo + 500)
                     first = int(ends[lo] - counts[lo])
                     at = np.append(ends[own] - counts[own], ends[own][-1]) - first
-                    packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids[first : first + at[-1]].astype("<u4"))])
+                    flat = ids[first : first + at[-1]].astype("<u4")
+                    packed = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()) if digest else pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(flat)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[own], mask=keys[own] == NULL_KEY), pa.array(offsets[part][1] + before + ends[own] - counts[own]), pa.array(counts[own]), packed], names=["doc_id", "start", "n_tokens", "ids"]
+                        [pa.array(keys[own], mask=keys[own] == NULL_KEY), pa.array(offsets[part][1] + before + ends[own] - counts[own]), pa.array(counts[own]), packed], names=["doc_id", "start", "n_tokens", last.split()[0]]
                     )
 
     if not offsets:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {last}")
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "ids")
-    rows = read_files(spark, folder, write_files(table(spark, sf_dir, "documents"), folder))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(3)], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_files(spark, folder, write_files(table(spark, sf_dir, "documents"), folder), digest=True)

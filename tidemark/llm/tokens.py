@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 #: Other white space, which could join a run of blanks; a text with any is one chunk. So is one with a string that the tokenizer takes for a special token.
 OTHER_BLANKS = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 #: Chunks whose ids are kept, and ids kept, at most.
-KEPT, KEPT_IDS = 1_500_000, 10_000_000
+KEPT, KEPT_IDS = 1_000_000, 6_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,9 +46,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.type = vocabulary(path)[1]
+        self.split, self.no_split = self.tokenizer.pre_tokenizer, ByteLevel(add_prefix_space=False, use_regex=False)
         self.odd = "|".join([OTHER_BLANKS, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.kept, self.kept_ids = kept, kept_ids
         self._forget()
@@ -71,9 +71,10 @@ class Encoder:
         self.hashes, self.first, self.count = self.hashes[own], ends - count, count
         self.again = np.zeros(len(own), bool)
 
-    @staticmethod
-    def _encoded(tokenizer, chunks: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)] if chunks else []
+    def _encoded(self, chunks: list[bytes], whole: bool = False) -> list[list[int]]:
+        """Ids of chunks; whole: of words, which the tokenizer's split would leave whole, so it is skipped."""
+        self.tokenizer.pre_tokenizer = self.no_split if whole else self.split
+        return [x.ids for x in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)] if chunks else []
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where hashes are, or would be, and whether they are there."""
@@ -83,15 +84,15 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         """Adds different chunks, their hashes in order, that aren't there."""
         parts = [m.groups() if (m := WORD_AND_STOP.fullmatch(c)) else (None, c) for c in chunks]
-        # A word that stands before a stop here may have been met without one. The tokenizer's split leaves words whole, so it is skipped for them.
+        # A word that stands before a stop here may have been met without one.
         words = list({w for w, s in parts if w is not None})
         own = span_hashes(np.frombuffer(b"".join(words), np.uint8), *((ends := np.cumsum([len(w) for w in words])) - [len(w) for w in words], ends)) if words else np.empty(0, np.uint64)
         at, there = self._places(own)
         ids = {w: self.pool[self.first[k] : self.first[k] + self.count[k]].tolist() for w, k, t in zip(words, at.tolist(), there.tolist()) if t}
         new = [w for w in words if w not in ids]
-        ids |= zip(new, self._encoded(self.words, new))
+        ids |= zip(new, self._encoded(new, True))
         rest = list({s for _, s in parts if s})
-        other = dict(zip(rest, self._encoded(self.tokenizer, rest)))
+        other = dict(zip(rest, self._encoded(rest)))
         found = [ids[w] + (other[s] if s else []) if w is not None else other[s] for w, s in parts]
         count = np.fromiter(map(len, found), np.int32, len(found))
         at = np.searchsorted(self.hashes, hashes)
@@ -148,8 +149,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def id_type(path: str) -> np.dtype:
-    return encoder(path).type
+@lru_cache(maxsize=None)
+def vocabulary(path: str) -> tuple[int, np.dtype]:
+    """(size, type of an id) of a vocabulary. Asked on the driver, so that only tasks that encode load the tokenizer."""
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(path).get_vocab_size()
+    return size, np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
 
 
 def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:

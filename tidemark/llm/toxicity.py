@@ -107,12 +107,12 @@ def swapped(word: str) -> list[str]:
 
 @dataclass
 class Matcher:
-    """Weight of a raw token: the largest weight of a term it holds, exact or misspelled; 0 for most."""
+    """Weight of a raw token: the largest weight of a term it holds, exact or misspelled; 0 for most, which are remembered."""
 
     terms: dict[str, float]
-    kept: int = 120_000
-    known: dict[str, float] = field(default_factory=dict)
-    older: dict[str, float] = field(default_factory=dict)
+    kept: int = 100_000
+    plain: set[str] = field(default_factory=set)
+    older: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         long = sorted(t for t in self.terms if len(t) >= FUZZY_FROM and t[-1] != "*")
@@ -132,17 +132,22 @@ class Matcher:
         return FUZZY_WEIGHT * max((self.terms[t] for t in near), default=0.0)
 
     def token(self, token: str) -> float:
-        got = self.known.get(token)
-        if got is None:
-            got = self.older.get(token)
-            if got is None:
-                lower = token.lower()
-                words = LETTERS.findall(lower)
-                got = max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
-            if len(self.known) > self.kept:  # two generations: what was met lately stays
-                self.known, self.older = {}, self.known
-            self.known[token] = got
-        return got
+        lower = token.lower()
+        words = LETTERS.findall(lower)
+        return max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
+
+    def weights(self, tokens: list[str]) -> dict[str, float]:
+        """Of the different tokens, those that have a weight."""
+        found, weightless = {}, []
+        for t in {*tokens} - self.plain:
+            if t not in self.older and (w := self.token(t)):
+                found[t] = w
+            else:
+                weightless.append(t)
+        if len(self.plain) > self.kept:  # two generations: what was met lately stays
+            self.plain, self.older = set(), self.plain
+        self.plain.update(weightless)
+        return found
 
 
 def in_quotation(tokens: list[str], at: int) -> bool:
@@ -165,11 +170,10 @@ def own_words(text: str) -> set[str]:
 def evidence(text: str | None, matcher: Matcher) -> tuple[float, float, int]:
     """Summed weight of terms used and of terms quoted, and the number of words."""
     tokens = (text or "").split()
-    if not any(map(matcher.token, {*tokens})):
-        return 0.0, 0.0, len(tokens)
+    weights = matcher.weights(tokens)
     used = quoted = 0.0
-    for at, t in enumerate(tokens):
-        if w := matcher.token(t):
+    for at, t in enumerate(tokens) if weights else ():
+        if w := weights.get(t):
             if in_quotation(tokens, at):
                 quoted += w
             else:
@@ -204,6 +208,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def _evidence_rows(docs: DataFrame, terms: dict[str, float], *keep: str) -> DataFrame:
+    """The columns `keep` and each text's evidence."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in batches:
@@ -274,16 +280,17 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     empty table gives no row; further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    weights = model.weights
+    weights, terms = model.weights, model.terms
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
         for batch in batches:
-            x = inputs(*(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("used", "quoted", "words")))
-            s = sigmoid(x @ weights)
+            got = np.array([evidence(x, matcher) for x in batch.column("text").to_pylist()], float).reshape(-1, 3)
+            s = sigmoid(inputs(*got.T) @ weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return _evidence_rows(rows, model.terms, "doc_id", "held_out").mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
