@@ -32,10 +32,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back. Cuts lineage so that a lost executor costs one stage only."""
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back. Cuts lineage so that a lost executor costs one stage only.
+
+    zstd is for large tables of numbers: its native buffers lie outside the executor's heap.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

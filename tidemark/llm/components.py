@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def _least(links: DataFrame, name: str) -> DataFrame:
@@ -20,7 +20,9 @@ def _stars(links: DataFrame) -> DataFrame:
     large = written(large.distinct(), "links")
     least = _least(large, "small")
     moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-    return written(moved.unionByName(least.select("u", F.col("m").alias("v")).where(F.col("u") != F.col("v"))).distinct(), "links")
+    out = written(moved.unionByName(least.select("u", F.col("m").alias("v")).where(F.col("u") != F.col("v"))).distinct(), "links")
+    drop_written(large, least)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -38,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = _stars(now)
+        old, now = now, _stars(now)
+        drop_written(old)
         before, state = state, _state(now)
         if state == before:
             break

@@ -110,7 +110,7 @@ def digests(rows: DataFrame, keep: list[str], name: str, path: str | None = None
 
 def with_sequence_digest(pieces: DataFrame, length: int = SEQUENCE, path: str | None = None) -> DataFrame:
     """The pieces with ids_crc32 in place of the ids, and sequence_crc32, that of all ids of a piece's sequence. Only digests are shuffled, and the boundary records."""
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", "zstd")
     return digests(pieces, PLACE, "ids_crc32", path).join(digests(sequences(pieces, length), ["sequence_id"], "sequence_crc32", path), "sequence_id")
 
 

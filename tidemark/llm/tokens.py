@@ -179,7 +179,7 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
             before += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids binary"), "tokens")
+    return written(rows.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids binary"), "tokens", "zstd")
 
 
 def part_offsets(tokens: DataFrame) -> dict[int, int]:
