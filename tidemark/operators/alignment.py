@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import itertools
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -48,18 +49,17 @@ def with_restarts(ref: list[str], heard: list[str], likeness: Callable[[str, str
     n, m = len(heard), len(ref)
     if not n or not m:
         return [], []
+    apart = np.arange(m + 1)[None, :] - np.arange(m + 1)[:, None]
     place = np.arange(m + 1)
+    forward = np.where(apart > 0, np.minimum(MISSED * apart, np.where(apart > 1, SKIP, np.inf)), np.where(apart == 0, 0.0, np.inf))
+    backward = np.where(apart < 0, BACK - BACK_WORD * apart, np.where(apart == 0, 0.0, np.inf))
+    like = lru_cache(maxsize=None)(like)
 
     def relaxed(row: np.ndarray) -> tuple[np.ndarray, list[dict]]:
         """Costs after moves within the text, and for each of the three passes where each state came from."""
         passes = []
         for ahead in (True, False, True):
-            if ahead:
-                apart = place[None, :] - place[:, None]
-                price = np.where(apart > 0, np.minimum(MISSED * apart, np.where(apart > 1, SKIP, np.inf)), np.where(apart == 0, 0.0, np.inf))
-            else:
-                apart = place[:, None] - place[None, :]
-                price = np.where(apart > 0, BACK + BACK_WORD * apart, np.where(apart == 0, 0.0, np.inf))
+            price = forward if ahead else backward
             ways = row[:, None] + price
             ways[place, place] -= 1e-12  # staying wins a tie
             source = ways.argmin(0)
@@ -102,19 +102,19 @@ def with_restarts(ref: list[str], heard: list[str], likeness: Callable[[str, str
 
 
 def weighted_lcs(a: list[tuple[str, float]], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of a common subsequence of the largest weight; a match is taken as soon as it is as good as any other way."""
-    n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1))
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + a[i][1] if a[i][0] == b[j] else max(best[i + 1, j], best[i, j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i][0] == b[j]:
+    """Pairs of places of a common subsequence of the largest weight, a row at a time: what a row adds is its matches before all that follows them."""
+    words = np.array(b, object)
+    rows = [np.zeros(len(b) + 1)]
+    for word, weight in reversed(a):
+        below = rows[-1]
+        matched = np.where(words == word, below[1:] + weight, 0.0)
+        rows.append(np.maximum.accumulate(np.append(np.maximum(below[:-1], matched), 0.0)[::-1])[::-1])
+    rows.reverse()
+    out, j = [], 0
+    for i, row in enumerate(rows[:-1]):
+        # What a row adds over the ones below is a match at the last place from which its best is still reached.
+        if row[j] > rows[i + 1][j]:
+            j = int(np.flatnonzero(row == row[j])[-1])
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
             j += 1
     return out

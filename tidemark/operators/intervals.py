@@ -73,6 +73,42 @@ def complement(cuts: DataFrame, clip: str, end: str) -> DataFrame:
     return gaps.unionByName(tail).where("e > s")
 
 
+def sequential_schedule(cards: DataFrame, clip: str, fps: int, fade: float, least: float, duration: float) -> DataFrame:
+    """Cards (clip, i, s, e) with fades (t_in, d_in, t_out, d_out) that never overlap, and hard_cut.
+
+    A changeover belongs to a card and the next one and knows their gap alone: both fades have the length that
+    the gap leaves for each, but `least`; the one in begins on a frame, and the one out ends half a frame
+    earlier, longer where the gap has room. A card whose fade out would begin before its own fade in is
+    over keeps what is left; the next one then comes as a hard cut. So a row needs its neighbours only.
+    """
+    order = by(clip, "i")
+    framed = lambda t: F.bround(t * fps) / fps
+    guard = 0.5 / fps
+    room = F.lead("s").over(order) - F.col("e") - guard
+    size = F.when(room >= 2 * fade, F.lit(fade)).otherwise(F.greatest(F.lit(least), F.greatest(room, F.lit(0.0)) / 2))
+    over = cards.withColumn("size", F.when(F.lead("s").over(order).isNotNull(), size)).withColumn("next_in", framed(F.lead("s").over(order) - F.col("size")))
+    came = over.withColumns({"t_in": F.coalesce(F.lag("next_in").over(order), F.greatest(F.col("s") - 0.05, F.lit(0.0))), "d_in": F.coalesce(F.lag("size").over(order), F.lit(fade)), "gone": F.col("next_in") - guard})
+    wished = F.greatest(F.col("size"), F.least(F.lit(fade), F.col("gone") - framed(F.col("e"))))
+    left = F.col("gone") - F.col("t_in") - F.col("d_in")
+    fitted = came.withColumns({"wished": wished, "left": left}).withColumn("cut", F.col("wished") > F.col("left"))
+    d_out = F.when(F.col("size").isNull(), F.lit(fade)).when(F.col("cut"), F.greatest(F.lit(1.0 / fps), F.col("left"))).otherwise(F.col("wished"))
+    ends = fitted.withColumn("d_out", d_out).withColumn("t_out", F.coalesce(F.col("gone") - F.col("d_out"), F.least(F.lit(duration - fade), F.col("e") - 0.15)))
+    return ends.withColumn("hard_cut", F.coalesce(F.lag("cut").over(order), F.lit(False))).select(clip, "i", "s", "e", "t_in", "t_out", "d_in", "d_out", "hard_cut")
+
+
+def drawn_back(words: DataFrame, repeats: DataFrame, clip: str, least: float = 0.5) -> DataFrame:
+    """Words (clip, i, s, e) after repeats (clip, first, second): the first word at or after a repeat's second start begins at its first start, if that moves it by `least` and not to or before the word ahead of it, whose end gives way. Of several repeats of a word the earliest start counts."""
+    points = repeats.select(clip, F.col("second").alias("t"), F.col("first").alias("id_"), F.monotonically_increasing_id().alias("id"))
+    hit = next_after(points.select(clip, "id", "t"), words.select(clip, F.col("i").cast("long").alias("mark"), F.col("s").alias("mt")), clip)
+    named = hit.join(points.select(F.col("id"), F.col("id_").alias("first")), "id").where("mark is not null")
+    wanted = named.groupBy(clip, F.col("mark").alias("i")).agg(F.min("first").alias("first"))
+    order = by(clip, "i")
+    moved = words.join(wanted, [clip, "i"], "left").withColumn("moves", (F.col("s") - F.col("first") >= least) & (F.col("first") > F.coalesce(F.lag("s").over(order), F.lit(float("-inf")))))
+    start = F.when(F.col("moves"), F.col("first")).otherwise(F.col("s"))
+    end = F.least(F.col("e"), F.when(F.lead("moves").over(order), F.lead("first").over(order)))
+    return moved.select(clip, "i", start.alias("s"), end.alias("e"))
+
+
 def islands(rows: DataFrame, clip: str, breaks: Column, order: WindowSpec, name: str = "run") -> DataFrame:
     """Numbers the runs of a clip: a new one starts wherever `breaks` holds."""
     return rows.withColumn("__b", F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).withColumn(name, F.sum("__b").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")

@@ -281,19 +281,27 @@ def schedule_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", t_in.alias("t_in"), t_out.alias("t_out"))
 
 
-@query("schedule_sequential")
+SEQUENTIAL_SQL = f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, event_id AS i, t AS s, t + value AS e, lead(t) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM e),
+  z AS (SELECT *, CASE WHEN nxt IS NULL THEN NULL WHEN nxt - e - 0.5 / 30 >= 0.9 THEN 0.45 ELSE greatest(0.1, greatest(nxt - e - 0.5 / 30, 0) / 2) END AS size FROM c),
+  o AS (SELECT *, round_even((nxt - size) * 30, 0) / 30 AS next_in FROM z),
+  g AS (SELECT *, coalesce(lag(next_in) OVER w, greatest(s - 0.05, 0)) AS t_in, coalesce(lag(size) OVER w, 0.45) AS d_in, next_in - 0.5 / 30 AS gone FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+  f AS (SELECT *, greatest(size, least(0.45, gone - round_even(e * 30, 0) / 30)) AS wished, gone - t_in - d_in AS room FROM g),
+  h AS (SELECT *, CASE WHEN size IS NULL THEN 0.45 WHEN wished > room THEN greatest(1.0 / 30, room) ELSE wished END AS d_out FROM f)
+  SELECT user_id, i, s, e, t_in, CASE WHEN size IS NULL THEN least({END} - 0.45, e - 0.15) ELSE gone - d_out END AS t_out, d_in, d_out,
+  coalesce(lag(wished > room) OVER (PARTITION BY user_id ORDER BY i), false) AS hard_cut FROM h"""
+
+
+@query("schedule_sequential", SEQUENTIAL_SQL)
 def schedule_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("user_id", F.col("event_id").alias("i"), F.col("t").alias("s"), (F.col("t") + F.col("value")).alias("e"))
-    fold = lambda rows: folds.sequential(rows, 30, 0.45, 0.1, END)
-    return folds.per_clip(e, "user_id", fold, "user_id long, i long, s double, e double, t_in double, t_out double, d_in double, d_out double, hard_cut boolean")
+    cards = events(spark, sf_dir).select("user_id", F.col("event_id").alias("i"), F.col("t").alias("s"), (F.col("t") + F.col("value")).alias("e"))
+    return I.sequential_schedule(cards, "user_id", 30, 0.45, 0.1, END)
 
 
 @query("signal_dips")
 def signal_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        found = folds.dips(rows["t"].tolist(), rows["value"].tolist(), rows["value"].quantile(0.9), 10.0, 20, 20.0, 3600.0)
-        return pd.DataFrame([{"user_id": rows["user_id"].iloc[0], **d} for d in found], columns=["user_id", "t", "db", "prom", "depth", "sustain", "t1", "t0", "pause"])
+        envelope = rows.sort_values(["t", "event_id"])[["t", "value"]].rename(columns={"value": "db"})
+        return folds.dips(envelope, rows["value"].quantile(0.9), 10.0, 20, 20.0, 3600.0).assign(user_id=rows["user_id"].iloc[0])
 
     return folds.per_clip(events(spark, sf_dir), "user_id", fold, "user_id long, t double, db double, prom double, depth double, sustain double, t1 double, t0 double, pause boolean")
 
