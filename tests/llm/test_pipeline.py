@@ -1,7 +1,12 @@
+from collections import Counter
+
+import pyarrow as pa
+
 import corpus_pipeline as pipeline
 from tidemark.llm import decontamination, personal_data, tokens, toxicity
 from tidemark.llm.common import table, written
 
+from .cases import documents, rows
 from .test_dedup import brute_components
 
 
@@ -24,7 +29,7 @@ def test_stages_take_effect_and_keep_the_rest(spark, sf):
     assert set(after) == want
     before, after = kept["decontamination"]
     items = [(r.item_id, r.text.encode()) for r in table(spark, sf, "benchmark").collect()]
-    leaks = decontamination.Searcher(items).search([t.encode() for t in before.values()])
+    leaks = decontamination.Searcher(items).search(pa.array(before.values(), pa.string()))
     assert set(after) == {k for k, found in zip(before, leaks) if not found}
     held = {k for k, t in before.items() if any(i.decode() in t for _, i in items)}
     assert not held & set(after)
@@ -35,3 +40,20 @@ def test_stages_take_effect_and_keep_the_rest(spark, sf):
     encode = tokens.encoder(tokens.vocabulary_path())
     total = sum(len(x) // 2 + 1 for x in encode(list(after.values())))
     assert sum(r.length for r in last) == total
+
+
+def test_stages_on_nulls_repeats_long_texts_and_clashing_columns(spark, sf):
+    for data in (rows(), []):
+        docs = documents(spark, data)
+        for _, stage in pipeline.STAGES[:-1]:
+            columns = docs.columns
+            docs = written(stage(spark, docs, sf), "stage")
+            assert docs.columns == columns
+        left = docs.collect()
+        last = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert Counter(r.doc_id for r in last if r.start == 0) == Counter(r.doc_id for r in left)
+        # Nothing here is toxic or leaked: null and blank texts stay, and of equal texts with words one.
+        blank = [d for d, t, *_ in data if not (t or "").strip()]
+        assert sorted(map(str, (r.doc_id for r in left if not (r.text or "").strip()))) == sorted(map(str, blank))
+        texts = {r.text for r in left if (r.text or "").strip()}
+        assert len(texts) == len(left) - len(blank)
