@@ -105,3 +105,14 @@ def test_components_of_long_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_factors_follow_one_source_and_are_compared_word_by_word():
+    flagged = [(9, 0, p, 1, 0, p + 100) for p in (3, 4, 5)] + [(9, 0, 6, 2, 0, 7), (9, 0, 8, 2, 0, 9), (9, 0, 4, 7, 0, 1), (10, 0, 9, 2, 0, 10)]
+    rows = [np.array(c, np.int64) for c in zip(*flagged)]
+    found = list(zip(*(c.tolist() for c in substring_dedup.parsed(rows, 20))))
+    assert found == [(9, 0, 3, 22, 1, 0, 103), (9, 0, 6, 20, 2, 0, 7), (9, 0, 8, 20, 2, 0, 9), (10, 0, 9, 20, 2, 0, 10)]
+    words = [b"%d" % k for k in range(50)]
+    assert substring_dedup.equal_runs(words, b" ".join(words), 20) == [(0, 50)]
+    assert substring_dedup.equal_runs(words, b" ".join([*words[:25], b"x", *words[26:]]), 20) == [(0, 25), (26, 50)]
+    assert substring_dedup.equal_runs(words[:22], b" ".join([*words[:10], b"x", *words[11:22]]), 20) == []
