@@ -106,9 +106,9 @@ def test_hopping_windows(spark):
 
 def test_search_falls_back_only_without_an_exact_posting(spark):
     docs = spark.createDataFrame([(1, "banana split"), (2, "bonono cake"), (3, "cake cake cake")], "doc_id long, text string")
-    post = search.postings(docs, "doc_id", T.words)
+    texts = search.worded(docs, "doc_id", T.words)
     queries = spark.createDataFrame([(1, 0, "banana"), (2, 0, "benene"), (3, 0, "cake"), (4, 0, "zzz")], "query long, qi int, token string")
-    hits, totals = search.matches(post, queries, T.skeleton, 3)
+    hits, totals = search.matches(texts, queries, T.skeleton, 3)
     assert sorted((r["query"], r.doc) for r in hits.collect()) == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (3, 3), (3, 3)]
     assert {r["query"]: round(r.total_w, 6) for r in totals.collect()}[4] == 1.0
 
@@ -116,7 +116,7 @@ def test_search_falls_back_only_without_an_exact_posting(spark):
 def test_contiguity_counts_runs(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "jumps fox red")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, k, w) for k, w in enumerate(["red", "fox", "jumps"])], "query long, qi int, token string")
-    got = search.ranked(search.postings(docs, "doc_id", T.words), queries, T.skeleton, 2, 5).orderBy("rank").collect()
+    got = search.ranked(*search.matches(search.worded(docs, "doc_id", T.words), queries, T.skeleton, 2), 5).orderBy("rank").collect()
     assert [r.doc for r in got] == [1, 2] and got[0].score - got[1].score == pytest.approx(2 * 1.2 / (3 * 0.693147), abs=1e-4)
 
 

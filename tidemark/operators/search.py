@@ -11,46 +11,78 @@ from pyspark.sql.window import Window
 FUZZY, RUN_BONUS, STOP_POSTINGS = 0.6, 1.2, 4000
 
 
-def postings(docs: DataFrame, key: str, words: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """(doc, pos, token): one row a token and place, never a list a term, so that common terms stay spread out."""
-    return docs.select(F.col(key).alias("doc"), F.posexplode(words(F.col(text))).alias("pos", "token"))
+def worded(docs: DataFrame, key: str, words: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """(doc, words): the words of each document in order."""
+    return spread(docs.select(key, text)).select(F.col(key).alias("doc"), words(F.col(text)).alias("words"))
 
 
-def term_stats(post: DataFrame, form: str = "token") -> DataFrame:
-    """(form, np, df): postings and distinct documents of each form. Counted by document first, so a common form is summed in parts."""
-    by_doc = post.groupBy(form, "doc").agg(F.count("*").alias("n"))
-    return by_doc.groupBy(form).agg(F.sum("n").alias("np"), F.count("*").alias("df"))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that fewer tasks would read than there are cores, dealt out to all; a table of many parts is left where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def matches(post: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Column], n_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(hits, totals) of queries (query, qi, token).
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc, pos, token) of (doc, words): one row a token and place, never a list a term, so that common terms stay spread out."""
+    return docs.select("doc", F.posexplode("words").alias("pos", "token"))
+
+
+def form_stats(docs: DataFrame, skeleton: Callable[[Column], Column] = lambda w: F.lit("")) -> DataFrame:
+    """(skel, token, np, df, first_skel): a token's postings and documents, and how many documents have it as the first token of its skeleton.
+
+    first_skel summed over a skeleton's tokens is the skeleton's number of documents. Each document's words are
+    sorted within the row, so that equal ones stand together: one aggregation over tokens, combined before its
+    shuffle, and none over pairs of token and document.
+    """
+    ordered = F.sort_array(F.transform("words", lambda w: F.struct(skeleton(w).alias("skel"), w.alias("token"))))
+
+    def marked(xs: Column) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            before = F.get(xs, i - 1)
+            return F.struct(x["skel"].alias("skel"), x["token"].alias("token"), (~before["token"].eqNullSafe(x["token"])).alias("opens"), (~before["skel"].eqNullSafe(x["skel"])).alias("opens_skel"))
+
+        return F.transform(xs, mark)
+
+    rows = docs.select(F.inline(F.transform(F.array(ordered), marked)[0]))
+    return rows.groupBy("skel", "token").agg(F.count("*").alias("np"), F.count_if("opens").alias("df"), F.count_if("opens_skel").alias("first_skel"))
+
+
+def matches(docs: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Column], n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, totals) of queries (query, qi, token) in documents (doc, words).
 
     A token is looked up as it is; only if no document has it, by its skeleton, at a lower weight. Its
     weight is ln(1 + N / df); one found nowhere still costs 1 in the total. Forms of more than
     STOP_POSTINGS postings count in the total but vote for nothing. hits: (query, qi, doc, pos, vote).
+
+    Tokens asked for are first resolved to the corpus's tokens, over the vocabulary; the postings are then read
+    once and joined by their token alone.
     """
-    q = queries.withColumn("skel", skeleton(F.col("token")))
-    # Only forms that a query can ask for are counted and joined; both counts are far smaller than the postings.
-    exact = post.join(q.select("token").distinct(), "token", "left_semi")
-    coarse = post.withColumn("skel", skeleton(F.col("token"))).drop("token").join(q.select("skel").distinct(), "skel", "left_semi")
-    found = q.join(term_stats(exact).select("token", F.col("np").alias("e_np"), F.col("df").alias("e_df")), "token", "left").join(
-        term_stats(coarse, "skel").select("skel", F.col("np").alias("s_np"), F.col("df").alias("s_df")), "skel", "left"
+    asked = queries.select("token").distinct().withColumn("skel", skeleton(F.col("token")))
+    vocabulary = form_stats(docs, skeleton).withColumnRenamed("token", "form")
+    same = F.col("form") == F.col("token")
+    of = Window.partitionBy("token")
+    found = (
+        asked.join(vocabulary, "skel", "left")
+        .withColumn("e_df", F.max(F.when(same, F.col("df"))).over(of))
+        .withColumn("n_forms", F.when(F.col("e_df").isNotNull(), F.max(F.when(same, F.col("np"))).over(of)).otherwise(F.sum("np").over(of)))
+        .withColumn("n_in", F.coalesce("e_df", F.sum("first_skel").over(of)))
+        .withColumn("weight", F.when(F.col("n_in").isNull(), F.lit(1.0)).otherwise(F.ln(1 + F.lit(float(n_docs)) / F.col("n_in"))))
     )
-    df = F.coalesce("e_df", "s_df")
-    weight = F.when(df.isNull(), F.lit(1.0)).otherwise(F.ln(1 + F.lit(float(n_docs)) / df))
-    weighed = found.select("query", "qi", "token", "skel", F.col("e_np").isNotNull().alias("is_exact"), F.coalesce("e_np", "s_np").alias("np"), weight.alias("w"))
-    totals = weighed.groupBy("query").agg(F.sum("w").alias("total_w"))
-    asked = weighed.where(F.col("np").isNotNull() & (F.col("np") <= STOP_POSTINGS))
-    by_token = exact.join(asked.where("is_exact").select("query", "qi", "token", F.col("w").alias("vote")), "token").select("query", "qi", "doc", "pos", "vote")
-    by_skel = coarse.join(asked.where("not is_exact").select("query", "qi", "skel", (F.col("w") * FUZZY).alias("vote")), "skel").select("query", "qi", "doc", "pos", "vote")
-    return by_token.unionByName(by_skel), totals
+    weights = found.groupBy("token").agg(F.first("weight").alias("weight"))
+    totals = queries.join(weights, "token").groupBy("query").agg(F.sum("weight").alias("total_w"))
+    is_exact = F.col("e_df").isNotNull()
+    voting = found.where((F.col("n_forms") <= STOP_POSTINGS) & (same | ~is_exact))
+    votes = voting.select("token", "form", F.when(is_exact, F.col("weight")).otherwise(F.col("weight") * FUZZY).alias("vote"))
+    keys = queries.join(votes, "token").select("query", "qi", "form", "vote")
+    hits = postings(docs).join(keys, F.col("token") == F.col("form")).select("query", "qi", "doc", "pos", "vote")
+    return hits, totals
 
 
-def ranked(post: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Column], n_docs: int, top: int) -> DataFrame:
+def ranked(hits: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     """(query, doc, score, hits, rank): the best documents of each query, by weighted votes and a bonus for query tokens that follow each other in the document too. Ties: the smaller doc."""
-    hits, totals = matches(post, queries, skeleton, n_docs)
-    at = Window.partitionBy("query", "doc", F.col("pos") - F.col("qi")).orderBy("qi")
-    follows = F.when(F.lead("qi").over(at) == F.col("qi") + 1, 1).otherwise(0)
+    shift = F.col("pos") - F.col("qi")
+    after = F.lead(F.struct(shift.alias("shift"), "qi")).over(Window.partitionBy("query", "doc").orderBy(shift, "qi"))
+    follows = F.when((after["shift"] == shift) & (after["qi"] == F.col("qi") + 1), 1).otherwise(0)
     voted = hits.withColumn("follows", follows).groupBy("query", "doc").agg(F.sum("vote").alias("votes"), F.sum("follows").alias("run"), F.countDistinct("qi").alias("hits"))
     scored = voted.join(totals, "query").select("query", "doc", F.round((F.col("votes") + RUN_BONUS * F.col("run")) / F.greatest("total_w", F.lit(1e-6)), 6).alias("score"), "hits")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")

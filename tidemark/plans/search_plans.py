@@ -35,7 +35,7 @@ ITEM_TOKENS = f"""q AS (SELECT item_id AS query, qi, token, {SKELETON.format(t="
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     docs = table(spark, sf_dir, "documents")
-    return S.postings(docs, "doc_id", T.words), docs.count()
+    return S.worded(docs, "doc_id", T.words), docs.count()
 
 
 def _item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +44,16 @@ def _item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rank_search_idf", f"WITH {ITEM_TOKENS}, {SEARCH_CTES} SELECT query AS item_id, doc AS doc_id, score, hits, rank FROM ranked WHERE rank <= 3")
 def rank_search_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, n = _index(spark, sf_dir)
-    out = S.ranked(post, _item_tokens(spark, sf_dir), T.skeleton, n, 3)
+    docs, n = _index(spark, sf_dir)
+    out = S.ranked(*S.matches(docs, _item_tokens(spark, sf_dir), T.skeleton, n), 3)
     return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "hits", "rank")
 
 
 @query("index_df_idf", f"""WITH p AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents)
   SELECT token, count(*) AS np, count(DISTINCT doc_id) AS df, round(ln(1 + any_value(n) / count(DISTINCT doc_id)), 6) AS idf FROM p, n GROUP BY token""")
 def index_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, n = _index(spark, sf_dir)
-    return S.term_stats(post).withColumn("idf", F.round(F.ln(1 + F.lit(float(n)) / F.col("df")), 6))
+    docs, n = _index(spark, sf_dir)
+    return S.form_stats(docs).select("token", "np", "df", F.round(F.ln(1 + F.lit(float(n)) / F.col("df")), 6).alias("idf"))
 
 
 HOPS = """list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, ceil((len(w) - 12) / 3.0)::BIGINT) + 1 END), lambda k: {'start': k * 3, 'words': w[k * 3 + 1 : k * 3 + 12]})"""
@@ -75,11 +75,11 @@ def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT b.item_id, b.source AS label, b.n AS votes, b.windows::BIGINT AS windows, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM best b JOIN won USING (item_id, source) WHERE r = 1 GROUP BY ALL""")
 def chunk_vote_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each window of an item votes for the source of its best document; the item gets the most frequent one and the range of documents that voted for it."""
-    post, n = _index(spark, sf_dir)
+    texts, n = _index(spark, sf_dir)
     windows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(S.hopping(T.words(F.col("text")))).alias("x"))
     queries = windows.select((F.col("item_id") * 1000 + F.col("x.start")).alias("query"), F.posexplode("x.words").alias("qi", "token"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
-    won = S.ranked(post, queries, T.skeleton, n, 1).join(docs, "doc").select(F.floor(F.col("query") / 1000).alias("item_id"), "doc", "source")
+    won = S.ranked(*S.matches(texts, queries, T.skeleton, n), 1).join(docs, "doc").select(F.floor(F.col("query") / 1000).alias("item_id"), "doc", "source")
     votes = won.groupBy("item_id", "source").agg(F.count("*").alias("votes"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
     of = Window.partitionBy("item_id")
     best = votes.withColumn("windows", F.sum("votes").over(of)).withColumn("r", F.row_number().over(of.orderBy(F.desc("votes"), "source")))
@@ -94,10 +94,9 @@ def chunk_vote_label(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query AS item_id, qi, doc AS doc_id, round(score / total, 4) AS share FROM v WHERE r = 1""")
 def positional_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of an item gets the document with the most weight among the candidates that match it within a phrase, and that document's share of the weight."""
-    post, n = _index(spark, sf_dir)
-    queries = _item_tokens(spark, sf_dir)
-    best = S.ranked(post, queries, T.skeleton, n, 6).where("score >= 0.2").select("query", "doc", "score")
-    hits, _ = S.matches(post, queries, T.skeleton, n)
+    docs, n = _index(spark, sf_dir)
+    hits, totals = S.matches(docs, _item_tokens(spark, sf_dir), T.skeleton, n)
+    best = S.ranked(hits, totals, 6).where("score >= 0.2").select("query", "doc", "score")
     found = hits.join(best, ["query", "doc"]).select("query", "doc", "score", "qi").distinct()
     votes = S.phrase_runs(found, ["query", "doc"], "qi")
     at = Window.partitionBy("query", "qi")
@@ -121,7 +120,7 @@ def tokens_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("skeleton_key", f"""WITH t AS (SELECT unnest({WORDS}) AS token FROM documents), k AS (SELECT token, {SKELETON.format(t="token")} AS skel FROM t)
   SELECT skel, count(*) AS n, count(DISTINCT token) AS n_forms, min(token) AS first_form FROM k GROUP BY skel""")
 def skeleton_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = S.postings(table(spark, sf_dir, "documents"), "doc_id", T.words)
+    post = S.postings(S.worded(table(spark, sf_dir, "documents"), "doc_id", T.words))
     forms = post.groupBy("token").agg(F.count("*").alias("n")).withColumn("skel", T.skeleton(F.col("token")))
     return forms.groupBy("skel").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"), F.min("token").alias("first_form"))
 
@@ -154,14 +153,14 @@ def wrap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wrap_balanced")
 def wrap_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.wrap_balanced("text", F.lit(42))).alias("line", "words"))
+    return S.spread(table(spark, sf_dir, "benchmark")).select("item_id", F.posexplode(T.wrap_balanced("text", F.lit(42))).alias("line", "words"))
 
 
 @query("similarity_ratio")
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of each item to its best document's sentence window found by search, instead of every item with every text."""
-    post, n = _index(spark, sf_dir)
-    best = S.ranked(post, _item_tokens(spark, sf_dir), T.skeleton, n, 1).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"))
+    texts, n = _index(spark, sf_dir)
+    best = S.ranked(*S.matches(texts, _item_tokens(spark, sf_dir), T.skeleton, n), 1).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"))
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     at = F.expr("greatest(1, instr(body, substring(text, 1, 30)))")
     paired = best.join(items, "item_id").join(docs, "doc_id").select("item_id", "doc_id", "text", F.col("body").substr(at, F.length("text")).alias("piece"))
