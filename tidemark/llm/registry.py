@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontamination import op1_decontamination
 from .jaccard_join import op9_jaccard_join
 from .packing import op2_packing
@@ -30,8 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_toxicity": op10_toxicity,
+        "base_statistics": oracles.base_statistics,
+        "base_personal_data": oracles.base_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
