@@ -139,13 +139,29 @@ def arabic_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word.agg(F.count("*").alias("n_words"), F.count_if(T.arabic_letters(F.col("word")) != "").cast("int").alias("n_with_letters"))
 
 
-@query("split_ratio")
+#: The cut after chunk k of four: at a comma or semicolon within three words of the even place, the nearest first.
+CUT = """, c{k} AS (SELECT *, greatest(at{before} + 1, least(coalesce(list_filter(list_transform([0, 1, -1, 2, -2, 3, -3], lambda o: round_even(n / 4.0 * {k}, 0)::BIGINT + o),
+  lambda c: c > 0 AND c < n AND regexp_matches(w[c], '[,;]$'))[1], round_even(n / 4.0 * {k}, 0)::BIGINT), n - 4 + {k})) AS at{k} FROM c{before})"""
+SPLIT_SQL = (
+    r"WITH c0 AS (SELECT doc_id, w, len(w) AS n, 0::BIGINT AS at0 FROM (SELECT doc_id, regexp_split_to_array(trim(text), '[ \t\n\v\f\r]+') AS w FROM documents))"
+    + "".join(CUT.format(k=k, before=k - 1) for k in (1, 2, 3))
+    + """, p AS (SELECT doc_id, unnest(range(4))::INTEGER AS part, CASE WHEN n <= 4 THEN list_resize(w, 4, '')
+    ELSE [array_to_string(w[1:at1], ' '), array_to_string(w[at1 + 1:at2], ' '), array_to_string(w[at2 + 1:at3], ' '), array_to_string(w[at3 + 1:], ' ')] END AS chunks FROM c3)
+  SELECT doc_id, part, md5(chunks[part + 1]) AS digest, length(chunks[part + 1])::INTEGER AS n_chars FROM p"""
+)
+
+
+@query("split_ratio", SPLIT_SQL)
 def split_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_even(F.col("text"), 4)).alias("part", "chunk"))
     return rows.select("doc_id", "part", F.md5("chunk").alias("digest"), F.length("chunk").alias("n_chars"))
 
 
-@query("wrap_greedy")
+@query("wrap_greedy", r"""WITH RECURSIVE w AS (SELECT item_id, unnest(x) AS word, unnest(range(len(x))) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(trim(text), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS x FROM benchmark)),
+  r AS (SELECT item_id, k, 0 AS line, word AS words FROM w WHERE k = 0
+    UNION ALL SELECT r.item_id, w.k, CASE WHEN length(words) + 1 + length(word) <= 42 THEN line ELSE line + 1 END, CASE WHEN length(words) + 1 + length(word) <= 42 THEN words || ' ' || word ELSE word END
+    FROM r JOIN w ON r.item_id = w.item_id AND w.k = r.k + 1)
+  SELECT item_id, line, arg_max(words, k) AS words FROM r GROUP BY item_id, line""")
 def wrap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.wrap_greedy(F.col("text"), 42)).alias("line", "words"))
     return rows.select("item_id", "line", "words")

@@ -164,7 +164,17 @@ def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.complement(_cuts(spark, sf_dir).withColumn("end", F.lit(END)), "user_id", "end")
 
 
-@query("interval_subtract_ordered")
+SUBTRACT_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, {CARDS}, {CUTS},
+  win AS (SELECT user_id, s AS a, e AS b, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS k FROM x),
+  r AS (SELECT user_id, card, s, e, false AS gone, 0::BIGINT AS k FROM c
+    UNION ALL SELECT r.user_id, card, CASE WHEN NOT gone AND a <= s AND s < b THEN b ELSE s END,
+      CASE WHEN NOT gone AND NOT (a <= s AND s < b) AND ((a < e AND e <= b) OR (s < a AND e > b)) THEN a ELSE e END,
+      gone OR (s >= a AND e <= b), win.k FROM r JOIN win ON r.user_id = win.user_id AND win.k = r.k + 1),
+  most AS (SELECT user_id, max(k) AS last FROM win GROUP BY user_id)
+  SELECT user_id, card, s, e FROM r LEFT JOIN most USING (user_id) WHERE k = coalesce(last, 0) AND NOT gone AND e - s >= 0.2"""
+
+
+@query("interval_subtract_ordered", SUBTRACT_SQL)
 def interval_subtract_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards less their user's errors, taken in order of time."""
     windows = _cuts(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("a"), F.col("e").alias("b")))).alias("windows"))
@@ -246,25 +256,44 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("user_id", "event_id", F.max(loud).over(before).alias("fell"), F.min(loud).over(after).alias("rose"))
 
 
-@query("greedy_spacing")
+@query("greedy_spacing", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
+  UNION ALL SELECT r.user_id, min(e.t) FROM r JOIN e ON e.user_id = r.user_id AND e.t - r.t >= 86400.0 GROUP BY r.user_id) SELECT user_id, t FROM r""")
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("times"))
     return times.select("user_id", F.explode(folds.spaced(F.col("times"), 86400.0)).alias("t"))
 
 
-@query("topk_diverse")
+#: Intervals of a clip, best first, and for the folds over them the state before the first.
+BEST_FIRST = f"""{EVENTS_SQL}, o AS MATERIALIZED (SELECT user_id, event_id AS id, t AS s, t + value * 2000 AS e, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM e)"""
+NONE_KEPT = "SELECT DISTINCT user_id, 0::BIGINT AS k, []::STRUCT(s DOUBLE, e DOUBLE)[] AS kept, false AS took FROM o"
+KEEP = "SELECT user_id, k, CASE WHEN took THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END, took"
+
+
+@query("topk_diverse", f"""WITH RECURSIVE {BEST_FIRST}, r AS ({NONE_KEPT} UNION ALL {KEEP} FROM (
+    SELECT o.user_id, o.k, r.kept, o.s, o.e, len(list_filter(r.kept, lambda x: least(o.e, x.e) - greatest(o.s, x.s) > 0.5 * least(greatest(o.e - o.s, 1e-6), greatest(x.e - x.s, 1e-6)))) = 0 AS took
+    FROM r JOIN o ON r.user_id = o.user_id AND o.k = r.k + 1 WHERE len(r.kept) < 5))
+  SELECT user_id, id, s, e, score, len(kept)::INTEGER AS rank FROM r JOIN o USING (user_id, k) WHERE took""")
 def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 2000).alias("e"), F.col("value").alias("score"))
     return folds.per_clip(e, "user_id", lambda rows: folds.diverse(rows, 5), "user_id long, id long, s double, e double, score double, rank int")
 
 
-@query("timeline_suppress")
+@query("timeline_suppress", f"""WITH RECURSIVE {BEST_FIRST}, r AS ({NONE_KEPT} UNION ALL {KEEP} FROM (
+    SELECT o.user_id, o.k, r.kept, o.s, o.e, coalesce(list_sum(list_transform(r.kept, lambda x: greatest(0.0, least(o.e, x.e) - greatest(o.s, x.s)))), 0) / greatest(o.e - o.s, 1e-6) < 0.5 AS took
+    FROM r JOIN o ON r.user_id = o.user_id AND o.k = r.k + 1))
+  SELECT user_id, id, s, e, score FROM r JOIN o USING (user_id, k) WHERE took""")
 def timeline_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 2000).alias("e"), F.col("value").alias("score"))
     return folds.per_clip(e, "user_id", folds.suppressed, "user_id long, id long, s double, e double, score double")
 
 
-@query("cards_fold")
+@query("cards_fold", f"""WITH RECURSIVE {EVENTS_SQL}, w AS MATERIALIZED (SELECT user_id, t + value AS e, lead(t) OVER o AS nxt, row_number() OVER o AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t, t + value, event_id)),
+  r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0 AS open, -1 AS card, false AS ends FROM w
+    UNION ALL SELECT user_id, k, open, card + ends::INTEGER, ends FROM (
+      SELECT w.user_id, w.k, CASE WHEN r.ends THEN 1 ELSE r.open + 1 END AS open, r.card,
+        (CASE WHEN r.ends THEN 1 ELSE r.open + 1 END) >= 7 OR w.k = w.n OR ((CASE WHEN r.ends THEN 1 ELSE r.open + 1 END) >= 3 AND coalesce(w.nxt - w.e > 40000.0, false)) AS ends
+      FROM r JOIN w ON r.user_id = w.user_id AND w.k = r.k + 1))
+  SELECT user_id, card, open AS n_words FROM r WHERE ends""")
 def cards_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("s"), (F.col("t") + F.col("value")).alias("e"), "event_id"))).alias("words"))
     return words.select("user_id", F.posexplode(folds.carded(F.col("words"), pause=40_000.0)).alias("card", "n_words"))
