@@ -33,6 +33,12 @@ def global_pairs(ref: list[str], heard: list[str], coarse: Callable[[str], str])
     return out[::-1]
 
 
+@lru_cache(maxsize=1 << 17)
+def alike(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio of two words, remembered by pair for as long as a worker lives, up to a fixed number of pairs."""
+    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
+
 def back_cost(words: int) -> float:
     return BACK + BACK_WORD * words
 
@@ -45,7 +51,7 @@ def with_restarts(ref: list[str], heard: list[str], likeness: Callable[[str, str
     back BACK and BACK_WORD a word, which is dearer than any detour can save, and cheaper than hearing
     two or more words again is worth.
     """
-    like = likeness or (lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio())
+    like = likeness or alike
     n, m = len(heard), len(ref)
     if not n or not m:
         return [], []
@@ -53,8 +59,6 @@ def with_restarts(ref: list[str], heard: list[str], likeness: Callable[[str, str
     place = np.arange(m + 1)
     forward = np.where(apart > 0, np.minimum(MISSED * apart, np.where(apart > 1, SKIP, np.inf)), np.where(apart == 0, 0.0, np.inf))
     backward = np.where(apart < 0, BACK - BACK_WORD * apart, np.where(apart == 0, 0.0, np.inf))
-    like = lru_cache(maxsize=None)(like)
-
     def relaxed(row: np.ndarray) -> tuple[np.ndarray, list[dict]]:
         """Costs after moves within the text, and for each of the three passes where each state came from."""
         passes = []

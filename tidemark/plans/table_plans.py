@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scores
 from ..functions import text as T
-from ..operators import alignment, folds, quality
+from ..operators import alignment, folds, quality, search
 from .base import events, query, table
 
 
@@ -33,13 +33,17 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("robust_summary", """SELECT l_returnflag, l_linestatus, median(l_quantity) AS med, round(quantile_cont(l_extendedprice, 0.1), 2) AS p10, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, max(l_tax) - min(l_tax) AS spread, count(*) FILTER (l_discount > 0.05) * 2 > count(*) AS mostly_discounted, count(*) AS n FROM lineitem GROUP BY ALL""")
 def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.median("l_quantity").alias("med"),
-        F.round(F.percentile("l_extendedprice", 0.1), 2).alias("p10"),
-        F.round(F.percentile("l_extendedprice", 0.9), 2).alias("p90"),
-        (F.max("l_tax") - F.min("l_tax")).alias("spread"),
-        (F.count_if(F.col("l_discount") > 0.05) * 2 > F.count("*")).alias("mostly_discounted"),
-        F.count("*").alias("n"),
+    by = ["l_returnflag", "l_linestatus"]
+    columns = {"quantity": "l_quantity", "price": "l_extendedprice", "tax": "l_tax", "discount": "l_discount"}
+    counts = quality.value_counts(search.spread(table(spark, sf_dir, "lineitem").select(*by, *columns.values())), by, {k: F.col(c) for k, c in columns.items()} | {"rows": F.lit(1)})
+    of = lambda what, x=F.col("value"): F.when(F.col("what") == what, x)
+    return counts.groupBy(*by).agg(
+        quality.quantile("quantity", 0.5).alias("med"),
+        F.round(quality.quantile("price", 0.1), 2).alias("p10"),
+        F.round(quality.quantile("price", 0.9), 2).alias("p90"),
+        (F.max(of("tax")) - F.min(of("tax"))).alias("spread"),
+        (F.sum(F.when((F.col("what") == "discount") & (F.col("value") > 0.05), F.col("n")).otherwise(0)) * 2 > F.sum(of("rows", F.col("n")))).alias("mostly_discounted"),
+        F.sum(of("rows", F.col("n"))).alias("n"),
     )
 
 
@@ -293,7 +297,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with what was heard of them: every seventh word lost, and the third to sixth said twice."""
     w = T.words(F.col("text"))
     heard = F.filter(F.concat(F.slice(w, 1, 6), F.slice(w, 3, F.size(w))), lambda x, i: i % 7 != 5)
-    return table(spark, sf_dir, "benchmark").select("item_id", w.alias("ref"), heard.alias("heard"))
+    return search.spread(table(spark, sf_dir, "benchmark")).select("item_id", w.alias("ref"), heard.alias("heard"))
 
 
 def _aligned(rows: DataFrame, align, schema: str) -> DataFrame:
