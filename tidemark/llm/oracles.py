@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .personal_data import KINDS, find
 from .quality_rules import filter_quality
+from .whitening import op11_whitening
 
 #: (doc_id, w): the words of a text, none of a null one. RE2's \v is the vertical tab.
 WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents"
@@ -54,7 +55,40 @@ BASE_PERSONAL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM do
     len(list_filter(cards, lambda x: list_sum(list_transform(range(length(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[i + 1]::INTEGER WHEN x[i + 1]::INTEGER > 4 THEN 2 * x[i + 1]::INTEGER - 9 ELSE 2 * x[i + 1]::INTEGER END)) % 10 = 0))::BIGINT AS n_card,
     len(list_filter(phones, lambda n: n BETWEEN 8 AND 15))::BIGINT AS n_phone FROM m"""
 
-SQL = {"op8_substring_dedup": SUBSTRING_DEDUP, "op9_jaccard_join": JACCARD_JOIN, "base_statistics": BASE_STATISTICS, "base_personal_data": BASE_PERSONAL}
+#: (vec_id, label, x): the rows whose vector counts, as whole 256ths.
+VECTORS = "x AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)"
+
+
+def _nearest(books: str) -> str:
+    """Each part with its nearest entry: the least of (distance, entry), both in one number."""
+    return f"""SELECT p.vec_id, p.label, p.part, any_value(p.v) AS v, min(c.entry + 64 * list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))) AS m
+    FROM p JOIN {books} c USING (part) GROUP BY p.vec_id, p.label, p.part"""
+
+
+def _learned(books: str, near: str) -> str:
+    return f"""SELECT part, entry, coalesce(mean, v) AS v FROM {books} LEFT JOIN (SELECT part, entry, list(mean ORDER BY place) AS mean FROM
+      (SELECT part, (m % 64)::BIGINT AS entry, place, floor(sum(v[place]) / count(*))::BIGINT AS mean FROM {near}, (SELECT unnest(range(1, 5)) AS place) GROUP BY part, (m % 64)::BIGINT, place) GROUP BY part, entry) USING (part, entry)"""
+
+
+VECTOR_CODES = f"""WITH {VECTORS},
+  p AS MATERIALIZED (SELECT vec_id, label, part, x[4 * part + 1 : 4 * part + 4] AS v FROM x, (SELECT unnest(range(16)) AS part)),
+  b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p WHERE vec_id IN (SELECT vec_id FROM x ORDER BY vec_id LIMIT 64)),
+  n0 AS MATERIALIZED ({_nearest("b0")}), b1 AS MATERIALIZED ({_learned("b0", "n0")}),
+  n1 AS MATERIALIZED ({_nearest("b1")}), b2 AS MATERIALIZED ({_learned("b1", "n1")}),
+  n2 AS MATERIALIZED ({_nearest("b2")}),
+  coded AS (SELECT vec_id, label, string_agg(printf('%02x', (m % 64)::INTEGER), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM n2 GROUP BY vec_id, label)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256 FROM coded"""
+
+#: What op11_whitening returns exactly, without eigenvectors.
+BASE_DEVIATIONS = f"""WITH {VECTORS},
+  fit AS (SELECT DISTINCT x FROM x),
+  place AS (SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS c FROM fit),
+  mean AS (SELECT list(s ORDER BY i) AS s FROM (SELECT i, sum(c)::BIGINT AS s FROM place GROUP BY i)),
+  size AS (SELECT count(*) AS n FROM fit)
+  SELECT vec_id, n, list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i])))::BIGINT AS deviation FROM x, mean, size"""
+
+SQL = {"op12_vector_codes": VECTOR_CODES, "base_deviations": BASE_DEVIATIONS, "op8_substring_dedup": SUBSTRING_DEDUP, "op9_jaccard_join": JACCARD_JOIN, "base_statistics": BASE_STATISTICS, "base_personal_data": BASE_PERSONAL}
 
 
 def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,3 +100,8 @@ def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many spans of each fixed kind op6_personal_data finds, without learned patterns."""
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return find(table(spark, sf_dir, "documents"), {}).select("doc_id", *map(count, KINDS[:4]))
+
+
+def base_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op11_whitening, of its first component."""
+    return op11_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")

@@ -17,6 +17,8 @@ from .sharding import op4_sharding
 from .substring_dedup import op8_substring_dedup
 from .token_files import op7_token_files
 from .toxicity import op10_toxicity
+from .vector_codes import op12_vector_codes
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_toxicity": op10_toxicity,
+        "op11_whitening": op11_whitening,
+        "op12_vector_codes": op12_vector_codes,
         "base_statistics": oracles.base_statistics,
         "base_personal_data": oracles.base_personal_data,
+        "base_deviations": oracles.base_deviations,
     }
 
 
