@@ -15,6 +15,7 @@ from .quality_model import op3_quality_model
 from .quality_rules import op5_quality_rules
 from .sharding import op4_sharding
 from .substring_dedup import op8_substring_dedup
+from .suffix_dedup import op13_suffix_dedup
 from .token_files import op7_token_files
 from .toxicity import op10_toxicity
 from .vector_codes import op12_vector_codes
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_whitening": op11_whitening,
         "op12_vector_codes": op12_vector_codes,
+        "op13_suffix_dedup": op13_suffix_dedup,
         "base_statistics": oracles.base_statistics,
         "base_personal_data": oracles.base_personal_data,
         "base_deviations": oracles.base_deviations,

@@ -34,8 +34,7 @@ WINDOW, ANCHOR = 20, 10
 class Lot:
     """The words of some documents in a row, with the anchors of their windows."""
 
-    def __init__(self, texts: pa.Array, window: int, anchor: int):
-        words = Words(texts)
+    def __init__(self, words: Words, window: int, anchor: int):
         self.sizes, self.starts, self.doc, self.words = words.sizes, words.starts, words.doc, words.hashes
         self.place = np.arange(len(self.words)) - self.starts[self.doc]
         self.window = window
@@ -211,7 +210,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in lots(batches):
-            lot = Lot(rows.column("text"), window, anchor)
+            lot = Lot(Words(rows.column("text")), window, anchor)
             at = lot.anchors()
             key, tag = (column_of(rows, c)[lot.doc[at]] for c in ("key", "tag"))
             yield _rows(list(_deal_places(lot.grams[at], key, tag, lot.place[at], parts, _repeated)))
@@ -220,7 +219,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in lots(batches):
-            lot = Lot(rows.column("text"), window, anchor)
+            lot = Lot(Words(rows.column("text")), window, anchor)
             flagged = np.zeros(len(lot.words), bool)
             for start, places in zip(lot.starts, rows.column("places").to_pylist()):
                 flagged[start + unsqueezed(places)] = True
