@@ -88,7 +88,19 @@ BASE_DEVIATIONS = f"""WITH {VECTORS},
   size AS (SELECT count(*) AS n FROM fit)
   SELECT vec_id, n, list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i])))::BIGINT AS deviation FROM x, mean, size"""
 
-SQL = {"op12_vector_codes": VECTOR_CODES, "base_deviations": BASE_DEVIATIONS, "op8_substring_dedup": SUBSTRING_DEDUP, "op9_jaccard_join": JACCARD_JOIN, "base_statistics": BASE_STATISTICS, "base_personal_data": BASE_PERSONAL}
+#: Windows are bytes; a passage's first document is the one with the smallest id.
+SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+  win AS (SELECT doc_id, i, array_slice(b, i + 1, i + 50) AS w FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS i FROM d WHERE octet_length(b) >= 50)),
+  later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first_id FROM win) WHERE doc_id > first_id),
+  run AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later)),
+  span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM run GROUP BY doc_id, r),
+  gone AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+  SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(CASE WHEN starts IS NULL THEN b ELSE unhex(list_aggregate(list_transform(range(len(starts) + 1), lambda k:
+      hex(array_slice(b, CASE WHEN k = 0 THEN 1 ELSE ends[k] + 1 END, CASE WHEN k = len(starts) THEN octet_length(b) ELSE starts[k + 1] END))), 'string_agg', '')) END) AS kept_sha256
+  FROM d LEFT JOIN gone USING (doc_id)"""
+
+SQL = {"op13_suffix_dedup": SUFFIX_DEDUP, "op12_vector_codes": VECTOR_CODES, "base_deviations": BASE_DEVIATIONS, "op8_substring_dedup": SUBSTRING_DEDUP, "op9_jaccard_join": JACCARD_JOIN, "base_statistics": BASE_STATISTICS, "base_personal_data": BASE_PERSONAL}
 
 
 def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
