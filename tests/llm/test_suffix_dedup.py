@@ -107,7 +107,7 @@ def test_sorted_suffixes(texts, depth, weak):
     data = np.frombuffer(b"".join(raw), np.uint8)
     begin = np.cumsum(sizes) - sizes
     suffixes = np.array([int(b) + k for b, r in zip(begin, raw) for k in range(len(r) - depth + 1)], np.int64)
-    order, equal = suffix_sort.sort(data, sizes, suffixes, depth, (1,) if weak else suffix_sort.BASES)
+    order, equal = suffix_sort.sort(data, suffixes, depth, (1,) if weak else suffix_sort.BASES)
     prefix = [data[k : k + depth].tobytes() for k in order.tolist()]
     assert prefix == sorted(prefix) and sorted(order.tolist()) == suffixes.tolist()
     assert equal.tolist() == [k > 0 and prefix[k] == prefix[k - 1] for k in range(len(prefix))]
@@ -115,9 +115,9 @@ def test_sorted_suffixes(texts, depth, weak):
 
 def test_common_extensions():
     data = np.frombuffer(b"the same beginning, then not" + b"the same beginning, thus so", np.uint8)
-    e = suffix_sort.Extensions(data, np.array([28, 27]), suffix_sort.BASES[0])
+    e = suffix_sort.Extensions(data, suffix_sort.BASES[0], 24)
     assert e.common(np.array([0, 4]), np.array([28, 32]), 8, 23).tolist() == [22, 18]
-    assert e.less(np.array([0, 28]), np.array([28, 0]), 24).tolist() == [True, False]
+    assert e.less(np.array([0, 28]), np.array([28, 0]), 8, 24).tolist() == [True, False]
 
 
 def test_pieces_cover_each_window_once():
@@ -131,8 +131,8 @@ def test_a_block_keeps_only_what_the_smallest_ids_hold():
     text = bytes(range(60, 124))
     block, flagged = suffix_dedup.Block(50), []
     for key in (5, 9, 3, 7, 3):
-        block.waiting.append(suffix_dedup.unbundled(suffix_dedup.bundled(np.array([64]), text, [np.array([0]), np.array([key]), np.array([1]), np.array([0])])))
+        block.add(suffix_dedup.bundled(np.array([64]), text, [np.array([0]), np.array([key]), np.array([1]), np.array([0])]))
         flagged.append([f.tolist() for f in block.sort()])
     none = [[], [], [], []]
     assert flagged == [none, [[9], [1], [0], [15]], [[5], [1], [0], [15]], [[7], [1], [0], [15]], none]
-    assert len(block.data) == 64 and block.entries[1].tolist() == [3]
+    assert list(block.ids) == [text] and block.entries[0][1].tolist() == [3]

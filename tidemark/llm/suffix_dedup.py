@@ -3,14 +3,14 @@
 A passage is a window of 50 bytes. Suffixes that begin with the same window are neighbours in order, so a
 sorted block of suffixes gives the windows that several documents hold, and the smallest id of each. Sorting
 all suffixes of a corpus would move fifty bytes for each byte. So a sample comes first: a window's anchor is the
-smallest hash of its runs of 24 bytes, equal windows have equal anchors, and only anchors at two places
-or more (one byte in fourteen starts one) can belong to shared windows. The stretches of windows around
-those go, as bytes, to blocks by their anchor, where their suffixes are sorted: by eight bytes, then by a
+smallest hash of its runs of 20 bytes, equal windows have equal anchors, and only anchors at two places
+or more (one byte in sixteen starts one) can belong to shared windows. The stretches of windows around
+those go, as bytes, to blocks by their anchor, where their suffixes are sorted: by sixteen bytes, then by a
 mergesort whose comparisons find the common extension of two suffixes by prefix hashes and binary search. The
 order is verified on the bytes themselves; a collision of hashes has the block sorted with another base. How
 suffixes compare beyond a window makes no difference and is left open.
 
-A hot passage doesn't gather: a lot of texts sends its smallest id's stretches only, flagging the others
+A hot passage doesn't gather: a task sends its smallest id's stretches only, flagging the others
 itself, and a block sorts what came so far before it takes more, keeping the smallest id's.
 """
 
@@ -29,11 +29,15 @@ from .common import small_batches, table
 from .hashed_words import NULL_KEY, column_of, deal, key_column, lots, mix, pack, text_bytes, text_column, unpack
 from .substring_dedup import DEALT, Lot, _deal_places, _flagged_places, _lookup, _repeated, _rows, unsqueezed
 
-WINDOW, ANCHOR = 50, 24
+WINDOW, ANCHOR = 50, 20
 #: Bytes of text that a task looks at together; longer texts are looked at in pieces.
 LOT = 1 << 20
-#: Blocks a task sorts one after the other, and bytes that come in before a block is sorted.
-BLOCKS, SORTED = 16, 2 << 20
+#: Different bytes, and stretches, that a task gathers before it sends them on.
+GATHERED, STRETCHES = 16 << 20, 500_000
+#: Blocks a task sorts one after the other, and bytes that come in before a block is sorted. Places count as PLACE bytes.
+BLOCKS, SORTED, PLACE = 8, 2 << 20, 24
+#: Runs of flagged windows that a task gathers before it sends them on.
+RUNS = 1_000_000
 FLAGS = ("key", "tag", "start", "n")
 
 
@@ -84,34 +88,58 @@ def unbundled(value: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return np.frombuffer(raw, "<i4", n, 16).astype(np.int64), np.frombuffer(raw, np.uint8, -1, at + places), [entries[0].astype(np.int64), *entries[1:]]
 
 
-def stretches(lot: Lot, data: np.ndarray, at: np.ndarray, key: np.ndarray, tag: np.ndarray, place: np.ndarray, blocks: int) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
-    """What a lot sends on: ((block, bundle) of each block, flags). `at` are windows whose anchors are repeated; the other arrays are theirs.
-
-    A stretch is a run of windows with one anchor. Of equal stretches only the smallest key's go on; those of
-    greater keys are flagged, as each of their windows stands in a smaller document here already.
-    """
-    new = np.concatenate([[True], (np.diff(at) != 1) | (lot.doc[at[1:]] != lot.doc[at[:-1]]) | (lot.least[at[1:]] != lot.least[at[:-1]])])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
-    ids: dict[bytes, int] = {}
-    raw = data.tobytes()
-    begin, size = at[first], n + lot.window - 1
-    which = np.array([ids.setdefault(raw[a : a + s], len(ids)) for a, s in zip(begin.tolist(), size.tolist())], np.int64)
-    key, tag, place, block = key[first], tag[first], place[first], (lot.least[begin] % np.uint64(blocks)).astype(np.int64)
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, key)
-    later = key > least[which]
-    flags = [key[later], tag[later], place[later], n[later]]
-    contents = list(ids)
-    out = []
-    order = np.flatnonzero(~later)
-    order = order[np.lexsort((which[order], block[order]))]
-    edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else np.empty(0, np.int64)
-    for own in np.split(order, edges[1:]) if len(order) else []:
-        used, stretch = np.unique(which[own], return_inverse=True)
-        parts = [contents[k] for k in used.tolist()]
-        out.append((int(block[own[0]]), bundled(np.array([len(p) for p in parts]), b"".join(parts), [stretch, key[own], tag[own], place[own]])))
-    return out, flags
+class Stretches:
+    """Runs of windows with one anchor that a task has met, the same bytes once."""
+
+    def __init__(self, window: int, blocks: int):
+        self.window, self.blocks = window, blocks
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.rows: list[list[np.ndarray]] = []
+        self.bytes = self.met = 0
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= GATHERED or self.met >= STRETCHES
+
+    def add(self, lot: Lot, data: np.ndarray, at: np.ndarray, key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> None:
+        """`at` are windows of a lot whose anchors are repeated; key, tag and place are theirs."""
+        new = np.concatenate([[True], (np.diff(at) != 1) | (lot.doc[at[1:]] != lot.doc[at[:-1]]) | (lot.least[at[1:]] != lot.least[at[:-1]])])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
+        begin, raw, ids, before = at[first], data.tobytes(), self.ids, len(self.ids)
+        which = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(begin.tolist(), (begin + n + self.window - 1).tolist())], np.int64)
+        fresh = np.unique(which[which >= before], return_index=True)[1]
+        self.bytes += int((n[which >= before][fresh] + self.window - 1).sum())
+        self.met += len(first)
+        self.rows.append([which, key[first], tag[first], place[first], n, (lot.least[begin] % np.uint64(self.blocks)).astype(np.int64)])
+
+    def sent(self) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
+        """((block, bundle) of each block, flags), and starts anew.
+
+        Of equal stretches only the smallest key's go on; those of greater keys are flagged, as each of
+        their windows stands in a smaller document here already.
+        """
+        if not self.rows:
+            return [], [np.empty(0, np.int64)] * 4
+        which, key, tag, place, n, block = (np.concatenate(c) for c in zip(*self.rows))
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, key)
+        later = key > least[which]
+        flags = [key[later], tag[later], place[later], n[later]]
+        contents, out = list(self.ids), []
+        order = np.flatnonzero(~later)
+        order = order[np.lexsort((place[order], tag[order], key[order], block[order]))]
+        edges = np.flatnonzero(np.diff(block[order])) + 1
+        for own in np.split(order, edges):
+            number = {k: i for i, k in enumerate(dict.fromkeys(which[own].tolist()))}  # in the order of places, which packs well
+            stretch = np.array([number[k] for k in which[own].tolist()], np.int64)
+            parts = [contents[k] for k in number]
+            out.append((int(block[own[0]]), bundled(np.array([len(p) for p in parts]), b"".join(parts), [stretch, key[own], tag[own], place[own]])))
+        self._clear()
+        return out, flags
 
 
 class Block:
@@ -119,65 +147,63 @@ class Block:
 
     def __init__(self, window: int):
         self.window = window
-        self.data, self.sizes, self.alive = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, bool)
-        self.entries = [np.empty(0, np.int64) for _ in range(4)]
-        self.waiting: list[tuple] = []
-        self.bytes = 0
+        self.ids: dict[bytes, int] = {}
+        self.entries = [[np.empty(0, np.int64)] * 4]
+        self.alive = np.empty(0, bool)  # windows of the stretches that were here when it was last sorted
+        self.known = self.held = self.bytes = 0
 
     def add(self, value: bytes) -> list[np.ndarray] | None:
         """Takes a bundle, and sorts once as much has come in as there is: so a suffix is sorted a number of times that grows with the logarithm of the block."""
-        self.waiting.append(unbundled(value))
-        self.bytes += len(self.waiting[-1][1])
-        return self.sort() if self.bytes >= max(SORTED, len(self.data)) else None
+        sizes, data, (stretch, *place) = unbundled(value)
+        raw, ids, ends = data.tobytes(), self.ids, np.cumsum(sizes)
+        before = len(ids)
+        which = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
+        self.bytes += int(sizes[which >= before].sum()) + PLACE * len(stretch)
+        self.entries.append([which[stretch], *place])
+        return self.sort() if self.bytes >= max(SORTED, self.held) else None
 
     def sort(self) -> list[np.ndarray]:
         """Flags of all windows that a smaller document is now known to hold."""
-        window = self.window
-        data, sizes, entries = [self.data], [self.sizes], [self.entries]
-        known = len(self.sizes)
-        for s, d, e in self.waiting:
-            entries.append([e[0] + known, *e[1:]])
-            known += len(s)
-            data.append(d)
-            sizes.append(s)
-        new = int(sum((s - window + 1).sum() for s in sizes[1:]))
-        self.waiting, self.bytes = [], 0
-        data, sizes = np.concatenate(data), np.concatenate(sizes)
-        alive = np.concatenate([self.alive, np.ones(new, bool)])
-        entries = [np.concatenate(c) for c in zip(*entries)]
-        stretch, key, tag, place = entries
-        order = np.lexsort((place, tag, key))  # equal rows of a table send the same places more than once
-        same = np.zeros(len(order), bool)
-        if len(order):
-            same[1:] = (np.diff(key[order]) == 0) & (np.diff(tag[order]) == 0) & (np.diff(place[order]) == 0)
-        once = np.sort(order[~same])
-        stretch, key, tag, place = (c[once] for c in entries)
+        window, contents = self.window, list(self.ids)
+        sizes = np.array([len(c) for c in contents], np.int64)
         windows = sizes - window + 1
+        first = np.cumsum(windows) - windows
+        stretch, key, tag, place = (np.concatenate(c) for c in zip(*self.entries))
+        came = np.zeros(len(sizes), bool)
+        came[stretch[len(self.entries[0][0]) :]] = True
+        least = np.full(len(sizes), np.iinfo(np.int64).max)
+        np.minimum.at(least, stretch, key)
+        later = key > least[stretch]
+        flags = [[key[later], tag[later], place[later], windows[stretch[later]]]]
+        # Equal rows of a table send the same places more than once.
+        order = np.lexsort((place, tag, key))
+        same = np.zeros(len(order), bool)
+        same[1:] = (np.diff(key[order]) == 0) & (np.diff(tag[order]) == 0) & (np.diff(place[order]) == 0)
+        kept = np.sort(order[~same & ~later[order]])
+        stretch, key, tag, place = stretch[kept], key[kept], tag[kept], place[kept]
         of = np.repeat(np.arange(len(sizes)), windows)
-        at = np.repeat(np.cumsum(sizes) - sizes, windows) + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        own_key, used = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
-        own_key[stretch], used[stretch] = key, True
-        alive &= used[of]
-        back = np.flatnonzero(alive)
-        ordered, equal = suffix_sort.sort(data, sizes, at[back], window)
+        # Of a stretch that came again all windows are looked at again, for its new places.
+        alive = came[of]
+        alive[: len(self.alive)] |= self.alive
+        data = np.frombuffer(b"".join(contents), np.uint8)
+        at = np.repeat(np.cumsum(sizes) - sizes, windows) + np.arange(len(of)) - first[of]
+        ordered, equal = suffix_sort.sort(data, at[alive], window)
         flat = np.empty(len(data), np.int64)  # the window that starts at a byte
         flat[at] = np.arange(len(at))
         ordered = flat[ordered]
-        flags = [np.empty(0, np.int64)] * 4
         if len(ordered):
-            k = own_key[of[ordered]]
+            k = least[of[ordered]]
             group = np.flatnonzero(~equal)
-            least = np.repeat(np.minimum.reduceat(k, group), np.diff(np.append(group, len(k))))
-            dead = np.sort(ordered[k > least])
+            dead = np.sort(ordered[k > np.repeat(np.minimum.reduceat(k, group), np.diff(np.append(group, len(k))))])
             alive[dead] = False
-            flags = self._flags(dead, of, np.cumsum(windows) - windows, stretch, key, tag, place)
+            flags.append(self._flags(dead, of, first, stretch, key, tag, place))
         keep = np.zeros(len(sizes), bool)
         keep[of[alive]] = True
-        number = np.cumsum(keep) - 1
-        held = keep[stretch]
-        self.data, self.sizes, self.alive = data[np.repeat(keep, sizes)], sizes[keep], alive[keep[of]]
-        self.entries = [number[stretch[held]], key[held], tag[held], place[held]]
-        return flags
+        number, held = np.cumsum(keep) - 1, keep[stretch]
+        self.ids = {c: i for i, c in enumerate(c for c, k in zip(contents, keep.tolist()) if k)}
+        self.alive, self.entries = alive[keep[of]], [[number[stretch[held]], key[held], tag[held], place[held]]]
+        self.held, self.bytes = int(sizes[keep].sum()) + PLACE * int(held.sum()), 0
+        return [np.concatenate(c) for c in zip(*flags)]
 
     @staticmethod
     def _flags(dead, of, base, stretch, key, tag, place) -> list[np.ndarray]:
@@ -195,11 +221,19 @@ class Block:
         return [key[entry], tag[entry], place[entry] + offset[run], n[run]]
 
 
+def coalesced(flags: list[np.ndarray]) -> list[np.ndarray]:
+    """The same windows as fewer runs, in order: runs of a document that follow each other are one."""
+    order = np.lexsort(flags[2::-1])
+    key, tag, start, n = (c[order] for c in flags)
+    new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(tag) != 0) | (start[1:] != (start + n)[:-1])])
+    first = np.flatnonzero(new)
+    return [key[first], tag[first], start[first], np.add.reduceat(n, first)]
+
+
 def _sent(flags: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
     """Flags packed by the task that puts a document's together."""
     if len(flags[0]):
-        order = np.lexsort(flags[2::-1])
-        flags = [c[order] for c in flags]
+        flags = coalesced(flags)
         yield from deal((mix(flags[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [flags[0].astype(np.uint64), *flags[1:]], parts)
 
 
@@ -248,9 +282,20 @@ def shared_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     repeated = _lookup(texts.mapInArrow(anchors, DEALT), parts, 3, _repeated, _flagged_places, "key long, tag long, places binary")
     candidates = texts.join(repeated, ["key", "tag"]).select("key", "tag", "places", "text")
     blocks = parts * BLOCKS
-    sent = "block int, known boolean, packed binary"
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("bundle", pa.binary())]))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Stretches(window, blocks)
+
+        def batch():
+            own, flags = met.sent()
+            bundles: dict[int, list[dict]] = {}
+            for b, v in own:
+                bundles.setdefault(b // BLOCKS, []).append({"block": b, "bundle": v})
+            done = dict(_sent(flags, parts))
+            to = sorted({*bundles, *done})
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([bundles.get(k, []) for k in to], kind), pa.array([done.get(k) for k in to], pa.binary())], names=["part", "bundles", "flags"])
+
         for rows in lots(batches, LOT):
             places, keys, tags = rows.column("places"), column_of(rows, "key"), column_of(rows, "tag")
             for symbols, row, offset in pieces(rows, window):
@@ -262,39 +307,51 @@ def shared_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
                 at = lot.windows_with(flagged)
                 if len(at):
                     doc = lot.doc[at]
-                    own, flags = stretches(lot, symbols.bytes, at, keys[row[doc]], tags[row[doc]], lot.place[at] + offset[doc], blocks)
-                    found = [(b, False, v) for b, v in own] + [(h, True, v) for h, v in _sent(flags, parts)]
-                    yield _rows(found)
+                    met.add(lot, symbols.bytes, at, keys[row[doc]], tags[row[doc]], lot.place[at] + offset[doc])
+                    if met.full:
+                        yield batch()
+        yield batch()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, Block(window)
+        flags: list[list[np.ndarray]] = []
+        bundles: dict[int, list[bytes]] = {}
 
-        def batch(flags):
-            found = list(_sent(flags, parts))
+        def batch():
+            found = list(_sent([np.concatenate(c) for c in zip(*flags)], parts)) if flags else []
+            flags.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["home", "packed"])
 
+        def gathered() -> bool:
+            return sum(len(f[0]) for f in flags) >= RUNS
+
         for rows in batches:
-            for b, known, value in zip(*(rows.column(c).to_pylist() for c in ("block", "known", "packed"))):
-                if known:
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([value], pa.binary())], names=["home", "packed"])
-                    continue
-                if b != now:
-                    if block.waiting:
-                        yield batch(block.sort())
-                    now, block = b, Block(window)
-                flags = block.add(value)
-                if flags:
-                    yield batch(flags)
-        if block.waiting:
-            yield batch(block.sort())
+            for own, done in zip(rows.column("bundles").to_pylist(), rows.column("flags").to_pylist()):
+                for b in own:
+                    bundles.setdefault(b["block"], []).append(b["bundle"])
+                if done is not None:
+                    first, *others = unpack(done, 4)
+                    flags.append([first.astype(np.int64), *others])
+                    if gathered():
+                        yield batch()
+        while bundles:
+            block = Block(window)
+            for value in bundles.popitem()[1]:
+                found = block.add(value)
+                if found:
+                    flags.append(found)
+            if block.bytes:
+                flags.append(block.sort())
+            if gathered():
+                yield batch()
+        yield batch()
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [unpack(v, 4) for batch in batches for v in batch.column("packed").to_pylist()]
         if found:
             yield spans([np.concatenate([f[k].astype(np.int64) for f in found]) for k in range(4)], window)
 
-    dealt = candidates.mapInArrow(cut_out, sent).repartitionById(parts, F.when(F.col("known"), F.col("block")).otherwise((F.col("block") / BLOCKS).cast("int")))
-    flags = dealt.sortWithinPartitions("known", "block").mapInArrow(judge, "home int, packed binary")
+    dealt = candidates.mapInArrow(cut_out, "part int, bundles array<struct<block: int, bundle: binary>>, flags binary").repartitionById(parts, "part")
+    flags = dealt.mapInArrow(judge, "home int, packed binary")
     return flags.repartitionById(parts, "home").mapInArrow(together, "key long, tag long, spans array<long>")
 
 

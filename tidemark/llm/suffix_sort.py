@@ -7,7 +7,7 @@ import numpy as np
 #: Bases of the prefix hashes (odd, so that their powers have inverses). Another one is taken where two strings collide.
 BASES = (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Suffixes are put in order by so many bytes before the mergesort.
-HEAD = 8
+HEAD = 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -17,20 +17,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Extensions:
-    """Prefix hashes of regions of bytes (sizes, in a row), for the common extension of two suffixes."""
+    """Prefix hashes of bytes, for the common extension of two suffixes: polynomials modulo 2**64, from one running sum over inverse powers."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, base: int):
-        self.data = data
-        place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        most = int(sizes.max(initial=0)) + 1
-        self.inverse = _powers(pow(base, -1, 2**64), most)
-        self.place = place
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, most)[place], out=self.total[1:])
+    def __init__(self, data: np.ndarray, base: int, depth: int):
+        self.data, self.power = data, _powers(base, depth + 1)
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(pow(base, -1, 2**64), len(data)), out=self.prefix[1:])
+        self.prefix *= _powers(base, len(data) + 1)
 
     def hashes(self, at: np.ndarray, length) -> np.ndarray:
         """Hashes of `length` bytes from each place on."""
-        return (self.total[at + length] - self.total[at]) * self.inverse[self.place[at]]
+        return self.prefix[at + length] - self.prefix[at] * self.power[length]
 
     def common(self, a: np.ndarray, b: np.ndarray, known: int, most: int) -> np.ndarray:
         """How many bytes, up to `most`, the suffixes at a and b share; `known` of them are known to be equal."""
@@ -45,9 +42,9 @@ class Extensions:
         out[open_] = low
         return out
 
-    def less(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Whether the suffix at a comes before the one at b, by their first `depth` bytes."""
-        n = self.common(a, b, HEAD, depth)
+    def less(self, a: np.ndarray, b: np.ndarray, known: int, depth: int) -> np.ndarray:
+        """Whether the suffix at a comes before the one at b, by their first `depth` bytes; the first `known` are equal."""
+        n = self.common(a, b, known, depth)
         at = np.minimum(n, depth - 1)
         return (n < depth) & (self.data[a + at] < self.data[b + at])
 
@@ -58,38 +55,44 @@ def heads(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data), ">u8", padded, strides=(1,))
 
 
-def merged(order: np.ndarray, first: np.ndarray, last: np.ndarray, less) -> np.ndarray:
-    """Sorts each stretch [first, last) of `order` (given for every element) by mergesort, all stretches at once.
+def merged(order: np.ndarray, sizes: np.ndarray, less) -> np.ndarray:
+    """Sorts each stretch of `order` (of these sizes, in a row) by mergesort, all stretches at once.
 
-    Two runs are merged by binary search of the left one's elements in the right one; these then take up
-    the places left over, in their order. Equal elements keep their order.
+    Two runs are merged by binary search of the left one's elements in the right one; the others take up
+    the places left over, in their order. Equal elements keep their order. Stretches that are done drop out.
     """
-    here = np.arange(len(order))
-    width = 1
-    while len(order) and width < int((last - first).max()):
+    order, at, width = order.copy(), np.arange(len(order)), 1
+    while True:
+        longer = sizes > width
+        if not longer.all():
+            at, sizes = at[np.repeat(longer, sizes)], sizes[longer]
+        if not len(sizes):
+            return order
+        own, here = order[at], np.arange(len(at))
+        last = np.repeat(np.cumsum(sizes), sizes)
+        first = last - np.repeat(sizes, sizes)
         run = (here - first) // width
         left = run % 2 == 0
         begin = first + (run + 1) * width
         moving = np.flatnonzero(left & (begin < last))
         low, high = begin[moving], np.minimum(begin + width, last)[moving]
-        start, own = low.copy(), order[moving]
+        start, mover = low.copy(), own[moving]
         active = np.arange(len(moving))
         while len(active):
             middle = (low[active] + high[active]) // 2
-            smaller = less(order[middle], own[active])
+            smaller = less(own[middle], mover[active])
             low[active] = np.where(smaller, middle + 1, low[active])
             high[active] = np.where(smaller, high[active], middle)
             active = active[low[active] < high[active]]
-        shift = np.zeros(len(order), np.int64)
+        shift = np.zeros(len(own), np.int64)
         shift[moving] = low - start
         target = (here + shift)[left]
-        out = np.empty_like(order)
-        free = np.ones(len(order), bool)
+        free = np.ones(len(own), bool)
         free[target] = False
-        out[target], out[free] = order[left], order[~left]
-        order = out
+        out = np.empty_like(own)
+        out[target], out[free] = own[left], own[~left]
+        order[at] = out
         width *= 2
-    return order
 
 
 def _steps(depth: int) -> list[int]:
@@ -97,41 +100,48 @@ def _steps(depth: int) -> list[int]:
     return [*range(0, depth - 8, 8), depth - 8]
 
 
-def compared(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(equal, in order): the first `depth` bytes (8 at least) at a and b themselves, eight at a time, without hashes."""
-    equal, ordered = np.ones(len(a), bool), np.ones(len(a), bool)
+def compared(words: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, bool]:
+    """(whether each suffix begins with the same `depth` bytes as the one before, whether they are in order): by the bytes themselves, eight at a time, without hashes."""
+    equal, ordered = np.ones(max(len(order) - 1, 0), bool), True
     for k in _steps(depth):
-        x, y = words[a + k].astype(np.uint64), words[b + k].astype(np.uint64)
-        ordered &= ~equal | (x <= y)
-        equal &= x == y
-    return equal, ordered
+        x = words[order + k].astype(np.uint64)
+        ordered &= bool((~equal | (x[:-1] <= x[1:])).all())
+        equal &= x[:-1] == x[1:]
+    return np.concatenate([np.zeros(min(len(order), 1), bool), equal]), ordered
 
 
-def sort(data: np.ndarray, sizes: np.ndarray, suffixes: np.ndarray, depth: int, bases=BASES) -> tuple[np.ndarray, np.ndarray]:
+def by_head(words: np.ndarray, suffixes: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order of their first `known` bytes, how many share each head)."""
+    start = words[suffixes].astype(np.uint64)
+    order = np.argsort(start)
+    start, given = start[order], suffixes[order]
+    new = np.concatenate([[True], start[1:] != start[:-1]]) if len(start) else np.empty(0, bool)
+    if known > 8:
+        size = np.diff(np.append(np.flatnonzero(new), len(start)))
+        several = np.flatnonzero(np.repeat(size > 1, size))
+        group, then = np.cumsum(new)[several], words[given[several] + known - 8].astype(np.uint64)
+        order = np.lexsort((then, group))
+        given[several], then = given[several[order]], then[order]
+        new[several[1:]] |= then[1:] != then[:-1]
+    return given, np.diff(np.append(np.flatnonzero(new), len(start)))
+
+
+def sort(data: np.ndarray, suffixes: np.ndarray, depth: int, bases=BASES) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order of their first `depth` bytes, whether each shares all of them with the one before).
 
-    Each suffix has `depth` bytes at least in its region. Order and equality are verified on the bytes
+    Each suffix has `depth` bytes at least. Order and equality are verified on the bytes
     themselves between neighbours; where hashes collided, everything is sorted again with another base, and
     after the last base by the bytes alone.
     """
-    words = heads(data)
-    start = words[suffixes].astype(np.uint64)
-    given = np.argsort(start, kind="stable")
-    start, given = start[given], suffixes[given]
-    new = np.concatenate([[True], start[1:] != start[:-1]]) if len(start) else np.empty(0, bool)
-    edges = np.append(np.flatnonzero(new), len(start))
-    size = np.diff(edges)
+    words, known = heads(data), min(HEAD, depth)
+    given, size = by_head(words, suffixes, known)
     several = np.repeat(size > 1, size)
-    own = size[size > 1]
-    last = np.repeat(np.cumsum(own), own)
-    first = last - np.repeat(own, own)
     for base in bases:
-        extensions = Extensions(data, sizes, base)
+        extensions = Extensions(data, base, depth)
         order = given.copy()
-        order[several] = merged(given[several], first, last, lambda a, b: extensions.less(a, b, depth))  # noqa: B023  used at once
-        equal, ordered = compared(words, order[:-1], order[1:], depth)
-        if ordered.all():
-            return order, np.concatenate([[False], equal]) if len(order) else equal
+        order[several] = merged(given[several], size[size > 1], lambda a, b: extensions.less(a, b, known, depth))  # noqa: B023  used at once
+        equal, ordered = compared(words, order, depth)
+        if ordered:
+            return order, equal
     order = given[np.lexsort([words[given + k].astype(np.uint64) for k in reversed(_steps(depth))])]
-    equal, _ = compared(words, order[:-1], order[1:], depth)
-    return order, np.concatenate([[False], equal])
+    return order, compared(words, order, depth)[0]
