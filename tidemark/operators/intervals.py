@@ -34,6 +34,45 @@ def interpolated(value: Column, order: WindowSpec, step: float) -> Column:
     return F.when(value.isNotNull(), value).when(v0.isNull() & v1.isNull(), None).when(v0.isNull(), v1 - step * (k1 - at)).when(v1.isNull(), v0 + step * (at - k0)).otherwise(inside)
 
 
+def holes_filled(rows: DataFrame, clip: str, order: WindowSpec, most: int = 4) -> DataFrame:
+    """(clip, ref, t0, t1, measured): rows (clip, ref, t0, t1) and, where refs jump by 2 to `most` and time advances, one row for each ref in between, evenly spread from the end before to the start after."""
+    before, end = F.lag("ref").over(order), F.lag("t1").over(order)
+    seen = rows.withColumns({"__hole": F.col("ref") - before, "__ref": before, "__end": end})
+    step = (F.col("t0") - F.col("__end")) / F.col("__hole")
+    own = F.struct("ref", "t0", "t1", F.lit(True).alias("measured"))
+
+    def guessed(h: Column) -> Column:
+        return F.struct((F.col("__ref") + h).alias("ref"), (F.col("__end") + step * (h - 1)).alias("t0"), (F.col("__end") + step * h).alias("t1"), F.lit(False).alias("measured"))
+
+    hole = F.col("__hole").between(2, most) & (F.col("t0") > F.col("__end"))
+    filled = F.when(hole, F.concat(F.transform(F.sequence(F.lit(1).cast("long"), F.col("__hole") - 1), guessed), F.array(own))).otherwise(F.array(own))
+    return seen.select(clip, F.inline(filled))
+
+
+def low_runs(rows: DataFrame, clip: str, at: str, level: str, below: float) -> DataFrame:
+    """(clip, run, s, e, n, depth): runs of rows more than `below` under the median level of their clip, with their mean level."""
+    order = by(clip, at)
+    low = rows.join(rows.groupBy(clip).agg(F.median(level).alias("__median")), clip).withColumn("__low", F.col(level) < F.col("__median") - below)
+    changed = F.lag("__low").over(order)
+    runs = islands(low, clip, changed.isNull() | (F.col("__low") != changed), order).where("__low")
+    return runs.groupBy(clip, "run").agg(F.min(at).alias("s"), F.max(at).alias("e"), F.count("*").alias("n"), F.avg(level).alias("depth"))
+
+
+def coarse_to_fine(rows: DataFrame, clip: str, width: float, below: float, lead: float, tail: float, least: float) -> DataFrame:
+    """(clip, coarse_s, coarse_e, fine_s, fine_e): the deepest low run of the means of bins, then the longest low run of the rows (clip, t, level) around it.
+
+    A coarse run counts from a length of `least`, a bin's width included. The rows from `lead` before it to
+    `tail` after are judged by their own median; ties go to the earlier run. A clip without a coarse run has no
+    row, one without a fine run nulls there.
+    """
+    bins = rows.groupBy(clip, (F.floor(F.col("t") / width) * width).alias("t")).agg(F.avg("level").alias("level"))
+    coarse = low_runs(bins, clip, "t", "level", below).where(F.col("e") - F.col("s") + width >= least)
+    best = coarse.groupBy(clip).agg(F.min(F.struct(F.round("depth", 9).alias("depth"), "s", "e")).alias("b")).select(clip, F.col("b.s").alias("coarse_s"), F.col("b.e").alias("coarse_e"))
+    near = rows.join(best, clip).where((F.col("t") >= F.col("coarse_s") - lead) & (F.col("t") <= F.col("coarse_e") + tail)).select(clip, "t", "level")
+    fine = low_runs(near, clip, "t", "level", below).groupBy(clip).agg(F.min(F.struct((F.col("s") - F.col("e")).alias("d"), "s", "e")).alias("f"))
+    return best.join(fine, clip, "left").select(clip, "coarse_s", "coarse_e", F.col("f.s").alias("fine_s"), F.col("f.e").alias("fine_e"))
+
+
 def clipped(cards: DataFrame, silences: DataFrame, clip: str, least: float) -> DataFrame:
     """Cards (clip, card, s, e) with their end drawn to the first start of a long silence strictly inside them; a silence without an end is ignored."""
     long = silences.where(F.col("e").isNotNull() & (F.col("e") - F.col("s") >= least)).select(F.col(clip).alias("c"), F.col("s").alias("quiet"))

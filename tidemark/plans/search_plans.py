@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import lookup as L
 from ..operators import search as S
 from .base import query, table
 
@@ -172,12 +173,30 @@ def wrap_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spread(table(spark, sf_dir, "benchmark")).select("item_id", F.posexplode(T.wrap_balanced("text", F.lit(42))).alias("line", "words"))
 
 
+@query("offset_votes", f"""WITH {ITEM_TOKENS}, {SEARCH_CTES}, c AS (SELECT query, doc, qi, unnest([o, o - 1]) AS cell FROM (SELECT *, floor((pos - qi) / 8.0)::BIGINT AS o FROM hit)),
+  v AS (SELECT query, doc, cell, count(DISTINCT qi) AS votes FROM c GROUP BY query, doc, cell HAVING count(DISTINCT qi) >= 2)
+  SELECT query AS item_id, doc AS doc_id, cell, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, doc, cell) AS rank FROM v) WHERE rank <= 6""")
+def offset_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, n = _index(spark, sf_dir)
+    hits, _ = S.matches(docs, _item_tokens(spark, sf_dir), T.skeleton, n)
+    return L.offset_votes(hits).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "cell", "votes", "rank")
+
+
+def _passages(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    docs, n = _index(spark, sf_dir)
+    hits, _ = S.matches(docs, _item_tokens(spark, sf_dir), T.skeleton, n)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    found = L.matched(items, table(spark, sf_dir, "documents").select("doc_id", "text"), hits, top)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "verse_from", "verse_to", "ratio", "rank")
+
+
+@query("match_passages")
+def match_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three passages of all texts that are most like each item: windows of up to six sentences, chosen by offset votes."""
+    return _passages(spark, sf_dir, 3)
+
+
 @query("similarity_ratio")
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of each item to its best document's sentence window found by search, instead of every item with every text."""
-    texts, n = _index(spark, sf_dir)
-    best = S.ranked(*S.matches(texts, _item_tokens(spark, sf_dir), T.skeleton, n), 1).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"))
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    at = F.expr("greatest(1, instr(body, substring(text, 1, 30)))")
-    paired = best.join(items, "item_id").join(docs, "doc_id").select("item_id", "doc_id", "text", F.col("body").substr(at, F.length("text")).alias("piece"))
-    return paired.select("item_id", "doc_id", F.round(T.similarity("text", "piece"), 4).alias("ratio"))
+    """Likeness of each item to the passage of all texts that is most like it."""
+    return _passages(spark, sf_dir, 1).select("item_id", "doc_id", "ratio")
