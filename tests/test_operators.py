@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -106,17 +107,35 @@ def test_spacing_and_cards(spark):
         assert df.select(folds.carded(F.col("w")).alias("v")).first().v == sizes
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(times, times), min_size=1, max_size=12))
-def test_diverse_never_overlaps_by_half(pairs):
-    rows = pd.DataFrame([(k, min(p), max(p), (k * 7) % 5) for k, p in enumerate(pairs)], columns=["id", "s", "e", "score"])
-    out = folds.diverse(rows, 4)
-    assert len(out) <= 4 and list(out["rank"]) == list(range(1, len(out) + 1))
-    kept = list(zip(out["s"], out["e"]))
-    for i, (s, e) in enumerate(kept):
-        for a, b in kept[:i]:
-            shared = min(e, b) - max(s, a)
-            assert shared <= 0.5 * max(e - s, 1e-6) and shared <= 0.5 * max(b - a, 1e-6)
+def best_first(rows, fits):
+    """Per clip, the intervals taken best first where fits(taken, interval) holds."""
+    taken = {}
+    for c, i, s, e, score in sorted(rows, key=lambda r: (r[0], -r[4], r[1])):
+        own = taken.setdefault(c, [])
+        if fits([(a, b) for _, a, b in own], s, e):
+            own.append((i, s, e))
+    return {c: [i for i, _, _ in own] for c, own in taken.items()}
+
+
+def test_diverse_and_suppressed_with_a_hot_clip(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        s = rng.randrange(0, 3000) / 2
+        rows.append((1 if k < 250 else rng.randrange(2, 7), k, s, s + rng.choice([0.0, 0.5, 4.0, 30.0, 120.0]), float(rng.randrange(9))))
+    frame = spark.createDataFrame(rows, "clip long, id long, s double, e double, score double")
+    long = lambda s, e: max(e - s, 1e-6)
+    half = lambda kept, s, e: all(min(e, b) - max(s, a) <= 0.5 * min(long(s, e), long(a, b)) for a, b in kept)
+    for keep in (4, 1000):
+        got = {}
+        for r in folds.diverse(frame, "clip", keep).orderBy("clip", "rank").collect():
+            got.setdefault(r.clip, []).append(r.id)
+        assert got == {c: ids[:keep] for c, ids in best_first(rows, half).items()}
+    room = lambda kept, s, e: sum(max(0.0, min(e, b) - max(s, a)) for a, b in kept) / long(s, e) < 0.5
+    got = {}
+    for r in folds.suppressed(frame, "clip").orderBy("clip", F.desc("score"), "id").collect():
+        got.setdefault(r.clip, []).append(r.id)
+    assert got == best_first(rows, room)
 
 
 def test_sequential_schedule_leaves_no_shared_frame(spark):
@@ -159,10 +178,15 @@ def test_words_are_drawn_back_to_a_repeat(spark):
     assert got == [("c", 0, 0, 1), ("c", 1, 5, 6), ("d", 0, 0, 2), ("d", 1, 2, 6), ("d", 2, 7, 8)]
 
 
-def test_boxes():
+def test_boxes(spark):
     box = lambda x, y: {"x": x, "y": y, "w": 10, "h": 10}
-    assert folds.box_clusters([[box(0, 0)], [box(5, 5)], [box(90, 90)]]) == [{"x": 0, "y": 0, "w": 15, "h": 15}]
-    assert folds.merged_boxes([(0, 0, 10, 10), (12, 0, 10, 10), (100, 100, 5, 5)], 4) == [(0, 0, 22, 10), (100, 100, 5, 5)]
+    frame = spark.createDataFrame([([box(0, 0), box(5, 5), box(90, 90)], 3)], "boxes array<struct<x:int,y:int,w:int,h:int>>, views int")
+    assert [tuple(r) for r in frame.select(F.inline(folds.box_clusters(F.col("boxes"), F.col("views")))).collect()] == [(0, 0, 15, 15, 2)]
+    merged = lambda *boxes, pad: folds.merged_boxes(np.array(boxes), pad).tolist()
+    assert merged((0, 0, 10, 10), (12, 0, 10, 10), (100, 100, 5, 5), pad=4) == [[0, 0, 22, 10], [100, 100, 5, 5]]
+    # the union of the first two comes near the third, which neither does alone
+    assert merged((0, 0, 10, 10), (8, 30, 10, 10), (12, 12, 4, 20), (40, 18, 2, 2), pad=4) == [[0, 0, 18, 40], [40, 18, 2, 2]]
+    assert folds.merged_boxes(np.empty((0, 4))).shape == (0, 4)
 
 
 def test_dips_and_cards():

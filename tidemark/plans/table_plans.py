@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -271,24 +272,32 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, meets).select(F.col("a.p_partkey").alias("one"), F.col("b.p_partkey").alias("two"))
 
 
-@query("box_cluster")
+BOX_CLUSTER_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY p_partkey) AS k FROM ({BOX})),
+  v AS (SELECT frame, count(DISTINCT p_partkey // 10) AS views, count(*) AS n FROM b GROUP BY frame),
+  r AS (SELECT frame, 0::BIGINT AS k, []::STRUCT(x BIGINT, y BIGINT, x2 BIGINT, y2 BIGINT, n BIGINT)[] AS c FROM v
+    UNION ALL SELECT frame, k, CASE WHEN hit IS NULL THEN list_append(c, {{'x': x, 'y': y, 'x2': x2, 'y2': y2, 'n': 1::BIGINT}})
+      ELSE list_concat(c[: hit - 1], [{{'x': least(c[hit].x, x), 'y': least(c[hit].y, y), 'x2': greatest(c[hit].x2, x2), 'y2': greatest(c[hit].y2, y2), 'n': c[hit].n + 1}}], c[hit + 1 :]) END
+    FROM (SELECT r.frame, b.k, r.c, b.x::BIGINT AS x, b.y::BIGINT AS y, (b.x + b.w)::BIGINT AS x2, (b.y + b.h)::BIGINT AS y2,
+        list_min(list_filter(range(1, len(r.c) + 1), lambda i: r.c[i].x < b.x + b.w AND b.x < r.c[i].x2 AND r.c[i].y < b.y + b.h AND b.y < r.c[i].y2)) AS hit
+      FROM r JOIN b ON b.frame = r.frame AND b.k = r.k + 1))
+  SELECT frame, c.x::INTEGER AS x, c.y::INTEGER AS y, (c.x2 - c.x)::INTEGER AS w, (c.y2 - c.y)::INTEGER AS h FROM (SELECT r.frame, unnest(c) AS c, views FROM r JOIN v ON r.frame = v.frame AND r.k = v.n) WHERE c.n >= greatest(1, round_even(0.5 * views, 0))"""
+
+
+@query("box_cluster", BOX_CLUSTER_SQL)
 def box_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a frame's parts gathered into clusters; ten parts are a view of the frame."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("p_partkey")
-        views = [g["box"].tolist() for _, g in rows.groupby(rows["p_partkey"] // 10)]
-        found = folds.box_clusters(views)
-        return pd.DataFrame([{"frame": rows["frame"].iloc[0], **b} for b in found], columns=["frame", "x", "y", "w", "h"])
-
-    return folds.per_clip(_boxes(spark, sf_dir), "frame", fold, "frame long, x int, y int, w int, h int")
+    rows = _boxes(spark, sf_dir).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "box"))).alias("parts"))
+    views = F.size(F.array_distinct(F.transform("parts", lambda p: F.floor(p["p_partkey"] / 10))))
+    found = folds.box_clusters(F.transform("parts", lambda p: p["box"]), views)
+    return rows.select("frame", F.inline(found)).drop("n")
 
 
 @query("box_merge")
 def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in rows.sort_values("p_partkey")["box"]]
-        return pd.DataFrame([(rows["frame"].iloc[0], *b) for b in folds.merged_boxes(boxes, 2)], columns=["frame", "x", "y", "w", "h"])
+        boxes = np.array([(b["x"], b["y"], b["w"], b["h"]) for b in rows.sort_values("p_partkey")["box"]])
+        return pd.DataFrame(folds.merged_boxes(boxes, 2), columns=["x", "y", "w", "h"]).assign(frame=rows["frame"].iloc[0])
 
     return folds.per_clip(_boxes(spark, sf_dir), "frame", fold, "frame long, x int, y int, w int, h int")
 

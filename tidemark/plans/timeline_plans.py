@@ -275,7 +275,7 @@ KEEP = "SELECT user_id, k, CASE WHEN took THEN list_append(kept, {'s': s, 'e': e
   SELECT user_id, id, s, e, score, len(kept)::INTEGER AS rank FROM r JOIN o USING (user_id, k) WHERE took""")
 def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 2000).alias("e"), F.col("value").alias("score"))
-    return folds.per_clip(e, "user_id", lambda rows: folds.diverse(rows, 5), "user_id long, id long, s double, e double, score double, rank int")
+    return folds.diverse(e, "user_id", 5)
 
 
 @query("timeline_suppress", f"""WITH RECURSIVE {BEST_FIRST}, r AS ({NONE_KEPT} UNION ALL {KEEP} FROM (
@@ -284,7 +284,7 @@ def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, id, s, e, score FROM r JOIN o USING (user_id, k) WHERE took""")
 def timeline_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 2000).alias("e"), F.col("value").alias("score"))
-    return folds.per_clip(e, "user_id", folds.suppressed, "user_id long, id long, s double, e double, score double")
+    return folds.suppressed(e, "user_id")
 
 
 @query("cards_fold", f"""WITH RECURSIVE {EVENTS_SQL}, w AS MATERIALIZED (SELECT user_id, t + value AS e, lead(t) OVER o AS nxt, row_number() OVER o AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t, t + value, event_id)),
