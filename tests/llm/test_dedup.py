@@ -116,3 +116,32 @@ def test_factors_follow_one_source_and_are_compared_word_by_word():
     assert substring_dedup.equal_runs(words, b" ".join(words), 20) == [(0, 50)]
     assert substring_dedup.equal_runs(words, b" ".join([*words[:25], b"x", *words[26:]]), 20) == [(0, 25), (26, 50)]
     assert substring_dedup.equal_runs(words[:22], b" ".join([*words[:10], b"x", *words[11:22]]), 20) == []
+
+
+def test_texts_without_key_whose_crc_is_the_same(spark):
+    import zlib
+
+    rng = np.random.default_rng(11)
+    copied = [f"c{k}" for k in rng.integers(0, 10**6, 26)]
+    seen: dict[int, str] = {}
+    while True:
+        text = " ".join([*copied[:25], f"x{rng.integers(0, 10**9)}"])
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    got = substring_dedup.remove_duplicates(documents(spark, [(None, t, "en", "s", 1, *["z"] * 10) for t in (text, other)])).collect()
+    assert sorted(r.n_removed for r in got) == [0, 25]
+
+
+def test_columns_named_like_our_own(spark):
+    from tidemark.llm import personal_data, text_stats
+
+    names = ["key", "tag", "KEY_", "__key", "__tag", "__w", "__l", "by_word", "By_Line", "component", "times", "first", "text of", personal_data.KEY]
+    docs = documents(spark).select("doc_id", "text", *(__import__("pyspark").sql.functions.lit(k).alias(c) for k, c in enumerate(names)))
+    kept = jaccard_join.keep_one(docs, 3, 90)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(range(len(names)))}
+    assert kept.count() == jaccard_join.keep_one(documents(spark), 3, 90).count()
+    counted = text_stats.with_stats(docs)
+    assert {tuple(r)[2 : 2 + len(names)] for r in counted.collect()} == {tuple(range(len(names)))}
+    patterns = spark.createDataFrame([("no such pattern",)], "pattern string")
+    assert {tuple(r)[2 : 2 + len(names)] for r in personal_data._with_patterns(docs, patterns).collect()} == {tuple(range(len(names)))}

@@ -26,6 +26,10 @@ def _next(row, i, x, b):
     return now
 
 
+def one_looks_alike(word, term):
+    return len(word) == len(term) and [b in toxicity.ALIKE.get(a, "") for a, b in zip(term, word) if a != b] == [True]
+
+
 TERMS = ["idiot", "stupid", "worthless", "clown", "moron", "scum"]
 
 
@@ -43,7 +47,9 @@ def test_matcher_finds_every_single_edit(term, data):
     c = data.draw(st.sampled_from("xyz"))
     word = data.draw(st.sampled_from([term[:k] + c + term[k + 1 :], term[:k] + c + term[k:], term[:k] + term[k + 1 :]]))
     m = toxicity.Matcher({t: 2.0 for t in TERMS})
-    want = 2.0 if word in TERMS else max((toxicity.FUZZY_WEIGHT * 2.0 for t in TERMS if len(t) >= toxicity.FUZZY_FROM and distance(word, t) <= 1), default=0.0)
+    alike = any(len(t) < toxicity.FUZZY_FROM and one_looks_alike(word, t) for t in TERMS)
+    near = any(len(t) >= toxicity.FUZZY_FROM and distance(word, t) <= 1 for t in TERMS)
+    want = 2.0 if word in TERMS else 2.0 * toxicity.FUZZY_WEIGHT * (alike or near)
     assert m.word(word) == want
 
 
@@ -53,15 +59,28 @@ def test_quotation_and_abuse():
     assert toxicity.evidence('he wrote “you are an idiot” to them', m)[:2] == (0.0, 1.0)
     assert toxicity.evidence('the "idiot" of the play', m)[:2] == (0.0, 1.0)
     assert toxicity.evidence("she called them, idiot was the word", m)[:2] == (0.0, 1.0)
-    assert toxicity.evidence("You IDI0T! idiott.", m)[0] == toxicity.FUZZY_WEIGHT
+    assert toxicity.evidence("You IDI0T! idiott.", m)[0] == toxicity.DISGUISED_WEIGHT + toxicity.FUZZY_WEIGHT
     assert toxicity.evidence(None, m) == toxicity.evidence("", m) == (0.0, 0.0, 0)
 
 
-def test_symbols_inside_words_and_swapped_letters():
-    m = toxicity.Matcher({t: 1.0 for t in TERMS})
-    for token in ("w*rthless", "(W*RTHLESS!)", "st@pid", "id.iot", "idoit", "wrothless", "sutpid", "dual-i*iot"[5:]):
-        assert m.token(token) == toxicity.FUZZY_WEIGHT, token
-    assert m.token("well-known") == m.token("and/or") == m.token("smuc") == 0.0
+def test_signs_for_letters_and_swapped_letters():
+    m = toxicity.Matcher({t: 1.0 for t in [*TERMS, "fat"]})
+    for token in ("idi0t", "m0ron", "st*p*d", "s.t.u.p.i.d", "W0RTHL3SS", "w*rthless", "(W*RTHLESS!)", "st@pid", "id.iot", "i*iot", "sc*m", "5cum", "$cum!!", "f4t", "“m#r0n”,", "cl0wn?", "1diot"):
+        assert m.token(token) == toxicity.DISGUISED_WEIGHT, token
+    for token in ("idoit", "wrothless", "sutpid", "scvm", "skum", "zcum", "idio0t", "w.rthless", "stu*pid"):
+        assert m.token(token) in (toxicity.FUZZY_WEIGHT, toxicity.DISGUISED_WEIGHT), token
+    for token in ("well-known", "and/or", "smuc", "f*t", "h2o", "mp3", "e.g.", "1d107", "*****", "***ot", "100%", "x" * 100_000 + "1", "a1" * 50_000, "xcum", "scam"):
+        assert m.token(token) == 0.0, token
+
+
+def test_support_of_terms_does_not_grow_with_the_sample(spark):
+    """A term of six documents is learned among 300 toxic ones as among 3000."""
+    for n in (300, 3000):
+        rng = random.Random(n)
+        say = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(12))
+        texts = [(say() + (" scoundrel" if k < 6 else " villain"), 1) for k in range(n)] + [(say(), 0) for _ in range(6 * n)]
+        sample = spark.createDataFrame(texts, "text string, label int")
+        assert {"scoundrel", "villain"} <= set(toxicity.learn_terms(sample))
 
 
 def test_held_out_accuracy(spark):
@@ -114,13 +133,24 @@ def brute_score(text, model):
     def weight(w):
         exact = [model.terms[t] for t in model.terms if t == w or t[-1] == "*" and len(w) > len(t) - 1 and w.startswith(t[:-1])]
         swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for k in range(len(w) - 1)}
-        return max(exact) if exact else toxicity.FUZZY_WEIGHT * max((model.terms[t] for t in long if abs(len(t) - len(w)) < 2 and (t in swaps or distance(t, w) <= 1)), default=0.0)
+        alike = [model.terms[t] for t in model.terms if len(t) < toxicity.FUZZY_FROM and not t.endswith("*") and one_looks_alike(w, t)]
+        return max(exact) if exact else toxicity.FUZZY_WEIGHT * max(alike or [model.terms[t] for t in long if abs(len(t) - len(w)) < 2 and (t in swaps or distance(t, w) <= 1)], default=0.0)
+
+    def disguised(token):
+        core = "".join(c for c in token.strip(toxicity.OUTER) if ord(c) not in toxicity.PARTING)
+        found = [0.0]
+        for w in {core, core.rstrip("!"), core.strip("!")}:
+            letters = sum(c.isalpha() for c in w)
+            for t in model.terms:
+                if t[-1] != "*" and len(t) == len(w) and letters >= 2 and 2 * letters >= len(w) and all(c == x or (not c.isalpha() and (len(w) > 3 or x in toxicity.SIGNS.get(c, ""))) for c, x in zip(w, t)):
+                    found.append(model.terms[t])
+        return toxicity.DISGUISED_WEIGHT * max(found)
 
     tokens, used, quoted = (text or "").split(), 0.0, 0.0
     for at, token in enumerate(tokens):
         words = re.findall(r"[^\W\d_]+", token.lower())
-        words += re.findall(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]+)+", token.lower()) if len(words) > 1 else []
-        if w := max(map(weight, words), default=0.0):
+        masked = re.findall(r"[^\W\d_]+(?:[\W\d_]+[^\W\d_]+)+", token.lower())
+        if w := max([*map(weight, words + masked), disguised(token.lower()) if words and words != [token.lower()] else 0.0], default=0.0):
             quote = sum(c in toxicity.QUOTES for t in tokens[max(0, at - 10) : at] for c in t) % 2 == 1 or sum(c in toxicity.QUOTES for c in token) >= 2
             if quote or any(t.lower().strip(",:") in toxicity.REPORTING for t in tokens[max(0, at - 3) : at]):
                 quoted += w
@@ -133,7 +163,7 @@ def brute_score(text, model):
 def test_scores_equal_brute_force(spark):
     data, _ = corpus(2)
     model = toxicity.train(*labelled(spark, data))
-    texts = [t for t, _ in data[:150]] + ['the "idiot" wrote: IDIOTT w0rthless pathetci', None, "", "x " * 3000 + "idoit"]
+    texts = [t for t, _ in data[:150]] + ['the "idiot" wrote: IDIOTT w0rthless pathetci', "you 1diot, p*thet!c! wort.hless idio7 worthles5s"[:60], None, "", "x " * 3000 + "idoit"]
     docs = documents(spark, [(k, t, "en", "s", 1, *["z"] * 10) for k, t in enumerate(texts)])
     for r in toxicity.score(docs, model).collect():
         assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-9

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_written, small_batches, table, written
+from .common import drop_written, fresh, small_batches, table, written
 from .components import components
 from .hashed_words import LOWER, Words, column_of, deal, lots, mix, rolling, text_column, unpack
 
@@ -269,12 +269,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each group of linked documents stays: the smallest key, of its rows the smallest hash of a text. Texts without words all stay."""
     key, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), F.xxhash64(text_column())
-    rows = written(link_classes(docs, size, percent).where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("__key"), F.col("tag").alias("__tag"), F.coalesce("component_id", F.lit(NULL_KEY)).alias("component")), "groups")
-    kept = rows.groupBy("component").agg(F.min(F.struct("__key", "__tag")).alias("first")).select("first.*")
-    gone = written(rows.join(kept, ["__key", "__tag"], "left_anti").select("__key", "__tag").distinct(), "gone")
-    named = docs.withColumns({"__key": key, "__tag": tag})
-    left = named.join(gone, ["__key", "__tag"], "left_anti")
-    again = written(rows.groupBy("__key", "__tag").count().where("count > 1").select("__key", "__tag"), "again")
+    own = fresh(docs.columns, "key", "tag")
+    rows = written(link_classes(docs, size, percent).where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias(own[0]), F.col("tag").alias(own[1]), F.coalesce("component_id", F.lit(NULL_KEY)).alias("component")), "groups")
+    kept = rows.groupBy("component").agg(F.min(F.struct(*own)).alias("first")).select("first.*")
+    gone = written(rows.join(kept, own, "left_anti").select(*own).distinct(), "gone")
+    named = docs.withColumns(dict(zip(own, (key, tag))))
+    left = named.join(gone, own, "left_anti")
+    again = written(rows.groupBy(*own).agg(F.count("*").alias("times")).where("times > 1").select(*own), "again")
     if again.head(1):  # equal rows: all but one of each go
-        left = left.join(again, ["__key", "__tag"], "left_anti").unionByName(left.join(again, ["__key", "__tag"], "left_semi").dropDuplicates(["__key", "__tag"]))
-    return left.select(*docs.columns)
+        left = left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates(own))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import fresh, small_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns.
@@ -339,10 +339,11 @@ def _with_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     key = F.when(F.length(text) > 0, F.md5(text.cast("binary"))).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.withColumn(KEY, key)
-    pairs = keyed.select(KEY, text.alias("text")).mapInArrow(scan, f"`{KEY}` string, pattern string").distinct()
-    own = pairs.join(patterns.select("pattern"), "pattern").groupBy(KEY).agg(F.collect_list("pattern").alias(OWN))
-    return keyed.join(own, KEY, "left").select(*(keyed[c] for c in docs.columns), own[OWN])
+    (name,) = fresh(docs.columns, KEY)
+    keyed = docs.withColumn(name, key)
+    pairs = keyed.select(F.col(f"`{name}`").alias(KEY), text.alias("text")).mapInArrow(scan, f"`{KEY}` string, pattern string").distinct()
+    own = pairs.join(patterns.select("pattern"), "pattern").groupBy(F.col(f"`{KEY}`").alias(name)).agg(F.collect_list("pattern").alias(OWN))
+    return keyed.join(own, name, "left").select(*(keyed[f"`{c}`"] for c in docs.columns), own[OWN])
 
 
 def all_spans(text: str | None, patterns: Trusted) -> list[list[Span]]:

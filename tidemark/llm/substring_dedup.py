@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -192,15 +192,21 @@ def _rows(found: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 DEALT = "block int, known boolean, packed binary"
 
 
+def tag_column() -> Column:
+    """What tells rows of one key apart, 63 bits: their text's crc, so that they are in its order, then 31 bits of another hash."""
+    text = text_column()
+    return F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(key, tag, text): what all joins read, in one form, so that Spark moves the texts once and reads that exchange again."""
-    return docs.select(key_column().alias("key"), F.crc32(text_column().cast("binary")).alias("tag"), text_column().alias("text"))
+    return docs.select(key_column().alias("key"), tag_column().alias("tag"), text_column().alias("text"))
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, tag, start, size, source_key, source_tag, source_start, source_words): the parse of all documents, with each factor's words in its source.
 
-    A place is a document's key (a null key: the smallest number), then its text's crc (rows that share a
+    A place is a document's key (a null key: the smallest number), then a tag of its text (rows that share a
     key), then the word. Equal rows are one document.
     """
     spark = docs.sparkSession
@@ -260,8 +266,8 @@ def equal_runs(words: list[bytes], source: bytes, least: int) -> list[tuple[int,
 
 
 def _has_repeats(docs: DataFrame) -> bool:
-    """Whether rows share key and text's crc: only then have they to be told apart, at the price of a further exchange."""
-    keyed = docs.select(key_column().alias("key"), F.crc32(text_column().cast("binary")).alias("tag"))
+    """Whether rows share key and tag: only then have they to be told apart, at the price of a further exchange."""
+    keyed = docs.select(key_column().alias("key"), tag_column().alias("tag"))
     return bool(keyed.groupBy("key", "tag").count().where("count > 1").head(1))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: The characters that count as symbols.
 SYMBOLS = r"#*$%&|<>"
@@ -70,8 +72,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_punct": chars_in(t, ".,;:!?"),
     }
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
-    got = docs.select(*kept, by_word.alias("__w"), by_line.alias("__l"), *(v.cast("long").alias(k) for k, v in plain.items()))
-    nested = {k: F.col(f"__w.{k}") for k in ("n_words", "n_distinct", "n_repeat_words")} | {k: F.col(f"__l.{k}") for k in ("n_lines", "n_dup_lines")}
+    by, of = fresh([*docs.columns, *COUNTS], "by_word", "by_line")
+    got = docs.select(*kept, by_word.alias(by), by_line.alias(of), *(v.cast("long").alias(k) for k, v in plain.items()))
+    nested = {k: F.col(by)[k] for k in ("n_words", "n_distinct", "n_repeat_words")} | {k: F.col(of)[k] for k in ("n_lines", "n_dup_lines")}
     return got.select(*kept, *((nested[k].cast("long").alias(k) if k in nested else F.col(k)) for k in COUNTS))
 
 

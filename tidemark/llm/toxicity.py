@@ -17,14 +17,14 @@ from .common import crc_mod, labelled_texts, small_batches, table, written
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 SAMPLE = 12_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: A term's documents among the toxic ones, at least: this many, and this share.
-MIN_DOCS, MIN_SHARE = 4, 0.008
+#: A term's documents among the toxic ones, at least.
+MIN_DOCS = 4
 #: A term's log odds, at least.
 MIN_ODDS = 4.0
-#: Edits that a misspelling may have, from words of this length on. Shorter terms match exactly.
+#: Edits that a misspelling may have, from words of this length on. Of shorter terms one letter may be a look-alike.
 EDITS, FUZZY_FROM = 1, 5
-#: Share of a term's weight that a misspelling of it has.
-FUZZY_WEIGHT = 0.7
+#: Share of a term's weight that a misspelling of it has, and a spelling with other signs for letters or between them.
+FUZZY_WEIGHT, DISGUISED_WEIGHT = 0.7, 0.9
 #: Lengths of stems: a term may also be the beginning of longer words, written with a star, if toxic documents have so many different ones.
 STEMS, MIN_FORMS = (4, 5, 6), 3
 #: Words before a term that are looked at for signs of quotation.
@@ -33,8 +33,12 @@ CONTEXT = 10
 QUOTES = '"“”„«»‹›'
 REPORTING = frozenset("said says say called calls wrote writes quoted quote quotes term word reported".split())
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that symbols stand in or between the letters of; a symbol counts as a letter.
-MASKED = re.compile(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]+)+")
+#: What is left of a token without punctuation at its ends, for words in which signs stand for letters.
+OUTER = " \t\"“”„«»‹›()[]{}<>.,;:?'’`~=-–—/\\|"
+#: Signs that part letters without standing for one; letters that are written for each other; signs that look like letters.
+PARTING = str.maketrans("", "", "-–—./,:;'’_·")
+ALIKE = {"u": "v", "v": "u", "c": "k", "k": "c", "s": "z", "z": "s", "i": "yl", "y": "i", "l": "i"}
+SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 
 class Trie:
@@ -90,6 +94,20 @@ def intersect(trie: Trie, automaton: LevenshteinAutomaton) -> list[str]:
     return found
 
 
+def spelled(trie: Trie, word: str) -> list[str]:
+    """The terms that a word spells with signs for some letters: any sign for any letter, in terms of three letters only one that looks like it. Half of a term, and two letters, stay as they are."""
+    letters = sum(c.isalpha() for c in word)
+    if letters < 2 or 2 * letters < len(word):
+        return []
+    nodes = [0]
+    for c in word:
+        if c.isalpha():
+            nodes = [trie.children[n][c] for n in nodes if c in trie.children[n]]
+        else:
+            nodes = [child for n in nodes for letter, child in trie.children[n].items() if len(word) > 3 or letter in SIGNS.get(c, "")]
+    return [t for n in nodes if (t := trie.term[n])]
+
+
 def forms(word: str) -> list[str]:
     """The word and the stems it begins with."""
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
@@ -120,12 +138,24 @@ class Matcher:
         # Words one edit apart become equal when each loses one letter at most: most words end here, and none that matches does.
         self.shortened = {x for t in long for x in shortened(t)}
         self.long = frozenset(long)
+        whole = sorted(t for t in self.terms if t[-1] != "*")
+        self.every, self.longest = Trie(whole), max(map(len, whole), default=0)
+        self.alike: dict[str, float] = {}
+        for t in whole:
+            for k, c in enumerate(t) if len(t) < FUZZY_FROM else ():
+                for other in ALIKE.get(c, ""):
+                    w = t[:k] + other + t[k + 1 :]
+                    self.alike[w] = max(self.alike.get(w, 0.0), self.terms[t])
 
     def word(self, w: str) -> float:
         known = max((self.terms.get(t, 0.0) for t in forms(w)))
         if known:
             return known
-        if len(w) < FUZZY_FROM - EDITS or self.shortened.isdisjoint(shortened(w)):
+        if len(w) < FUZZY_FROM:
+            alike = FUZZY_WEIGHT * self.alike.get(w, 0.0)
+            if alike or len(w) < FUZZY_FROM - EDITS:
+                return alike
+        if len(w) > self.longest + EDITS or self.shortened.isdisjoint(shortened(w)):
             return 0.0
         # Two adjacent letters that changed places are one edit: each then has lost a letter of the other's.
         near = {*intersect(self.trie, LevenshteinAutomaton(w, EDITS)), *self.long.intersection(swapped(w))}
@@ -133,8 +163,22 @@ class Matcher:
 
     def token(self, token: str) -> float:
         lower = token.lower()
-        words = LETTERS.findall(lower)
-        return max(map(self.word, words + MASKED.findall(lower) if len(words) > 1 else words), default=0.0)
+        words = [*LETTERS.finditer(lower)]
+        if not words:
+            return 0.0
+        own = [w.group() for w in words]
+        if len(own[0]) == len(lower):
+            return self.word(lower)
+        if len(words) > 1:  # digits or symbols stand between the letters; such a sign counts as a letter
+            own.append(lower[words[0].start() : words[-1].end()])
+        return max(self.disguised(lower), *map(self.word, own))
+
+    def disguised(self, token: str) -> float:
+        """Weight of a term whose letters other signs stand for or part, as in idi0t, st*p*d or s.t.u.p.i.d."""
+        word = token.strip(OUTER).translate(PARTING)
+        # An exclamation mark may be a letter or end a sentence.
+        cores = {w for w in (word, word.rstrip("!"), word.strip("!")) if len(w) <= self.longest}
+        return DISGUISED_WEIGHT * max((self.terms[t] for w in cores for t in spelled(self.every, w)), default=0.0)
 
     def weights(self, tokens: list[str]) -> dict[str, float]:
         """Of the different tokens, those that have a weight."""
@@ -247,7 +291,6 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
     halved = sample.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     totals = {(r.half, r.label): r["count"] for r in halved.groupBy("half", "label").count().collect()}
     n = [totals.get((k // 2, k % 2), 0) for k in range(4)]
-    least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * (n[1] + n[3]))))
     odds = lambda toxic, clean, n_toxic, n_clean: F.ln((toxic + 0.5) / (n_toxic + 1)) - F.ln((clean + 0.5) / (n_clean + 1))
     counts = (
         halved.mapInArrow(count, "word string, clean0 long, toxic0 long, clean1 long, toxic1 long, longer array<string>")
@@ -256,7 +299,7 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
     )
     whole = odds(F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1"), n[1] + n[3], n[0] + n[2])
     halves = [(F.col(f"toxic{k}") > 0) & (odds(F.col(f"toxic{k}"), F.col(f"clean{k}"), n[2 * k + 1], n[2 * k]) >= MIN_ODDS / 2) for k in (0, 1)]
-    enough = (F.col("toxic0") + F.col("toxic1") >= least) & (F.length("word") >= 3) & (~F.col("word").endswith("*") | (F.col("forms") >= MIN_FORMS))
+    enough = (F.col("toxic0") + F.col("toxic1") >= MIN_DOCS) & (F.length("word") >= 3) & (~F.col("word").endswith("*") | (F.col("forms") >= MIN_FORMS))
     rows = counts.where(enough & (whole >= MIN_ODDS) & halves[0] & halves[1]).select("word", whole.alias("odds")).collect()
     return {r.word: float(r.odds) for r in rows}
 
