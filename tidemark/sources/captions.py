@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import timecode
+from ..functions import text, timecode
 
 STAMP = r"([0-9]+:[0-9]{2}:[0-9]{2}\.[0-9]{3})"
 
@@ -110,3 +110,18 @@ def read_env(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.col("line").rlike(pattern) & ~F.col("line").rlike(r"^\s*#"))
     value = F.regexp_replace(F.regexp_extract("line", pattern, 2), "^(['\"])(.*)\\1$", "$2")
     return lines.groupBy(F.regexp_extract("line", pattern, 1).alias("key")).agg(F.max_by(value, "at").alias("value"))
+
+
+CHAPTERS = "array<struct<number:int,name:string,englishName:string,ayahs:array<struct<numberInSurah:int,text:string>>>>"
+
+
+def read_chapters(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chapter, name, local_name, verse, text, words) of editions: JSON files that nest verses in chapters under data.surahs.
+
+    A chapter without an English name takes its own; one without verses, and a file without chapters, has no row. words
+    are the verse's letters without marks, as searched for.
+    """
+    files = spark.read.schema(f"data struct<surahs:{CHAPTERS}>").json(path, multiLine=True)
+    chapters = files.select(F.input_file_name().alias("file"), F.explode("data.surahs").alias("c"))
+    verses = chapters.select("file", F.col("c.number").alias("chapter"), F.coalesce("c.englishName", "c.name").alias("name"), F.col("c.name").alias("local_name"), F.explode("c.ayahs").alias("v"))
+    return verses.select("file", "chapter", "name", "local_name", F.col("v.numberInSurah").alias("verse"), F.col("v.text").alias("text"), text.arabic_tokens(F.col("v.text")).alias("words"))
