@@ -123,3 +123,18 @@ def test_coarse_run_is_scanned_finely(spark):
     frame = spark.createDataFrame(rows, "clip long, t double, level double")
     got = I.coarse_to_fine(frame, "clip", 10.0, 12.0, 40.0, 60.0, 10.0).collect()
     assert [tuple(r) for r in got] == [(1, 100.0, 120.0, 100.0, 129.0)]
+
+
+def test_hits_follow_each_other_however_keys_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a river ran by the river ran"), (2, "ran river"), (3, ""), (4, None)], "doc_id long, text string")
+    tokens = spark.createDataFrame([(7, 0, "river"), (7, 1, "ran"), (7, 2, "nowhere"), (8, 0, "rover")], "query long, qi int, token string")
+    got = []
+    for most in (S.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", most)
+        hits, totals = S.matches(S.worded(docs, "doc_id", T.words), tokens, T.skeleton, 4)
+        got.append((sorted(hits.select("query", "qi", "doc", "pos", "follows").collect()), S.ranked(hits, totals, 3).collect()))
+    assert got[0] == got[1]
+    # "rover" is nowhere, and found by its skeleton.
+    assert [tuple(r) for r in got[0][0] if r["query"] == 7] == [(7, 0, 1, 1, True), (7, 0, 1, 5, True), (7, 0, 2, 1, False), (7, 1, 1, 2, False), (7, 1, 1, 6, False), (7, 1, 2, 0, False)]
+    assert {r["doc"] for r in got[0][0] if r["query"] == 8} == {1, 2}
+    assert [(r["doc"], r["hits"]) for r in got[0][1] if r["query"] == 7] == [(1, 2), (2, 2)]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FUZZY, RUN_BONUS, STOP_POSTINGS = 0.6, 1.2, 4000
+#: Rows of (query, place, form, vote) up to which they are broadcast: some 200 MB. More are left to Spark's own choice.
+BROADCAST_ROWS = 1_000_000
 
 
 def worded(docs: DataFrame, key: str, words: Callable[[Column], Column], text: str = "text") -> DataFrame:
@@ -23,8 +25,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc, pos, token) of (doc, words): one row a token and place, never a list a term, so that common terms stay spread out."""
-    return docs.select("doc", F.posexplode("words").alias("pos", "token"))
+    """(doc, pos, token, next) of (doc, words): one row a token and place with the token after it, never a list a term, so that common terms stay spread out."""
+    pairs = F.arrays_zip(F.col("words").alias("token"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))
+    # The outer form: the inner one has the texts split once more, below the dealing out, to see whether they are empty.
+    rows = docs.select("doc", F.posexplode_outer(pairs).alias("pos", "pair")).select("doc", "pos", "pair.*")
+    return rows.where("token is not null")
 
 
 def form_stats(docs: DataFrame, skeleton: Callable[[Column], Column] = lambda w: F.lit("")) -> DataFrame:
@@ -52,10 +57,12 @@ def matches(docs: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Co
 
     A token is looked up as it is; only if no document has it, by its skeleton, at a lower weight. Its
     weight is ln(1 + N / df); one found nowhere still costs 1 in the total. Forms of more than
-    STOP_POSTINGS postings count in the total but vote for nothing. hits: (query, qi, doc, pos, vote).
+    STOP_POSTINGS postings count in the total but vote for nothing. hits: (query, qi, doc, pos, vote, follows);
+    follows says that the token after this one in the document is a hit of the token after this one in the query.
 
-    Tokens asked for are first resolved to the corpus's tokens, over the vocabulary; the postings are then read
-    once and joined by their token alone.
+    Tokens asked for are first resolved to the corpus's tokens, over the vocabulary, and counted; the postings are then
+    read once and joined by their token alone. A token's forms at the next place of the query come with it, so whether
+    hits follow each other is known in their row, and nothing is sorted by document.
     """
     asked = queries.select("token").distinct().withColumn("skel", skeleton(F.col("token")))
     vocabulary = form_stats(docs, skeleton).withColumnRenamed("token", "form")
@@ -67,6 +74,7 @@ def matches(docs: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Co
         .withColumn("n_forms", F.when(F.col("e_df").isNotNull(), F.max(F.when(same, F.col("np"))).over(of)).otherwise(F.sum("np").over(of)))
         .withColumn("n_in", F.coalesce("e_df", F.sum("first_skel").over(of)))
         .withColumn("weight", F.when(F.col("n_in").isNull(), F.lit(1.0)).otherwise(F.ln(1 + F.lit(float(n_docs)) / F.col("n_in"))))
+        .persist()
     )
     weights = found.groupBy("token").agg(F.first("weight").alias("weight"))
     totals = queries.join(weights, "token").groupBy("query").agg(F.sum("weight").alias("total_w"))
@@ -74,16 +82,18 @@ def matches(docs: DataFrame, queries: DataFrame, skeleton: Callable[[Column], Co
     voting = found.where((F.col("n_forms") <= STOP_POSTINGS) & (same | ~is_exact))
     votes = voting.select("token", "form", F.when(is_exact, F.col("weight")).otherwise(F.col("weight") * FUZZY).alias("vote"))
     keys = queries.join(votes, "token").select("query", "qi", "form", "vote")
-    hits = postings(docs).join(keys, F.col("token") == F.col("form")).select("query", "qi", "doc", "pos", "vote")
-    return hits, totals
+    later = keys.groupBy("query", (F.col("qi") - 1).alias("qi")).agg(F.collect_set("form").alias("later"))
+    paired = keys.join(later, ["query", "qi"], "left")
+    small = keys.count() <= BROADCAST_ROWS
+    met = postings(docs).join(F.broadcast(paired) if small else paired, F.col("token") == F.col("form"))
+    follows = F.coalesce(F.array_contains("later", F.col("next")), F.lit(False))
+    return met.select("query", "qi", "doc", "pos", "vote", follows.alias("follows")), totals
 
 
 def ranked(hits: DataFrame, totals: DataFrame, top: int) -> DataFrame:
-    """(query, doc, score, hits, rank): the best documents of each query, by weighted votes and a bonus for query tokens that follow each other in the document too. Ties: the smaller doc."""
-    shift = F.col("pos") - F.col("qi")
-    after = F.lead(F.struct(shift.alias("shift"), "qi")).over(Window.partitionBy("query", "doc").orderBy(shift, "qi"))
-    follows = F.when((after["shift"] == shift) & (after["qi"] == F.col("qi") + 1), 1).otherwise(0)
-    voted = hits.withColumn("follows", follows).groupBy("query", "doc").agg(F.sum("vote").alias("votes"), F.sum("follows").alias("run"), F.countDistinct("qi").alias("hits"))
+    """(query, doc, score, hits, rank): the best documents of each query, by weighted votes and a bonus for query tokens that follow each other in the document too. Ties: the smaller doc. Hits are summed by place of the query before they move."""
+    voted = hits.groupBy("query", "doc", "qi").agg(F.sum("vote").alias("vote"), F.count_if("follows").alias("run"))
+    voted = voted.groupBy("query", "doc").agg(F.sum("vote").alias("votes"), F.sum("run").alias("run"), F.count("*").alias("hits"))
     scored = voted.join(totals, "query").select("query", "doc", F.round((F.col("votes") + RUN_BONUS * F.col("run")) / F.greatest("total_w", F.lit(1e-6)), 6).alias("score"), "hits")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -63,7 +63,8 @@ HOPS = """list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, ceil
 @query("hop_windows", f"""WITH h AS (SELECT conv_id, turn, unnest({HOPS}) AS x FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations))
   SELECT conv_id, turn, x.start AS start, len(x.words) AS n, md5(array_to_string(x.words, ' ')) AS digest FROM h""")
 def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(S.hopping(T.words(F.col("text")))).alias("x"))
+    said = S.spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", T.words(F.col("text")).alias("words"))
+    rows = said.select("conv_id", "turn", F.explode_outer(S.hopping(F.col("words"))).alias("x")).where("x is not null")
     return rows.select("conv_id", "turn", F.col("x.start").cast("long").alias("start"), F.size("x.words").cast("long").alias("n"), F.md5(F.array_join("x.words", " ")).alias("digest"))
 
 
