@@ -9,22 +9,26 @@ from pyspark.sql.window import Window
 from .intervals import by, islands, next_after
 
 
+def spaced(target: Column, clip: str) -> Column:
+    """Cuts i of a clip's n words as near their targets as ascending by one at least, and leaving a word for each cut after them and one at the end, allows: their number and a running maximum. Null with too few words."""
+    m = F.count("*").over(Window.partitionBy(clip))
+    ahead = F.max(target - F.col("i")).over(by(clip, "i").rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(F.col("n") > m, F.col("i") + F.least(F.col("n") - m, F.greatest(F.lit(1).cast("long"), ahead)))
+
+
 def anchored_cuts(cuts: DataFrame, pairs: DataFrame, words: DataFrame, clip: str, slack: int = 2) -> DataFrame:
     """(clip, i, cut, anchor): cuts (clip, i, cut) of one text carried over to another whose words pair with it (clip, a, b; both ascending); words (clip, n) is that text's number of words.
 
     A cut goes to the first pair at or after it, at most `slack` words further; cuts ascend by one at
-    least, and leave a word for each cut after them and one at the end. Each is then its number and a running
-    maximum, so no fold is needed. A clip with a cut that no pair carries, or with too few words, has nulls only.
+    least, and leave a word for each cut after them and one at the end (`spaced`), so no fold is needed. A clip with a cut that no pair carries, or with too few words, has nulls only.
     """
     points = cuts.select(clip, F.col("i").cast("long").alias("id"), F.col("cut").cast("double").alias("t"))
     marks = pairs.select(clip, F.col("b").cast("long").alias("mark"), F.col("a").cast("double").alias("mt"))
     met = next_after(points, marks, clip).withColumnRenamed("id", "i").join(cuts.select(clip, F.col("i").cast("long").alias("i"), "cut"), [clip, "i"]).join(words, clip)
     whole = Window.partitionBy(clip)
     lost = F.col("mark").isNull() | (F.col("mark_t") - F.col("cut") > slack)
-    carried = (F.max(lost).over(whole) == F.lit(False)) & (F.col("n") > F.count("*").over(whole))
-    ahead = F.max(F.col("mark") - F.col("i")).over(by(clip, "i").rowsBetween(Window.unboundedPreceding, 0))
-    at = F.col("i") + F.least(F.col("n") - F.count("*").over(whole), F.greatest(F.lit(1).cast("long"), ahead))
-    return met.select(clip, "i", "cut", F.when(carried, at).alias("anchor"))
+    carried = F.max(lost).over(whole) == F.lit(False)
+    return met.select(clip, "i", "cut", F.when(carried, spaced(F.col("mark"), clip)).alias("anchor"))
 
 
 def coverage_report(words: DataFrame, clip: str, unsure: float = 0.5, stretch: int = 4) -> DataFrame:
