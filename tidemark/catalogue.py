@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, candidate_plans, card_plans, framing_plans, report_plans, seam_plans, search_plans, selection_plans, table_plans, timeline_plans  # noqa: F401  the modules register their queries
+from .plans import base, candidate_plans, card_plans, framing_plans, report_plans, seam_plans, search_plans, selection_plans, style_plans, table_plans, timeline_plans  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
