@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import folds
 from tidemark.operators import intervals as I
 from tidemark.operators import lookup as L
 from tidemark.operators import search as S
@@ -138,3 +139,30 @@ def test_hits_follow_each_other_however_keys_are_joined(spark, monkeypatch):
     assert [tuple(r) for r in got[0][0] if r["query"] == 7] == [(7, 0, 1, 1, True), (7, 0, 1, 5, True), (7, 0, 2, 1, False), (7, 1, 1, 2, False), (7, 1, 1, 6, False), (7, 1, 2, 0, False)]
     assert {r["doc"] for r in got[0][0] if r["query"] == 8} == {1, 2}
     assert [(r["doc"], r["hits"]) for r in got[0][1] if r["query"] == 7] == [(1, 2), (2, 2)]
+
+
+def test_passes_and_bins_with_a_hot_clip(spark):
+    rng = random.Random(12)
+    clip = lambda: "hot" if rng.random() < 0.4 else f"c{rng.randrange(30)}"
+    t = lambda: rng.randrange(0, 4000) / 4  # noqa: E731  halves and quarters, so that ends are often equal
+    cards = [(clip(), k, a, a + rng.choice([0.0, 0.5, 30.0, 400.0])) for k, a in enumerate(t() for _ in range(500))]
+    cuts = [(clip(), a, a + rng.choice([0.0, 0.25, 2.0, 900.0])) for a in (t() for _ in range(400))]
+    frame = spark.createDataFrame
+    dc, dx = frame(cards, "u string, card int, s double, e double"), frame([*cuts, ("hot", 5.0, None)], "u string, s double, e double")
+    got = {r.card: r.e for r in I.clipped(dc, dx, "u", 1.0).collect()}
+    assert got == {k: min((a for v, a, b in cuts if v == u and b - a >= 1 and s < a < e), default=e) for u, k, s, e in cards}
+    got = {r.id: r.t_new for r in I.remapped(dc.select("u", F.col("card").alias("id"), F.col("e").alias("t")), dx, "u").collect()}
+    assert got == {k: e - sum(b - a for v, a, b in cuts if v == u and b <= e) for u, k, s, e in cards}
+    marks = dx.select("u", F.monotonically_increasing_id().alias("mark"), F.col("s").alias("mt"), (F.col("s") % 3).alias("depth"))
+    known = marks.collect()
+    got = {r.id: r.mark for r in I.nearest(dc.select("u", F.col("card").alias("id"), F.col("s").alias("t")), marks, "u", 7.5).collect()}
+    want = {k: min(((-m.depth, abs(m.mt - s), m.mark) for m in known if m.u == u and abs(m.mt - s) <= 7.5), default=None) for u, k, s, _ in cards}
+    assert got == {k: w[2] for k, w in want.items() if w}
+    pairs = C.meeting(dc, dx.select("u", F.col("s").alias("os"), F.col("e").alias("oe")), ["u"], 50.0).select("card", "os", "oe").collect()
+    assert sorted(map(tuple, pairs)) == sorted((k, a, b) for u, k, s, e in cards for v, a, b in cuts if u == v and s <= b and a <= e)
+    taken = sorted(map(tuple, folds.spaced_out(frame([(u, s) for u, _, s, _ in cards] + [("hot", None)], "u string, t double"), "u", "t", 6.0).collect()))
+    want = []
+    for u, s in sorted((u, s) for u, _, s, _ in cards):
+        if not want or want[-1][0] != u or s - want[-1][1] >= 6:
+            want.append((u, s))
+    assert taken == want

@@ -74,10 +74,10 @@ def coarse_to_fine(rows: DataFrame, clip: str, width: float, below: float, lead:
 
 
 def clipped(cards: DataFrame, silences: DataFrame, clip: str, least: float) -> DataFrame:
-    """Cards (clip, card, s, e) with their end drawn to the first start of a long silence strictly inside them; a silence without an end is ignored."""
-    long = silences.where(F.col("e").isNotNull() & (F.col("e") - F.col("s") >= least)).select(F.col(clip).alias("c"), F.col("s").alias("quiet"))
-    inside = (F.col(clip) == F.col("c")) & (F.col("quiet") > F.col("s")) & (F.col("quiet") < F.col("e"))
-    return cards.join(long, inside, "left").groupBy(clip, "card", "s", "e").agg(F.min("quiet").alias("quiet")).select(clip, "card", "s", F.coalesce("quiet", "e").alias("e"))
+    """Cards (clip, card, s, e) with their end drawn to the first start of a long silence strictly inside them; a silence without an end is ignored. One ordered pass a clip; repeated cards stay."""
+    long = silences.where(F.col("e").isNotNull() & (F.col("e") - F.col("s") >= least)).select(clip, F.lit(0).cast("long").alias("mark"), F.col("s").alias("mt"))
+    met = next_after(cards.select(clip, "card", "s", "e", F.col("s").alias("t")), long, clip, strict=True)
+    return met.select(clip, "card", "s", F.when(F.col("mark_t") < F.col("e"), F.col("mark_t")).otherwise(F.col("e")).alias("e"))
 
 
 def subtracted(start: Column, end: Column, windows: Column, least: float = 0.2) -> Column:
@@ -97,10 +97,11 @@ def subtracted(start: Column, end: Column, windows: Column, least: float = 0.2)
 
 
 def remapped(times: DataFrame, cuts: DataFrame, clip: str) -> DataFrame:
-    """Times (clip, id, t) less the length of all cuts (clip, s, e) that end by then."""
-    before = (F.col(clip) == F.col("c")) & (F.col("cut_e") <= F.col("t"))
-    named = cuts.select(F.col(clip).alias("c"), F.col("s").alias("cut_s"), F.col("e").alias("cut_e"))
-    return times.join(named, before, "left").groupBy(clip, "id", "t").agg(F.sum(F.coalesce(F.col("cut_e") - F.col("cut_s"), F.lit(0.0))).alias("removed")).select(clip, "id", "t", (F.col("t") - F.col("removed")).alias("t_new"))
+    """Times (clip, id, t) less the length of all cuts (clip, s, e) that end by then: a running sum over both in order, ends before times that are equal. Cuts without numbers count nothing; a null time stays null."""
+    ended = cuts.where(F.col("e").isNotNull()).select(clip, F.col("e").alias("t"), F.lit(0).alias("kind"), F.coalesce(F.col("e") - F.col("s"), F.lit(0.0)).alias("length"))
+    both = times.select(clip, "id", "t", F.lit(1).alias("kind")).unionByName(ended, allowMissingColumns=True)
+    removed = F.sum(F.coalesce("length", F.lit(0.0))).over(by(clip, "t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("removed", removed).where("kind = 1").select(clip, "id", "t", (F.col("t") - F.col("removed")).alias("t_new"))
 
 
 def complement(cuts: DataFrame, clip: str, end: str) -> DataFrame:
@@ -137,9 +138,8 @@ def sequential_schedule(cards: DataFrame, clip: str, fps: int, fade: float, leas
 
 def drawn_back(words: DataFrame, repeats: DataFrame, clip: str, least: float = 0.5) -> DataFrame:
     """Words (clip, i, s, e) after repeats (clip, first, second): the first word at or after a repeat's second start begins at its first start, if that moves it by `least` and not to or before the word ahead of it, whose end gives way. Of several repeats of a word the earliest start counts."""
-    points = repeats.select(clip, F.col("second").alias("t"), F.col("first").alias("id_"), F.monotonically_increasing_id().alias("id"))
-    hit = next_after(points.select(clip, "id", "t"), words.select(clip, F.col("i").cast("long").alias("mark"), F.col("s").alias("mt")), clip)
-    named = hit.join(points.select(F.col("id"), F.col("id_").alias("first")), "id").where("mark is not null")
+    points = repeats.select(clip, "first", F.col("second").alias("t"))
+    named = next_after(points, words.select(clip, F.col("i").cast("long").alias("mark"), F.col("s").alias("mt")), clip).where("mark is not null")
     wanted = named.groupBy(clip, F.col("mark").alias("i")).agg(F.min("first").alias("first"))
     order = by(clip, "i")
     moved = words.join(wanted, [clip, "i"], "left").withColumn("moves", (F.col("s") - F.col("first") >= least) & (F.col("first") > F.coalesce(F.lag("s").over(order), F.lit(float("-inf")))))
@@ -154,19 +154,23 @@ def islands(rows: DataFrame, clip: str, breaks: Column, order: WindowSpec, name:
 
 
 def nearest(points: DataFrame, marks: DataFrame, clip: str, radius: float) -> DataFrame:
-    """For each point (clip, id, t) the mark (clip, mark, mt, depth) within the radius that is deepest, then nearest, then smallest."""
-    near = (F.col(clip) == F.col("c")) & (F.col("mt") >= F.col("t") - radius) & (F.col("mt") <= F.col("t") + radius)
-    named = marks.withColumnRenamed(clip, "c")
+    """For each point (clip, id, t) the mark (clip, mark, mt, depth) within the radius that is deepest, then nearest, then smallest.
+
+    Points meet the marks of their own bin of a radius and of the two beside it, so a long clip isn't paired with itself.
+    """
+    own = points.withColumn("bin", F.floor(F.col("t") / radius))
+    around = F.floor(F.col("mt") / radius)
+    named = marks.withColumn("bin", F.explode(F.array(around - 1, around, around + 1)))
+    near = own.join(named, [clip, "bin"]).where((F.col("mt") >= F.col("t") - radius) & (F.col("mt") <= F.col("t") + radius))
     best = F.min(F.struct((-F.col("depth")).alias("d"), F.abs(F.col("mt") - F.col("t")).alias("gap"), F.col("mark").alias("mark"))).alias("best")
-    return points.join(named, near).groupBy(clip, "id").agg(best).select(clip, "id", F.col("best.mark").alias("mark"), F.col("best.gap").alias("gap"))
+    return near.groupBy(clip, "id").agg(best).select(clip, "id", F.col("best.mark").alias("mark"), F.col("best.gap").alias("gap"))
 
 
-def next_after(points: DataFrame, marks: DataFrame, clip: str) -> DataFrame:
-    """For each point (clip, id, t) the first mark (clip, mark, mt) at or after it: both tables in one ordered pass, without a range join."""
-    both = points.select(clip, F.col("t").alias("at"), F.lit(1).alias("kind"), F.col("id"), F.lit(None).cast("long").alias("mark")).unionByName(
-        marks.select(clip, F.col("mt").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("mark"))
-    )
-    # Backwards in time, points of a time before its marks have been passed: kind 0 sorts first going down.
-    order = Window.partitionBy(clip).orderBy(F.desc("at"), "kind", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+def next_after(points: DataFrame, marks: DataFrame, clip: str, strict: bool = False) -> DataFrame:
+    """Points (clip, t, ...) without t, with the first mark (clip, mark, mt) at or after it, or strictly after it, as mark and mark_t: both tables in one ordered pass, without a range join."""
+    others = [c for c in points.columns if c not in (clip, "t")]
+    both = points.withColumnRenamed("t", "at").withColumn("kind", F.lit(1)).unionByName(marks.select(clip, F.col("mt").alias("at"), F.lit(0).alias("kind"), "mark"), allowMissingColumns=True)
+    # Backwards in time: marks of a point's own time have been passed where they count, and are yet to come where they don't.
+    order = Window.partitionBy(clip).orderBy(F.desc("at"), F.desc("kind") if strict else F.asc("kind"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("kind") == 0, F.struct("mark", "at")), True).over(order)
-    return both.withColumn("next", seen).where("kind = 1").select(clip, "id", F.col("next.mark").alias("mark"), F.col("next.at").alias("mark_t"))
+    return both.withColumn("next", seen).where("kind = 1").select(clip, *others, F.col("next.mark").alias("mark"), F.col("next.at").alias("mark_t"))

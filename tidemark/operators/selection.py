@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Pairs of intervals (s, e) of left and right (os, oe) that share a key and a point of time at least, each once: as overlapping(), for rules that look at ends and empty intervals themselves."""
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.greatest(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    pairs = left.withColumn("__bin", bins("s", "e")).join(right.withColumn("__bin", bins("os", "oe")), [*keys, "__bin"])
+    first = F.col("__bin") == F.floor(F.greatest("s", "os") / width)
+    return pairs.where((F.col("s") <= F.col("oe")) & (F.col("os") <= F.col("e")) & first).drop("__bin")
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of intervals (s, e) of left and right (os, oe) that share a key and some time, each once, with their overlap.
 

@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 from ..functions import scores, timecode
 from ..operators import folds
 from ..operators import intervals as I
+from ..operators import selection as C
 from .base import EVENTS_SQL, events, query, table
 
 W = "(PARTITION BY user_id ORDER BY t, event_id)"
 END = 2_592_000.0
+#: Bins of time that intervals meet in, in seconds.
+BIN = 14_400.0
 
 
 def order():
@@ -142,9 +145,8 @@ def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interval_overlap", f"""WITH {EVENTS_SQL}, {CARDS}, {CUTS} SELECT c.user_id, card, cut, greatest(0.0, least(c.e, x.e) - greatest(c.s, x.s)) AS shared FROM c JOIN x ON c.user_id = x.user_id AND c.s < x.e AND x.s < c.e""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, x = _cards(spark, sf_dir).alias("c"), _cuts(spark, sf_dir).alias("x")
-    meets = (F.col("c.user_id") == F.col("x.user_id")) & (F.col("c.s") < F.col("x.e")) & (F.col("x.s") < F.col("c.e"))
-    return c.join(x, meets).select("c.user_id", "card", "cut", scores.overlap(F.col("c.s"), F.col("c.e"), F.col("x.s"), F.col("x.e")).alias("shared"))
+    pairs = C.meeting(_cards(spark, sf_dir), _cuts(spark, sf_dir).select("user_id", "cut", F.col("s").alias("os"), F.col("e").alias("oe")), ["user_id"], BIN)
+    return pairs.where("s < oe and os < e").select("user_id", "card", "cut", scores.overlap(F.col("s"), F.col("e"), F.col("os"), F.col("oe")).alias("shared"))
 
 
 @query("interval_clip", f"""WITH {EVENTS_SQL}, {CARDS}, {CUTS} SELECT user_id, card, s, coalesce(min(q), e) AS e FROM (SELECT c.user_id, c.card, c.s, c.e, x.s AS q FROM c LEFT JOIN x ON c.user_id = x.user_id AND x.e - x.s >= 300 AND x.s > c.s AND x.s < c.e) GROUP BY user_id, card, s, e""")
@@ -177,8 +179,10 @@ SUBTRACT_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, {CARDS}, {CUTS},
 @query("interval_subtract_ordered", SUBTRACT_SQL)
 def interval_subtract_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards less their user's errors, taken in order of time."""
-    windows = _cuts(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("a"), F.col("e").alias("b")))).alias("windows"))
-    cards = _cards(spark, sf_dir).join(windows, "user_id", "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<struct<a: double, b: double>>")))
+    cards, cuts = _cards(spark, sf_dir), _cuts(spark, sf_dir).select("user_id", F.col("s").alias("os"), F.col("e").alias("oe"))
+    # A card only shrinks, so windows that don't meet it as it was have nothing to take from what is left.
+    windows = C.meeting(cards, cuts, ["user_id"], BIN).groupBy("user_id", "card").agg(F.array_sort(F.collect_list(F.struct(F.col("os").alias("a"), F.col("oe").alias("b")))).alias("windows"))
+    cards = cards.join(windows, ["user_id", "card"], "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<struct<a: double, b: double>>")))
     return cards.withColumn("left", I.subtracted(F.col("s"), F.col("e"), F.col("windows"))).where("left is not null").select("user_id", "card", "left.s", "left.e")
 
 
@@ -202,6 +206,19 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.next_after(points, marks, "user_id").withColumnRenamed("id", "event_id")
 
 
+@query("words_drawn_back", f"""WITH {EVENTS_SQL}, w AS (SELECT user_id, event_type, value, row_number() OVER {W} AS i, t AS s, t + value * 60 AS e FROM e),
+  h AS (SELECT c.user_id, c.s - c.value * 30 AS first, min(w.i) AS i FROM w c JOIN w ON c.user_id = w.user_id AND w.s >= c.s WHERE c.event_type = 'click' GROUP BY c.user_id, c.i, c.s, c.value),
+  p AS (SELECT user_id, i, min(first) AS first FROM h GROUP BY user_id, i),
+  m AS (SELECT w.*, first, coalesce(s - first >= 0.5 AND first > coalesce(lag(s) OVER o, '-infinity'::DOUBLE), false) AS moves FROM w LEFT JOIN p USING (user_id, i) WINDOW o AS (PARTITION BY user_id ORDER BY i))
+  SELECT user_id, i, CASE WHEN moves THEN first ELSE s END AS s, least(e, CASE WHEN lead(moves) OVER o THEN lead(first) OVER o END) AS e FROM m WINDOW o AS (PARTITION BY user_id ORDER BY i)""")
+def words_drawn_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as words, after repeats that say a click really began earlier: it does, unless it would reach the one ahead of it."""
+    e = events(spark, sf_dir).select("*", F.row_number().over(order()).cast("long").alias("i"))
+    words = e.select("user_id", "i", F.col("t").alias("s"), (F.col("t") + F.col("value") * 60).alias("e"))
+    repeats = e.where("event_type = 'click'").select("user_id", (F.col("t") - F.col("value") * 30).alias("first"), F.col("t").alias("second"))
+    return I.drawn_back(words, repeats, "user_id")
+
+
 @query("rms_bins", f"""WITH {EVENTS_SQL} SELECT user_id, floor(t / 86400)::BIGINT AS bin, count(*) AS n, round(20 * log10(greatest(sqrt(avg(value * value)), 1.0) / 32768), 6) AS db FROM e GROUP BY 1, 2 HAVING count(*) >= 2""")
 def rms_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = 20 * F.log10(F.greatest(F.sqrt(F.avg(F.col("value") * F.col("value"))), F.lit(1.0)) / 32768)
@@ -259,8 +276,8 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("greedy_spacing", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
   UNION ALL SELECT r.user_id, min(e.t) FROM r JOIN e ON e.user_id = r.user_id AND e.t - r.t >= 86400.0 GROUP BY r.user_id) SELECT user_id, t FROM r""")
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("times"))
-    return times.select("user_id", F.explode(folds.spaced(F.col("times"), 86400.0)).alias("t"))
+    """Times at least a day after the last one taken."""
+    return folds.spaced_out(events(spark, sf_dir), "user_id", "t", 86_400.0)
 
 
 #: Intervals of a clip, best first, and for the folds over them the state before the first.
