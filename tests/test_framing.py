@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.operators import framing as G
 
 SCHEMA = "k long, width long, height long, cx double, cy double, head_w double, head_h double, face double, body_left double, body_right double, facing string, boxes array<struct<x:double,y:double,w:double,h:double>>"
@@ -62,3 +63,36 @@ def test_a_face_is_moved_into_its_head(spark):
     crown, face = G.face_in_head(F.lit(0.5), F.lit(0.2), F.col("f"))
     rows = spark.createDataFrame([(0.1,), (0.55,), (0.9,)], "f double").select(crown.alias("c"), F.round(face, 6).alias("f")).collect()
     assert [tuple(r) for r in rows] == [(0.4, 0.5), (0.4, 0.55), (0.4, 0.57)]
+
+
+def test_no_move_beats_the_place_asked_for(spark, sf):
+    """framing_solve takes one place a zoom: that of the whole grid of moves, and on all cores."""
+    got = catalogue.queries()["framing_solve"](spark, sf)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # once a task a file
+    even = lambda x: round(x / 2) * 2
+    sizes = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    for r in got.limit(60).collect():
+        s = sizes[r.p_partkey]
+        width, height, cx, head, crown, face = 1280 + s * 8, 720 + s % 7 * 30, 0.2 + s % 11 / 20.0, 0.08 + s % 5 / 100.0, 0.1 + s % 6 / 30.0, 0.2 + s % 6 / 30.0
+        left, grid = (s % 3 == 0) if s % 3 < 2 else cx > 0.5, []
+        for i in range(26):
+            w = even(min(width, height * 16 / 9.0) * (1.0 - 0.02 * i))
+            h, block = even(w * 9 / 16.0), min(head * width / w, 1.0)
+            third = (0.7 - block) / 3.0
+            fx = (third if third >= 0.03 else 0.0) + block / 2.0
+            fx = 1.0 - fx if left else fx
+            if w < 160:
+                continue
+            bands = [(0.0, height - h), (crown * height - 0.25 * h, crown * height), (face * height - 0.55 * h, face * height - 0.3 * h)]
+            lo, hi = max(a for a, _ in bands), min(b for _, b in bands)
+            if lo > hi:
+                lo, hi = max(a for a, _ in bands[:2]), min(b for _, b in bands[:2])
+                hi = max(lo, hi)
+            y = max(0, min(even(max(lo, min(hi, face * height - 0.42 * h))), (height - h) // 2 * 2))
+            step = max(8, w // 100)
+            for dx in range(-(int(w * 0.16) // step) * step, int(w * 0.16) + 1, step):
+                x = min(max(0, even(cx * width - fx * w + dx)), (width - w) // 2 * 2)
+                cost = 3.0 * abs((cx * width - x) / w - fx) + 2.0 * abs((face * height - y) / h - 0.42) + 0.01 * i
+                grid.append((round(cost, 9), i, abs(dx), x, y, w, h))
+        cost, i, _, x, y, w, h = min(grid)
+        assert (r.zoom, r.x, r.y, r.w, r.h) == (i, x, y, w, h) and abs(r.cost - cost) < 2e-6

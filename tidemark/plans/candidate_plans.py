@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import scores
 from ..functions import text as T
 from ..operators import intervals as I
+from ..operators import search as S
 from .base import EVENTS_SQL, events, query, table
 
 MEASURES = """m AS (SELECT p_partkey, 1280 + p_size * 8 AS w, 720 + p_size % 7 * 30 AS h, 0.2 + p_size % 11 / 20.0 AS cx, 0.08 + p_size % 5 / 100.0 AS head_w, 0.1 + p_size % 6 / 30.0 AS crown, 0.2 + p_size % 6 / 30.0 AS face, CASE p_size % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'frontal' END AS facing FROM part)"""
@@ -43,25 +44,39 @@ def framing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("framing_solve")
 def framing_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest window of each shot over zooms and moves aside, the head at its target and the face in its band; the grid is an array in the row."""
-    m = _measures(spark, sf_dir).withColumn("left", G.caption_on_left(F.col("facing"), F.col("cx")))
-
-    def window(i):
+    """The cheapest window of each shot over zooms and moves aside, the head at its target and the face in its band.
+
+    Within a zoom the cost only grows with the distance aside, moves are 8 pixels at least, and the frame's edges are
+    even: no move comes nearer to the target than the place it asks for, rounded and held in the frame, and ties go to
+    the shorter move. So that place stands for all moves of its zoom, and a shot has one place a zoom. Shots are small
+    rows and are dealt out by number.
+    """
+    shots = S.dealt(_measures(spark, sf_dir)).withColumn("left", G.caption_on_left(F.col("facing"), F.col("cx")))
+    width, height, cx = F.col("w"), F.col("h"), F.col("cx")
+    largest = F.least(width.cast("double"), height * 16 / 9.0)
+
+    def sized(i):
         scale = 1.0 - 0.02 * i
-        w = G.even(F.least(F.col("w").cast("double"), F.col("h") * 16 / 9.0) * scale)
-        h = G.even(w * 9 / 16.0)
-        target = G.equal_gaps(F.least(F.col("head_w") * F.col("w") / w, F.lit(1.0)), 0.3, F.col("left"))["fx"]
-        band = G.height_band(F.col("crown") * F.col("h"), F.col("face") * F.col("h"), h, F.col("h"))
-        return F.struct(i.alias("i"), scale.alias("scale"), w.alias("w"), h.alias("h"), target.alias("target"), band["y"].alias("y"))
-
-    def placed(z, dx):
-        x = F.least(F.greatest(F.lit(0), G.even(F.col("cx") * F.col("w") - z["target"] * z["w"] + dx)), G.even_down(F.col("w") - z["w"]))
-        fx, fy = (F.col("cx") * F.col("w") - x) / z["w"], (F.col("face") * F.col("h") - z["y"]) / z["h"]
-        return F.struct(F.round(G.framing_cost(fx, z["target"], fy, z["scale"]), 9).alias("cost"), z["i"].alias("i"), F.abs(dx).alias("away"), x.alias("x"), z["y"].alias("y"), z["w"].alias("w"), z["h"].alias("h"))
-
-    zooms = F.filter(F.transform(F.sequence(F.lit(0), F.lit(25)), window), lambda z: z["w"] >= 160)
-    grid = F.flatten(F.transform(F.col("zooms"), lambda z: F.transform(G.offsets(F.floor(z["w"] * 0.16), F.greatest(F.lit(8), F.floor(z["w"] / 100))), lambda dx: placed(z, dx))))
-    best = m.withColumn("zooms", zooms).select("p_partkey", F.array_min(grid).alias("b"))
+        return F.struct(i.alias("i"), scale.alias("scale"), G.even(largest * scale).alias("w"))
+
+    def targeted(z):
+        h, target = G.even(z["w"] * 9 / 16.0), G.equal_gaps(F.least(F.col("head_w") * width / z["w"], F.lit(1.0)), 0.3, F.col("left"))["fx"]
+        return F.struct(*(z[name].alias(name) for name in ("i", "scale", "w")), h.alias("h"), target.alias("target"))
+
+    def placed(z):
+        x = F.least(F.greatest(F.lit(0), G.even(cx * width - z["target"] * z["w"])), G.even_down(width - z["w"]))
+        y = G.height_band(F.col("crown") * height, F.col("face") * height, z["h"], height)["y"]
+        return F.struct(*(z[name].alias(name) for name in ("i", "scale", "w", "h", "target")), x.alias("x"), y.alias("y"))
+
+    def priced(z):
+        fx, fy = (cx * width - z["x"]) / z["w"], (F.col("face") * height - z["y"]) / z["h"]
+        cost = F.round(G.framing_cost(fx, z["target"], fy, z["scale"]), 9)
+        return F.struct(cost.alias("cost"), *(z[name].alias(name) for name in ("i", "x", "y", "w", "h")))
+
+    zooms = F.filter(F.transform(F.sequence(F.lit(0), F.lit(25)), sized), lambda z: z["w"] >= 160)
+    for step in (targeted, placed, priced):
+        zooms = F.transform(zooms, step)
+    best = shots.select("p_partkey", F.array_min(zooms).alias("b"))
     return best.select("p_partkey", F.col("b.i").alias("zoom"), "b.x", "b.y", "b.w", "b.h", F.round("b.cost", 6).alias("cost"))
 
 
