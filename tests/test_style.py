@@ -56,3 +56,8 @@ def test_upper_median_and_anchor(spark):
     assert got == {1: (4.0, 4), 2: (7.0, 1)}
     blocks = spark.createDataFrame([(1, 900.0, 1000.0), (1, 900.0, 1040.0), (2, 10.0, None)], "k int, top double, bottom double")
     assert [tuple(r) for r in N.centred_blocks(blocks, "k", 1000, 0.5).collect()] == [(1, 0.03, 0.48, 0.5)]
+
+
+def test_a_channel_beside_a_half_rounds_as_the_sql_does(spark):
+    """Lightness and chroma of #49fa0e put a channel at 52.5 less a last bit: the order of the products decides."""
+    assert [tuple(r) for (r,) in values(spark, "c string", [("#49fa0e",)], Y.drawn_before(Y.rgb(F.col("c")), 0.18, 0.9))] == [(52, 210, 0)]

@@ -34,16 +34,24 @@ def rgb(hex_colour: Column) -> Column:
 def drawn_before(colour: Column, lift: float, keep: float) -> Column:
     """(r, g, b) to draw so that a screen that lifts lightness by a share, and keeps a share of saturation, ends at the colour.
 
-    With the hue kept, a channel's distance from the lightness scales with the chroma, so no hue is computed.
+    With the hue kept, a channel's distance from the lightness scales with the chroma, so no hue is computed. The scale
+    is divided out before a channel is multiplied by it: in another order some channels end beside a half and round away from it.
     """
-    r, g, b = (colour[c] / F.lit(255.0) for c in "rgb")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, chroma = (high + low) / 2, high - low
     room = lambda x: 1 - F.abs(2 * x - 1)  # noqa: E731  the chroma of full saturation
-    darker = F.greatest(F.lit(0.0), 1 - (1 - light) / F.lit(1 - lift))
-    full = F.least(F.lit(1.0), chroma / room(light) / F.lit(keep)) * room(darker)
-    channel = lambda c: F.bround((darker + F.when(chroma > 0, full * (c - light) / chroma).otherwise(0.0)) * 255).cast("int")
-    return F.when(colour.isNotNull(), F.struct(channel(r).alias("r"), channel(g).alias("g"), channel(b).alias("b")))
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  a value that is asked for often is worked out once
+
+    def drawn(c: Column) -> Column:
+        high, low = F.greatest(*(c[k] for k in "rgb")), F.least(*(c[k] for k in "rgb"))
+        tone = F.struct(((high + low) / 2).alias("light"), (high - low).alias("chroma"))
+        return once(tone, lambda t: once(scaled(t), lambda s: F.struct(*(F.bround((s["dark"] + s["scale"] * (c[k] - s["light"])) * 255).cast("int").alias(k) for k in "rgb"))))
+
+    def scaled(t: Column) -> Column:
+        darker = F.greatest(F.lit(0.0), 1 - (1 - t["light"]) / F.lit(1 - lift))
+        scale = F.when(t["chroma"] > 0, F.least(F.lit(1.0), t["chroma"] / room(t["light"]) / F.lit(keep)) * room(darker) / t["chroma"]).otherwise(0.0)
+        return F.struct(t["light"].alias("light"), darker.alias("dark"), scale.alias("scale"))
+
+    shares = once(colour, lambda c: F.when(c.isNotNull(), F.struct(*((c[k] / F.lit(255.0)).alias(k) for k in "rgb"))))
+    return once(shares, lambda c: F.when(c.isNotNull(), drawn(c)))
 
 
 def cover_at(ms: Column, duration: Column) -> Column:
