@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from tidemark import catalogue
 from tidemark.operators import seams
 
 
@@ -91,3 +94,28 @@ def test_runs_are_pulled_onto_their_words(spark):
     got = seams.snapped(frame(runs, "u long, run int, label string, i int, j int"), frame(tokens, "u long, pos int, token string, next string"), frame(spellings, "label string, side string, word string"), "u").collect()
     assert len(got) == len(want) and {(r.u, r.run): (r.i, r.j) for r in got} == want
     assert sum(want[u, n] != (i, j) for u, n, _, i, j in runs) > 30
+
+
+def test_runs_of_a_text_in_one_row_are_pulled_as_those_of_rows(spark):
+    rng = random.Random(8)
+    texts, runs, tokens, spellings = [], [], [], []
+    for clip in range(40):
+        words = [rng.choice(["x", "ab", "a", "b", "cd", "c"]) for _ in range(rng.randrange(1, 60))]
+        own = []
+        for run in range(12):
+            i = rng.randrange(0, len(words) + 3)
+            own.append((run, i, i + rng.randrange(-9, 15), [rng.choice(["ab", "cd", "x", "none"])], [rng.choice(["b", "xa", "none"]), None]))
+        texts.append((clip, words, own))
+        tokens += [(clip, k, w, words[k + 1] if k + 1 < len(words) else None) for k, w in enumerate(words)]
+        runs += [(clip, r, f"{clip}.{r}", i, j) for r, i, j, _, _ in own]
+        spellings += [(f"{clip}.{r}", side, w) for r, _, _, first, last in own for side, ws in (("first", first), ("last", last)) for w in ws]
+    frame = spark.createDataFrame
+    rows = frame(texts + [(90, None, None), (91, [], [(0, 1, 2, ["x"], ["x"])])], "u long, words array<string>, runs array<struct<run:int,i:long,j:long,first:array<string>,last:array<string>>>")
+    got = rows.selectExpr("u", "words", "runs").select("u", F.inline(seams.snapped_within(F.col("words"), F.col("runs"))))
+    want = seams.snapped(frame(runs, "u long, run int, label string, i int, j int"), frame(tokens, "u long, pos int, token string, next string"), frame(spellings, "label string, side string, word string"), "u")
+    assert {(r.u, r.run): (r.i, r.j) for r in got.collect()} == {(r.u, r.run): (r.i, r.j) for r in want.collect()} | {(91, 0): (1, 2)}
+
+
+def test_edge_snap_moves_no_words_between_tasks(spark, sf):
+    plan = catalogue.queries()["edge_snap"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan

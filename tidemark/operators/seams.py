@@ -91,3 +91,28 @@ def snapped(runs: DataFrame, tokens: DataFrame, spellings: DataFrame, clip: str,
     seen = runs.join(own, [clip, "run"], "left")
     lo, hi = F.coalesce("first", i), F.coalesce("last", j)
     return seen.select(clip, "run", F.when(lo <= hi, lo).otherwise(i).alias("i"), F.when(lo <= hi, hi).otherwise(j).alias("j"))
+
+
+def snapped_within(words: Column, runs: Column, reach: int = 12) -> Column:
+    """What snapped() does, for a text that is one row: (run, i, j) of an array of runs (run, i, j, first, last) over an array of words; first and last are arrays of the words accepted there.
+
+    A run looks only at the words around its ends, which stand in its own row: nothing is sent to another task.
+    """
+
+    def end(w: Column, at: Column, past: Column, forms: Column) -> Column:
+        lo, hi = F.greatest(at - reach, F.lit(0).cast("long")), F.least(past, F.size(w).cast("long") - 1)
+        around = F.when(lo <= hi, F.sequence(lo, hi))
+        word = lambda k: F.get(w, k.cast("int"))
+        fits = lambda k: F.array_contains(forms, word(k)) | F.array_contains(forms, F.concat(word(k), F.coalesce(word(k + 1), F.lit(""))))
+        near = F.array_min(F.transform(F.filter(around, fits), lambda k: F.struct(F.abs(k - at).alias("far"), k.alias("pos"))))
+        return F.coalesce(near["pos"], at)
+
+    def pulled(w: Column, r: Column) -> Column:
+        i, j = r["i"].cast("long"), r["j"].cast("long")
+        return F.struct(r["run"].alias("run"), i.alias("i"), j.alias("j"), end(w, i, i + reach - 1, r["first"]).alias("lo"), end(w, j, j + reach, r["last"]).alias("hi"))
+
+    def kept(e: Column) -> Column:
+        holds = e["lo"] <= e["hi"]
+        return F.struct(e["run"].alias("run"), F.when(holds, e["lo"]).otherwise(e["i"]).alias("i"), F.when(holds, e["hi"]).otherwise(e["j"]).alias("j"))
+
+    return F.transform(F.array(words), lambda w: F.transform(F.transform(runs, lambda r: pulled(w, r)), kept))[0]
