@@ -162,3 +162,19 @@ def test_every_row(spark, monkeypatch):
 def test_nothing(spark):
     empty = documents(spark, [])
     assert P.learn_patterns(empty) == {} and P.find(empty, {}).count() == 0 and P.redact(empty, {}).count() == 0
+
+
+def test_a_common_word_beside_a_pattern_costs_no_look_at_every_token(monkeypatch):
+    """A loose pattern is looked for where both its nearest words stand, and found at the text's ends, too."""
+    looked = []
+    around = P.Context.around
+    monkeypatch.setattr(P.Context, "around", lambda self, *a: looked.append(a) or around(self, *a))
+    long = "w" * 60
+    trusted = P.Trusted(["before\tthe code\t", "then\tends here\t", "before\tone two three\t", "then\tfour five six\t"])
+    hashed = P.Trusted([f"then\t{P.Context(long).word(0)} end\t"])
+    find = lambda t, text: [text[s:e] for s, e, _ in t.tokens(text, P.Spans([]))]
+    assert find(trusted, "code " * 500 + "here") == [] and not looked  # once a look at all 501
+    assert find(trusted, "The code. zq1 (ends) here") == ["zq1"]
+    assert find(trusted, "one two three A four five six") == ["A"]
+    assert find(trusted, "two three A four five") == [] and find(trusted, "the code") == [] and find(trusted, "ends here") == []
+    assert find(hashed, f"key {long.upper()} end") == ["key"]

@@ -219,16 +219,35 @@ class Trusted:
     def __init__(self, patterns: Iterable[str]):
         self.all = frozenset(patterns)
         self.loose = frozenset(filter(_loose, self.all))
-        # The word next to the value of each loose pattern: most texts have none of them. Of a long word the hash is known only.
-        self.next = frozenset(p.split("\t")[1].split(" ")[-1 if p.startswith("before") else 0] for p in self.loose)
-        self.hashed = any(w[:1] == "#" for w in self.next)
+        # The two words nearest to the value in each loose pattern: only places beside such a pair are looked at. Of a long word the hash is known only.
+        pairs = [(p.startswith("before"), p.split("\t")[1].split(" ")) for p in self.loose]
+        self.ahead = frozenset(tuple(w[-2:]) for before, w in pairs if before)
+        self.behind = frozenset(tuple(w[:2]) for before, w in pairs if not before)
+        self.hashed = any(len(w) > 1 and w[:1] == "#" for pair in self.ahead | self.behind for w in pair)
+
+    def places(self, text: str) -> list[int]:
+        """The tokens beside a pair of words that a loose pattern has there, by number."""
+        if not self.loose:
+            return []
+        words = [w.strip(MARKS + OPENING).lower() for w in text.split()]
+        if self.hashed:
+            context = Context(text)
+            words = [context.word(k) for k in range(len(context.spans))]
+        found = set()
+        for k, pair in enumerate(zip(words, words[1:])):
+            if pair in self.ahead:
+                found.add(k + 2)
+            if pair in self.behind:
+                found.add(k - 1)
+        return sorted(k for k in found if 0 <= k < len(words))
 
     def tokens(self, text: str, taken: Spans, every: bool = False) -> Iterator[tuple[int, int, list[str]]]:
         """(start, end, patterns) of the tokens, of any form, that loose patterns hold; with every, of all tokens with all their loose patterns."""
-        if not every and (not self.loose or not self.hashed and self.next.isdisjoint(w.strip(MARKS + OPENING) for w in text.lower().split())):
+        places = None if every else self.places(text)
+        if places == []:
             return
         context = Context(text)
-        for s, e in context.spans:
+        for s, e in context.spans if every else (context.spans[k] for k in places):
             found = [p for p in context.around(s, e) if every or p in self.loose]
             token = text[s:e]
             a, b = s + len(token) - len(token.lstrip(OPENING)), s + len(token.rstrip(MARKS))
