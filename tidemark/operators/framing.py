@@ -68,10 +68,16 @@ def room_aside(width: Column, w: Column, head: tuple[Column, Column], body: Colu
     if column:
         low = F.when(on_left, low).otherwise(within(head[1] - column[0] * w, frame))
         high = F.when(on_left, within(head[0] - column[1] * w, frame)).otherwise(high)
-    high = F.greatest(low, high)
-    both = G.meeting((low, high), (body["right"] - w, body["left"]))
-    holds = both[0] <= both[1]
-    return F.struct(F.when(holds, both[0]).otherwise(low).alias("lo"), F.when(holds, both[1]).otherwise(high).alias("hi"), holds.alias("contained"))
+
+    def held(m: Column) -> Column:
+        return F.struct(m["low"].alias("low"), m["high"].alias("high"), F.greatest(m["low"], body["right"] - w).alias("from"), F.least(m["high"], body["left"]).alias("to"))
+
+    def chosen(m: Column) -> Column:
+        holds = m["from"] <= m["to"]
+        return F.struct(F.when(holds, m["from"]).otherwise(m["low"]).alias("lo"), F.when(holds, m["to"]).otherwise(m["high"]).alias("hi"), holds.alias("contained"))
+
+    ends = G.once(F.struct(low.alias("low"), high.alias("high")), lambda m: F.struct(m["low"].alias("low"), F.greatest(m["low"], m["high"]).alias("high")))
+    return G.once(G.once(ends, held), chosen)
 
 
 def _windows(style: Style) -> Column:
@@ -103,21 +109,32 @@ def _windows(style: Style) -> Column:
         high = F.least(F.greatest(low, G.even_down(z["aside"]["hi"])), last)
         return F.struct(*(z[name].alias(name) for name in ("i", "scale", "w", "h", "gaps", "tall")), z["aside"]["contained"].alias("contained"), low.alias("lo"), high.alias("hi"), F.col("boxes").alias("boxes"))
 
+    def stepped(z: Column) -> Column:
+        start = G.even(within(F.col("cx") * width - z["gaps"]["fx"] * z["w"], (z["lo"].cast("double"), z["hi"].cast("double"))))
+        step = F.greatest(F.lit(8).cast("long"), F.floor(z["w"] / 100))
+        return F.struct(*(z[name].alias(name) for name in ("i", "scale", "w", "h", "gaps", "tall", "contained", "lo", "hi", "boxes")), start.alias("start"), step.alias("step"))
+
     fits = lambda z: (z["w"] >= LEAST_WIDTH) & (z["w"] <= width) & (z["h"] <= height)
     out = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ZOOMS - 1)), sized), fits)
-    for step in (targeted, ranged, started, lambda z: _moved(style, z)):
+    for step in (targeted, ranged, started, stepped):
         out = F.transform(out, step)
     return out
 
 
-def _moved(style: Style, z: Column) -> Column:
-    """A window's places aside (x, and the boxes in its columns of pixels) and in height, nearest to its start first."""
+def _moved(z: Column, near: bool = False) -> Column:
+    """A window's places aside (x, and the boxes in its columns of pixels) and in height, nearest to its start first; with near, only those that may be best where there are no boxes.
+
+    A step is 8 pixels at least and a start the even place nearest to its target. So a move that ends farther than two
+    pixels from the start is farther from the target, too, and only the first one to either side, cut short by the
+    edge of the range, can end nearer than that; every longer move then ends at that edge as well.
+    """
+    none = F.lit(0).cast("long")
+    moves = (lambda limit, step: F.when(limit >= step, F.array(none, step, -step)).otherwise(F.array(none))) if near else G.offsets
+    kept = (lambda places, start: F.filter(places, lambda v: F.abs(v - start) <= 2)) if near else lambda places, start: F.array_distinct(places)
     width, height = F.col("width"), F.col("height")
-    step = F.greatest(F.lit(8).cast("long"), F.floor(z["w"] / 100))
-    start = G.even(within(F.col("cx") * width - z["gaps"]["fx"] * z["w"], (z["lo"].cast("double"), z["hi"].cast("double"))))
-    across = F.array_distinct(F.transform(G.offsets(F.floor(z["w"] * MOVE_X), step), lambda d: within(G.even(within(start + d, (z["lo"], z["hi"]))), (z["lo"], z["hi"]))))
+    across = kept(F.transform(moves(F.floor(z["w"] * MOVE_X), z["step"]), lambda d: within(G.even(within(z["start"] + d, (z["lo"], z["hi"]))), (z["lo"], z["hi"]))), z["start"])
     last = G.even_down(height - z["h"])
-    down = F.array_distinct(F.transform(G.offsets(F.floor(z["h"] * MOVE_Y), step), lambda d: within(G.even(within((z["tall"]["y"] + d).cast("double"), (z["tall"]["lo"], z["tall"]["hi"]))), (F.lit(0).cast("long"), last))))
+    down = kept(F.transform(moves(F.floor(z["h"] * MOVE_Y), z["step"]), lambda d: within(G.even(within((z["tall"]["y"] + d).cast("double"), (z["tall"]["lo"], z["tall"]["hi"]))), (F.lit(0).cast("long"), last))), z["tall"]["y"])
 
     def beside(x: Column, k: Column) -> Column:
         aside = F.abs((F.col("cx") * width - x) / z["w"] - z["gaps"]["fx"])
@@ -130,11 +147,11 @@ def _moved(style: Style, z: Column) -> Column:
     return F.struct(*(z[name].alias(name) for name in ("scale", "i", "w", "h", "gaps", "contained")), F.transform(across, beside).alias("columns"), F.transform(down, above).alias("rows"))
 
 
-def _best_of_zoom(style: Style, z: Column) -> Column:
-    """The best place of one window: within the gate, clear, cheap, near to where it would stand."""
+def _best_of_zoom(style: Style, z: Column, clear: bool = True) -> Column:
+    """The best place of one window: within the gate, clear, cheap, near to where it would stand. Without clear, as if there were no boxes."""
 
     def placed(x: Column, y: Column) -> Column:
-        hit = F.exists(x["boxes"], lambda b: (y["y"] < b["y"] + b["h"]) & (b["y"] < y["y"] + z["h"]))
+        hit = F.exists(x["boxes"], lambda b: (y["y"] < b["y"] + b["h"]) & (b["y"] < y["y"] + z["h"])) if clear else F.lit(False)
         cost = style.x * x["aside"] + style.y * y["off"] + style.zoom * (1.0 - z["scale"])
         return F.struct(
             (x["aside"] > style.gate).alias("forced"), hit.alias("blocked"), cost.alias("cost"), z["i"].alias("zoom"), x["k"].alias("kx"), y["k"].alias("ky"),
@@ -142,7 +159,39 @@ def _best_of_zoom(style: Style, z: Column) -> Column:
         )
 
     best_beside = lambda x: F.array_min(F.transform(z["rows"], lambda y: placed(x, y)))
-    return F.struct(z["scale"].alias("scale"), F.array_min(F.transform(z["columns"], best_beside)).alias("place"))
+    return F.array_min(F.transform(z["columns"], best_beside))
+
+
+def _tries(style: Style) -> Column:
+    """(scale, place) of the zooms that may have the best place of theirs and all larger ones, in turn; all places of a zoom are tried only where need be.
+
+    The place that a window has without boxes is its best one if it meets none. If it does, no place of that zoom is
+    better than it would be if it were clear: where that is no better than what zooms tried before it, or
+    for a small zoom any zoom, have clear, the zoom is left out; else all its places are tried.
+    """
+
+    def freely(z: Column) -> Column:
+        return F.struct(z.alias("z"), _best_of_zoom(style, z["near"], False).alias("p"))
+
+    def met(t: Column) -> Column:
+        p = t["p"]
+        hit = F.exists(t["z"]["boxes"], lambda b: (p["x"] < b["x"] + b["w"]) & (b["x"] < p["x"] + p["w"]) & (p["y"] < b["y"] + b["h"]) & (b["y"] < p["y"] + p["h"]))
+        return F.struct(t["z"].alias("z"), p.alias("p"), hit.alias("hit"))
+
+    def tried(free: Column, clear: Column, best: Column) -> Column:
+        def one(t: Column) -> Column:
+            z, p = t["z"], t["p"]
+            before = F.array_min(F.transform(F.filter(clear, lambda c: c["z"]["i"] < z["i"]), lambda c: c["p"]))
+            limit = F.when(z["scale"] > CONTENT_ZOOM, before).otherwise(best)
+            whole = G.once(_moved(z), lambda m: _best_of_zoom(style, m))
+            place = F.when(~t["hit"], p).when(F.coalesce(p < limit, F.lit(True)), whole)
+            return F.struct(z["scale"].alias("scale"), place.alias("place"))
+
+        return F.filter(F.transform(free, one), lambda t: t["place"].isNotNull())
+
+    near = F.transform("windows", lambda z: F.struct(*(z[name].alias(name) for name in ("i", "scale", "w", "h", "gaps", "tall", "contained", "lo", "hi", "boxes", "start", "step")), _moved(z, True).alias("near")))
+    free = F.transform(F.transform(near, freely), met)
+    return G.once(free, lambda f: G.once(F.filter(f, lambda t: ~t["hit"]), lambda c: G.once(F.array_min(F.transform(c, lambda t: t["p"])), lambda best: tried(f, c, best))))
 
 
 def _first_content(tries: Column) -> Column:
@@ -177,7 +226,7 @@ def framed(shots: DataFrame, key: str, style: Style) -> DataFrame:
         G.caption_on_left(F.col("facing"), F.col("cx")).alias("on_left"),
         silhouette(width, F.col("cx"), F.col("head_w"), F.col("body_left"), F.col("body_right")).alias("body"),
     )
-    tried = rows.withColumn("windows", F.when(F.col("known"), _windows(style))).withColumn("tries", F.transform("windows", lambda z: _best_of_zoom(style, z)))
+    tried = rows.withColumn("windows", F.when(F.col("known"), _windows(style))).withColumn("tries", _tries(style))
     best = tried.withColumn("b", F.when(F.size("tries") > 0, _first_content(F.col("tries")))).withColumn("c", G.centred(width, height, style.across, style.down))
     state = F.when(F.col("b").isNull(), "centred").when(F.col("b.forced"), "forced").when(F.col("b.blocked"), "blocked").otherwise("framed")
     placed = [F.coalesce(f"b.{name}", f"c.{name}").alias(name) for name in ("x", "y", "w", "h")]
