@@ -266,3 +266,15 @@ def test_weighted_lcs_is_best(a, b):
 
     got = sum(weighed[i][1] for i, _ in pairs)
     assert got == pytest.approx(top(0, 0))
+
+
+def test_texts_are_dealt_out_by_number(spark, monkeypatch):
+    """A task's texts stay so many at any size of table, also where the table's parts are as many as the cores but hold them unevenly."""
+    from tidemark.operators import search
+
+    monkeypatch.setattr(search, "ROWS_A_TASK", 50)
+    uneven = spark.range(1000).repartition(8, F.lit(1)).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    sizes = uneven.transform(search.spread).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 100
+    few = spark.range(10).transform(search.spread)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and few.count() == 10
