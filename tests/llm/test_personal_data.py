@@ -178,3 +178,22 @@ def test_a_common_word_beside_a_pattern_costs_no_look_at_every_token(monkeypatch
     assert find(trusted, "one two three A four five six") == ["A"]
     assert find(trusted, "two three A four five") == [] and find(trusted, "the code") == [] and find(trusted, "ends here") == []
     assert find(hashed, f"key {long.upper()} end") == ["key"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["aa", "(AA.", "b", "b,", "aab", "é", "É!", "İ", "x1", "Σ", "...", "\n", " "]), max_size=30))
+def test_few_pairs_are_found_without_splitting_texts(words):
+    """Pairs sought in the text as it is stand at the places that split words give."""
+    trusted = P.Trusted(["before\taa b\t", "then\tb aa\t", "before\té é\t", "then\tx1 aa b\t"])
+    text = " ".join(words)
+    assert trusted.sought
+    found, trusted.sought = trusted.places(text), None
+    assert found == trusted.places(text)
+
+
+def test_base_spans_are_looked_for_only_beside_patterns(monkeypatch):
+    looked, base = [], P.base_spans
+    monkeypatch.setattr(P, "base_spans", lambda text: looked.append(text) or base(text))
+    trusted = P.Trusted(["before\tthe key\t"])
+    found = [list(trusted.tokens(text)) for text in ("no pair of it, 10.0.0.1", "the key X9z", "the key 10.0.0.1")]
+    assert [[x[:2] for x in f] for f in found] == [[], [(8, 11)], []] and len(looked) == 2

@@ -49,6 +49,8 @@ LONGEST_NAME, LONGEST_WORD, WORDS = 40, 40, (2, 3)
 MIN_SCORE = 0.8
 #: So many trusted patterns are given to all tasks; more stay a table and are joined with the texts' patterns.
 KEPT_PATTERNS = 50_000
+#: So many pairs of words are looked for in a text as they are before it is split.
+FEW_PAIRS = 64
 #: Columns of our own beside those of the documents.
 KEY, OWN = "personal data: text's key", "personal data: text's trusted patterns"
 
@@ -224,11 +226,19 @@ class Trusted:
         self.ahead = frozenset(tuple(w[-2:]) for before, w in pairs if before)
         self.behind = frozenset(tuple(w[:2]) for before, w in pairs if not before)
         self.hashed = any(len(w) > 1 and w[:1] == "#" for pair in self.ahead | self.behind for w in pair)
+        pairs = sorted(self.ahead | self.behind)
+        # A few pairs are looked for in the text as it is: a word, what is stripped from words, and the other word. Lower case of a sigma hangs on its neighbours.
+        between = rf"[{re.escape(MARKS + OPENING)}]*"
+        few = len(pairs) <= FEW_PAIRS and all(w and not {"σ", "ς"} & set(w) for pair in pairs for w in pair) and not self.hashed
+        self.sought = [(a, b, re.compile(rf"{re.escape(a)}(?={between}\s+{between}{re.escape(b)})")) for a, b in pairs] if few else None
 
     def places(self, text: str) -> list[int]:
         """The tokens beside a pair of words that a loose pattern has there, by number."""
         if not self.loose:
             return []
+        low = text.lower()
+        if self.sought and len(low) == len(text):
+            return self._sought_places(text, low)
         words = [w.strip(MARKS + OPENING).lower() for w in text.split()]
         if self.hashed:
             context = Context(text)
@@ -241,8 +251,19 @@ class Trusted:
                 found.add(k - 1)
         return sorted(k for k in found if 0 <= k < len(words))
 
-    def tokens(self, text: str, taken: Spans, every: bool = False) -> Iterator[tuple[int, int, list[str]]]:
-        """(start, end, patterns) of the tokens, of any form, that loose patterns hold; with every, of all tokens with all their loose patterns."""
+    def _sought_places(self, text: str, low: str) -> list[int]:
+        context, found = None, set()
+        for a, b, pattern in self.sought:
+            for m in pattern.finditer(low) if a in low and b in low else ():
+                context = context or Context(text)
+                k = bisect_right(context.starts, m.start()) - 1
+                if k + 1 < len(context.spans) and (context.word(k), context.word(k + 1)) == (a, b):
+                    found |= {k + 2} if (a, b) in self.ahead else set()
+                    found |= {k - 1} if (a, b) in self.behind else set()
+        return sorted(k for k in found if 0 <= k < len(context.spans))
+
+    def tokens(self, text: str, taken: Spans | None = None, every: bool = False) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, end, patterns) of the tokens, of any form, that loose patterns hold outside the spans taken (None: the base ones, looked for only where a token is met); with every, of all tokens with all their loose patterns."""
         places = None if every else self.places(text)
         if places == []:
             return
@@ -251,8 +272,10 @@ class Trusted:
             found = [p for p in context.around(s, e) if every or p in self.loose]
             token = text[s:e]
             a, b = s + len(token) - len(token.lstrip(OPENING)), s + len(token.rstrip(MARKS))
-            if found and a < b and not taken.meet(a, b):
-                yield a, b, found
+            if found and a < b:
+                taken = taken or Spans(x for spans in base_spans(text) for x in spans)
+                if not taken.meet(a, b):
+                    yield a, b, found
 
 
 def _edge_rows(found: dict[tuple[str, int], int]) -> pa.RecordBatch:
@@ -289,7 +312,7 @@ def _loose_edges(docs: DataFrame, patterns: list[str] | None) -> DataFrame:
             found: dict[tuple[str, int], int] = {}
             for text in batch.column(0).to_pylist():
                 if text:
-                    for s, e, own in trusted.tokens(text, Spans(x for spans in base_spans(text) for x in spans), patterns is None):
+                    for s, e, own in trusted.tokens(text, every=patterns is None):
                         h = _instance(text[s:e])
                         found |= {(p, h): 0 for p in own}
             yield _edge_rows(found)
