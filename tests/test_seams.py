@@ -119,3 +119,47 @@ def test_runs_of_a_text_in_one_row_are_pulled_as_those_of_rows(spark):
 def test_edge_snap_moves_no_words_between_tasks(spark, sf):
     plan = catalogue.queries()["edge_snap"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_fragments_of_a_text_in_one_row_follow_the_rule(spark):
+    rng = random.Random(23)
+    rows, want = [], {}
+    for clip in range(400):
+        n_a, n = rng.randrange(1, 40), rng.randrange(0, 40)
+        words = [f"w{k}" for k in range(n)]
+        at = sorted(rng.sample(range(n_a + 1), rng.randrange(0, min(8, n_a + 1))))
+        bounds = [0, *at, n_a + 3] if rng.random() < 0.6 else [*at, n_a]
+        own = [(k, a, b - 1) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))] or [(0, -2, 99)]
+        if rng.random() < 0.2:
+            own.append((len(own), own[-1][2], own[0][1]))  # ends before it begins
+        rng.shuffle(own)
+        dense = rng.choice([0.4, 0.95])
+        met = [(a, min(n - 1, a * n // n_a)) for a in range(n_a + 2) if n and rng.random() < dense for _ in range(rng.choice([1, 1, 2]))]
+        said = rng.choice([None, None, sorted(rng.sample(range(1, 30), rng.randrange(1, 5))), [3, 2], [None, 4], []])
+        slack = clip % 2 * 2
+        rows.append((clip, slack, words, n_a, own + [(99, None, 3), (98, 0, None)], [a for a, _ in met], [b for _, b in met], said))
+        want |= {(clip, c): r for c, r in told(own, words, n_a, met, said, slack).items()}
+    rows += [(900, 2, None, 4, [(0, 0, 3)], [], [], None), (901, 2, None, 5, [(0, 0, 1), (1, 2, 4)], [1], [0], None), (902, 2, ["a"], 0, [(0, 0, 2)], [], [], None), (903, 2, ["a"], None, [(0, 0, 2)], [], [], None), (904, 2, ["a"], 3, [], [], [], None)]
+    want |= {(900, 0): ("", "whole"), (901, 0): ("", "too short"), (901, 1): ("", "too short")}
+    texts = spark.createDataFrame(rows, "u long, slack int, words array<string>, n_a int, cards array<struct<card:int,w0:int,w1:int>>, a array<int>, b array<int>, said array<int>")
+    args = [F.col(c) for c in ("words", "n_a", "cards", "a", "b", "said")]
+    got = [r for slack in (0, 2) for r in texts.where(F.col("slack") == slack).select("u", F.inline(seams.fragments_within(*args, slack=slack))).collect()]
+    assert len(got) == len(want) and {(r.u, r.card): (r.fragment, r.reason) for r in got} == want
+    assert {w for _, w in want.values()} == {"whole", "too short", "verdict", "anchored", "proportional"}
+    long = texts.where("slack = 2").select("u", F.inline(seams.fragments_within(*args, made=F.length)))
+    assert {(r.u, r.card): r.fragment for r in long.collect()} == {k: len(text) for k, (text, _) in want.items() if k[0] % 2 or k[0] >= 900}
+
+
+def test_cuts_of_a_long_text_keep_their_room(spark):
+    n_a, n = 6000, 2500  # more cuts than every second word can have
+    cards = [(k, 3 * k, 3 * k + 2) for k in range(2000)]
+    a = [x for x in range(n_a) if x % 3 == 0 or x % 7 == 0]
+    b = [min(n - 1, x // 40) for x in a]
+    row = spark.createDataFrame([([f"w{k}" for k in range(n)], n_a, cards, a, b)], "words array<string>, n_a int, cards array<struct<card:int,w0:int,w1:int>>, a array<int>, b array<int>")
+    got = row.select(F.inline(seams.fragments_within(F.col("words"), F.col("n_a"), F.col("cards"), F.col("a"), F.col("b"), F.lit(None).cast("array<int>")))).collect()
+    assert {r.card: (r.fragment, r.reason) for r in got} == told(cards, [f"w{k}" for k in range(n)], n_a, list(zip(a, b)), None)
+
+
+def test_verse_fragments_moves_no_words_between_tasks(spark, sf):
+    plan = catalogue.queries()["verse_fragments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan and plan.count("Exchange") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +69,78 @@ def fragments(cards: DataFrame, texts: DataFrame, pairs: DataFrame, verdicts: Da
     return cut.select(clip, "card", text.alias("fragment"), why.alias("reason"))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A body over a value that is worked out once, however often the body names it. What the body gives is copied."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _next_of(places: Column, size: Column) -> Column:
+    """For each place before `size`, the index of the first of some ascending places at or after it; the array ends after the last of them."""
+    before = F.lit(-1).cast("long")
+    capped = F.transform(places, lambda p: F.least(F.greatest(p.cast("long"), before), size - 1))
+    filled = lambda ps: F.flatten(F.transform(ps, lambda p, k: F.array_repeat(k, (p - F.coalesce(F.get(ps, k - 1), before)).cast("int"))))
+    return _once(capped, filled)
+
+
+def _spaced_within(targets: Column, n: Column) -> Column:
+    """reports.spaced of an array: its running maximum is taken over twice as many cuts each time, so that no array is copied a cut."""
+    one = F.lit(1).cast("long")
+
+    def run(ts: Column) -> Column:
+        doubled = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(ts))
+        ahead = F.aggregate(doubled, F.transform(ts, lambda t, i: t - i), lambda so_far, d: F.transform(so_far, lambda t, i: F.greatest(t, F.get(so_far, i - d))))
+        return F.transform(ahead, lambda t, i: i + F.least(n - F.size(ts), F.greatest(one, t)))
+
+    return _once(targets, run)
+
+
+def fragments_within(words: Column, n_a: Column, cards: Column, a: Column, b: Column, verdict: Column, made: Callable[[Column], Column] = lambda text: text, slack: int = 2) -> Column:
+    """What fragments() does, for a text that is one row: (card, fragment, reason) of an array of cards (card, w0, w1). Pairs are two arrays, a ascending, without nulls; verdict is an array of cuts, or null.
+
+    A fragment is what is made of its text, its digest for one: where every card has the whole translation, that is made once,
+    and a row needn't hold the text once a card.
+
+    Cuts and pairs are looked for by place in the row's own arrays: nothing is sent to another task, and a text takes time in
+    proportion to its words, but for the running maximum over its m cuts, which takes m times log m. Pairs are worked out only where they decide.
+    """
+    zero = F.lit(0).cast("long")
+
+    def told(x: Column, cuts: Column) -> Column:
+        """(reason, at): where each cut falls among the words, and how that was found."""
+        n, m = x["n"], F.size(cuts)
+        way = lambda reason, at: F.struct(F.lit(reason).alias("reason"), at.cast("array<long>").alias("at"))
+        share = F.transform(cuts, lambda c: F.rint(c * n / x["n_a"].cast("double")).cast("long"))  # half to even
+        first = lambda p, c: F.get(p["of"], c.cast("int"))
+        near = lambda p: F.transform(cuts, lambda c: F.when(F.get(p["a"], first(p, c)) - c <= slack, F.get(p["b"], first(p, c)).cast("long")))
+        anchors = _once(a, lambda a: _once(F.struct(_next_of(a, x["n_a"]).alias("of"), a.alias("a"), b.alias("b")), near))
+        placed = lambda bs: F.when(F.exists(bs, lambda b: b.isNull()), way("proportional", _spaced_within(share, n))).otherwise(way("anchored", _spaced_within(bs, n)))
+        ways = F.when(m == 0, way("whole", F.array())).when(_usable(x["verdict"], m, n), way("verdict", x["verdict"])).when(n <= m, way("too short", F.array()))
+        return ways.otherwise(_once(anchors, placed))
+
+    def cut(x: Column) -> Column:
+        inner = lambda w: F.greatest(zero, F.least(w.cast("long"), x["n_a"] - 1))
+        places = F.concat(F.transform(x["cards"], lambda c: inner(c["w0"])), F.transform(x["cards"], lambda c: inner(c["w1"]) + 1))
+        cuts = F.sort_array(F.array_distinct(F.filter(places, lambda p: (p > 0) & (p < x["n_a"]))))
+        row = lambda c, text, way: F.struct(c["card"].alias("card"), text.alias("fragment"), way["reason"].alias("reason"))
+
+        def parted(cuts: Column, way: Column) -> Column:
+            edges = F.struct(_next_of(F.concat(F.array(zero), cuts, F.array(x["n_a"])), x["n_a"] + 1).alias("of"), F.concat(F.array(zero), way["at"], F.array(x["n"])).alias("at"))
+            at = lambda e, p: F.get(e["at"], F.get(e["of"], p.cast("int")))
+            part = lambda s, e: F.array_join(F.slice(x["words"], (s + 1).cast("int"), F.greatest(e - s, zero).cast("int")), " ")
+            return _once(edges, lambda e: F.transform(x["cards"], lambda c: row(c, made(part(at(e, inner(c["w0"])), at(e, inner(c["w1"]) + 1))), way)))
+
+        def rows(cuts: Column, way: Column) -> Column:
+            entire = _once(made(F.array_join(x["words"], " ")), lambda text: F.transform(x["cards"], lambda c: row(c, text, way)))
+            return F.when(way["reason"].isin("whole", "too short"), entire).otherwise(parted(cuts, way))
+
+        return _once(cuts, lambda cuts: _once(told(x, cuts), lambda way: rows(cuts, way)))
+
+    known = F.filter(cards, lambda c: c["w0"].isNotNull() & c["w1"].isNotNull())
+    text = F.coalesce(words, F.array().cast("array<string>"))
+    bound = lambda w: F.struct(w.alias("words"), F.size(w).cast("long").alias("n"), n_a.cast("long").alias("n_a"), known.alias("cards"), verdict.alias("verdict"))
+    return F.when(n_a > 0, _once(text, lambda w: _once(bound(w), cut)))
+
+
 def snapped(runs: DataFrame, tokens: DataFrame, spellings: DataFrame, clip: str, reach: int = 12) -> DataFrame:
     """(clip, run, i, j): runs (clip, run, label, i, j) of tokens with their ends pulled onto their label's own first and last words.
 
