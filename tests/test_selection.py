@@ -61,6 +61,34 @@ def test_passages_of_items_edited_at_their_beginning(spark):
     assert all(n <= 3 for n in Counter(r.query for r in got).values())
 
 
+def test_common_words_vote_for_passages(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(30)]  # each has more postings than a search's words may have
+    docs = [(k, ". ".join(" ".join(rng.choices(vocabulary, k=rng.randrange(3, 12))) for _ in range(1300))) for k in range(15)] + [(15, None), (16, "w1"), (17, "... !")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    said = [" ".join(docs[k][1].split(". ")[a : a + 3]) for k, a in ((3, 0), (7, 1297), (11, 40))]
+    i = spark.createDataFrame([*enumerate(said), (3, "w1x w2"), (4, "zz")], "query long, text string")
+    tokens = i.select("query", F.posexplode(T.words(F.col("text"))).alias("qi", "token"))
+    words = S.worded(d, "doc_id", T.words)
+    assert not S.matches(words, tokens, T.skeleton, len(docs))[0].where("query < 3").count()
+    voted = L.cells_voted(words, S.forms_asked(words, tokens, T.skeleton))
+    want = []
+    norm = lambda t: __import__("re").findall("[a-z0-9]+", (t or "").lower())
+    for q, asked in enumerate(said):
+        for doc, text in docs:
+            own, at = norm(text), {}
+            for qi, word in enumerate(norm(asked)):
+                for pos, w in enumerate(own):
+                    if w == word:
+                        for cell in ((pos - qi) // L.STEP, (pos - qi) // L.STEP - 1):
+                            at.setdefault(cell, set()).add(qi)
+            want += [(q, -len(v), doc, cell) for cell, v in at.items() if len(v) >= 2]
+    want = {(q, doc, cell, -votes, 1 + k) for n in range(len(said)) for k, (q, votes, doc, cell) in enumerate(sorted(x for x in want if x[0] == n)[: L.CELLS])}
+    assert {tuple(r) for r in voted.where("query < 3").select("query", "doc", "cell", "votes", "rank").collect()} == want
+    first = {r.query: (r.ratio, r.doc, r.verse_from) for r in L.compared(i, d, voted).where("rank = 1").collect()}
+    assert all(first[k] == (1.0, doc, verse) for k, doc, verse in ((0, 3, 0), (1, 7, 1297), (2, 11, 40))) and 4 not in first
+
+
 def test_windows_end_with_their_chapter(spark):
     d = spark.createDataFrame([(1, "One two. Three! Four five six"), (2, "... !"), (3, None)], "doc_id long, text string")
     rows = {(r.doc, r.verse): (r.begin, r.end, [list(w) for w in r.ahead]) for r in L.windows(L.verses(d), 2).collect()}
