@@ -113,6 +113,26 @@ def test_sorted_suffixes(texts, depth, weak):
     assert equal.tolist() == [k > 0 and prefix[k] == prefix[k - 1] for k in range(len(prefix))]
 
 
+def test_equal_suffixes_are_sorted_once(monkeypatch):
+    rng = random.Random(3)
+    data = np.frombuffer(("".join(rng.choice("abcd") for _ in range(60)) * 50).encode(), np.uint8)
+    moved = []
+    monkeypatch.setattr(suffix_sort, "merged", lambda order, *a, f=suffix_sort.merged: moved.append(len(order)) or f(order, *a))
+    order, equal = suffix_sort.sort(data, np.arange(len(data) - 49), 50)
+    assert (~equal).sum() == 60 and len(order) == len(data) - 49 and moved == [0]  # 60 different windows, none of which share sixteen bytes
+
+
+def test_rows_dealt_follow_the_places_not_the_lots():
+    """A lot of texts had a row for each block of anchors, so rows grew with the lots times the blocks."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=1 << 20)).decode() for _ in range(10)]
+    table = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array([0] * 10, pa.int64()), pa.array(texts)], names=["key", "tag", "text"])
+    rows = [b for k in range(10) for b in [table.slice(k, 1)]]
+    dealt = list(suffix_dedup.anchor_places(64)(iter(rows)))
+    assert sum(b.num_rows for b in dealt) == 64  # ten lots were five times as many rows at least, with the same places
+    assert {k for b in dealt for k in b.column("block").to_pylist()} == set(range(64))
+
+
 def test_common_extensions():
     data = np.frombuffer(b"the same beginning, then not" + b"the same beginning, thus so", np.uint8)
     e = suffix_sort.Extensions(data, suffix_sort.BASES[0], 24)

@@ -39,11 +39,14 @@ class Lot:
         self.place = np.arange(len(self.words)) - self.starts[self.doc]
         self.window = window
         self.span = window - anchor + 1
-        self.grams = mix(rolling(self.words, anchor) ^ np.uint64(0xA5A5)) if len(self.words) >= anchor else np.empty(0, np.uint64)
+        self.grams = self.hashed(anchor) if len(self.words) >= anchor else np.empty(0, np.uint64)
         self.least = sliding_min(self.grams, self.span)  # a window's anchor hash
         inside = self.place + window <= self.sizes[self.doc]
         self.whole = inside[: len(self.least)]  # the window doesn't run into the next document
 
+    def hashed(self, anchor: int) -> np.ndarray:
+        return mix(rolling(self.words, anchor) ^ np.uint64(0xA5A5))
+
     def anchors(self) -> np.ndarray:
         """Where the anchors of whole windows start."""
         if not len(self.least):
@@ -64,10 +67,15 @@ class Lot:
 
 def _grouped(h: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash, then by place; the first of each row's group in that order, and whether a row stands at another place than it."""
-    order = np.lexsort((*reversed(place), h))
+    order = np.argsort(h)
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    group = np.cumsum(new)
+    # Few hashes stand at several places: only those are put in order by place.
+    several = np.flatnonzero(np.bincount(group)[group] > 1) if len(s) else np.empty(0, np.int64)
+    own = order[several]
+    order[several] = own[np.lexsort((*(c[own] for c in reversed(place)), group[several]))]
+    first = order[np.flatnonzero(new)[group - 1]]
     return order, first, np.logical_or.reduce([c[order] != c[first] for c in place])
 
 

@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 
 from . import suffix_sort
 from .common import small_batches, table
-from .hashed_words import NULL_KEY, column_of, deal, key_column, lots, mix, pack, text_bytes, text_column, unpack
+from .hashed_words import NULL_KEY, column_of, deal, key_column, lots, mix, pack, rolling, text_bytes, text_column, unpack
 from .substring_dedup import DEALT, Lot, _deal_places, _flagged_places, _lookup, _repeated, _rows, unsqueezed
 
 WINDOW, ANCHOR = 50, 20
 #: Bytes of text that a task looks at together; longer texts are looked at in pieces.
 LOT = 1 << 20
 #: Different bytes, and stretches, that a task gathers before it sends them on.
-GATHERED, STRETCHES = 16 << 20, 500_000
+GATHERED, STRETCHES = 24 << 20, 750_000
+#: Places of anchors that a task gathers before it deals them out: rows exchanged are as many as lots times blocks.
+PLACES = 1_000_000
 #: Blocks a task sorts one after the other, and bytes that come in before a block is sorted. Places count as PLACE bytes.
-BLOCKS, SORTED, PLACE = 8, 2 << 20, 24
+BLOCKS, SORTED, PLACE = 8, 4 << 20, 24
 #: Runs of flagged windows that a task gathers before it sends them on.
 RUNS = 1_000_000
 FLAGS = ("key", "tag", "start", "n")
@@ -52,6 +54,13 @@ class Symbols:
         self.hashes = self.bytes.astype(np.uint64)
 
 
+class ByteLot(Lot):
+    """A Lot of bytes. Hashes of runs are mixed already; a run of zero bytes isn't the smallest, which stands for none."""
+
+    def hashed(self, anchor: int) -> np.ndarray:
+        return rolling(self.words, anchor) ^ np.uint64(0xA5A5)
+
+
 def pieces(rows: pa.RecordBatch, window: int, limit: int = LOT) -> Iterator[tuple[Symbols, np.ndarray, np.ndarray]]:
     """(bytes, the row of each piece, its offset) for lots of twice `limit` bytes at most, and one piece. Pieces of a long text overlap by a window less one byte, so each window is in one piece."""
     data, bounds = text_bytes(rows.column("text"))
@@ -262,24 +271,40 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(key_column().alias("key"), F.xxhash64(text_column()).alias("tag"), text_column().alias("text"))
 
 
-def shared_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, tag, spans) of the documents that hold windows of a document with a smaller key; the spans are those windows' bytes. A null key is the smallest number, the tag a hash of the text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _texts(docs)
+def anchor_places(parts: int, window: int = WINDOW, anchor: int = ANCHOR):
+    """What deals the places of texts' anchors out to `parts` blocks, for mapInArrow."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[list[np.ndarray]] = []
+
+        def batch():
+            places = [np.concatenate(c) for c in zip(*met)]
+            met.clear()
+            return _rows(list(_deal_places(*places, parts, _repeated)) if places else [])
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in lots(batches, LOT):
             for symbols, row, offset in pieces(rows, window):
-                lot = Lot(symbols, window, anchor)
+                lot = ByteLot(symbols, window, anchor)
                 at = lot.anchors()
                 doc = lot.doc[at]
                 key, tag = (column_of(rows, c)[row[doc]] for c in ("key", "tag"))
                 # 48 bits of a hash tell enough apart: equal ones of different bytes only make more stretches.
-                yield _rows(list(_deal_places(lot.grams[at] >> np.uint64(16), key, tag, lot.place[at] + offset[doc], parts, _repeated)))
+                met.append([lot.grams[at] >> np.uint64(16), key, tag, lot.place[at] + offset[doc]])
+                if sum(len(m[0]) for m in met) >= PLACES:
+                    yield batch()
+        yield batch()
+
+    return dealt
+
+
+def shared_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(key, tag, spans) of the documents that hold windows of a document with a smaller key; the spans are those windows' bytes. A null key is the smallest number, the tag a hash of the text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs)
 
-    repeated = _lookup(texts.mapInArrow(anchors, DEALT), parts, 3, _repeated, _flagged_places, "key long, tag long, places binary")
+    repeated = _lookup(texts.mapInArrow(anchor_places(parts, window, anchor), DEALT), parts, 3, _repeated, _flagged_places, "key long, tag long, places binary")
     candidates = texts.join(repeated, ["key", "tag"]).select("key", "tag", "places", "text")
     blocks = parts * BLOCKS
     kind = pa.list_(pa.struct([("block", pa.int32()), ("bundle", pa.binary())]))
@@ -299,7 +324,7 @@ def shared_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         for rows in lots(batches, LOT):
             places, keys, tags = rows.column("places"), column_of(rows, "key"), column_of(rows, "tag")
             for symbols, row, offset in pieces(rows, window):
-                lot = Lot(symbols, window, anchor)
+                lot = ByteLot(symbols, window, anchor)
                 flagged = np.zeros(len(lot.words), bool)
                 for start, size, r, o in zip(lot.starts, lot.sizes, row.tolist(), offset.tolist()):
                     own = unsqueezed(places[r].as_py()) - o

@@ -126,22 +126,35 @@ def by_head(words: np.ndarray, suffixes: np.ndarray, known: int) -> tuple[np.nda
     return given, np.diff(np.append(np.flatnonzero(new), len(start)))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, how many there are of each, one of each)."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else np.empty(0, np.int64)
+    return order, np.diff(np.append(first, len(order))), order[first]
+
+
 def sort(data: np.ndarray, suffixes: np.ndarray, depth: int, bases=BASES) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order of their first `depth` bytes, whether each shares all of them with the one before).
 
-    Each suffix has `depth` bytes at least. Order and equality are verified on the bytes
+    Each suffix has `depth` bytes at least. Suffixes with the same hash of those are sorted once. Order and equality are verified on the bytes
     themselves between neighbours; where hashes collided, everything is sorted again with another base, and
     after the last base by the bytes alone.
     """
     words, known = heads(data), min(HEAD, depth)
-    given, size = by_head(words, suffixes, known)
-    several = np.repeat(size > 1, size)
     for base in bases:
         extensions = Extensions(data, base, depth)
-        order = given.copy()
-        order[several] = merged(given[several], size[size > 1], lambda a, b: extensions.less(a, b, known, depth))  # noqa: B023  used at once
+        own, count, one = distinct(extensions.hashes(suffixes, depth))
+        given, size = by_head(words, suffixes[one], known)
+        several = np.repeat(size > 1, size)
+        given[several] = merged(given[several], size[size > 1], lambda a, b: extensions.less(a, b, known, depth))  # noqa: B023  used at once
+        number = np.empty(len(data), np.int64)
+        number[suffixes[one]] = np.arange(len(one))
+        number = number[given]
+        count, first = count[number], (np.cumsum(count) - count)[number]
+        order = suffixes[own[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(own))]]
         equal, ordered = compared(words, order, depth)
         if ordered:
             return order, equal
-    order = given[np.lexsort([words[given + k].astype(np.uint64) for k in reversed(_steps(depth))])]
+    order = suffixes[np.lexsort([words[suffixes + k].astype(np.uint64) for k in reversed(_steps(depth))])]
     return order, compared(words, order, depth)[0]
